@@ -79,7 +79,7 @@ def mix_plan(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: fl
     own = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     full = own.join(placed, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("k")))
     budget = F.floor("target")
-    epochs = F.coalesce(F.floor(budget / F.col("source_size")), F.lit(0)).cast("long")
+    epochs = F.coalesce(F.floor(F.try_divide(budget, F.col("source_size"))), F.lit(0)).cast("long")
     cut = budget - epochs * F.col("source_size") - F.col("base") - F.col("inner")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), cut))
     return full.select("doc_id", "source", "row_hash", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, token_files
+from . import decontaminate, license_scan, line_dedup, lm_scoring, mixing, ngram_join, token_files, topk_search, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,5 +33,38 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", deleted.alias("deleted_lines"), F.md5("text").alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_line_dedup)}
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(license_scan.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "matched", "item_windows", "kind")
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", "rejected")
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "class_id", "copy_id", "n_copies", "n_links", "n_classes")
+
+
+_ALL = (op1_mix_sources, op2_token_files, op3_line_dedup, op4_license_scan, op5_lm_scoring, op6_url_filter, op7_decontaminate, op8_exact_top_k, op9_toxicity, op10_ngram_jaccard)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_exact_top_k": topk_search.ORACLE}
