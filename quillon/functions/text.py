@@ -58,9 +58,12 @@ def sentences(text: Column, least: int = 6) -> Column:
     return F.array_distinct(F.filter(parts, lambda s: F.length(s) >= least))
 
 
-def sentence_spans(text: Column, least: int = 6) -> Column:
-    """(sentence, start, end) of each part between full stops, semicolons and line ends."""
-    parts = F.split(text, "[.;\n]", -1)
+def sentence_spans(parts: Column, least: int = 6) -> Column:
+    """(sentence, start, end) of the parts of a text split at full stops, semicolons and line ends.
+
+    ``parts`` should be a column, not an expression, as it is read for each part.
+    """
+
     begin = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s) + 1)
     def span(s, i):
         lead = F.length(s) - F.length(F.ltrim(s))

@@ -37,7 +37,8 @@ def name_lookup_last_wins(terms: DataFrame) -> DataFrame:
 
 def phrase_windows(docs: DataFrame, max_n: int, stopwords: Sequence[str], pattern: str = T.TOKEN) -> DataFrame:
     """(doc_id, i, n, lead, words): token windows with their ends trimmed; ``lead`` stopwords were cut before."""
-    w = docs.select("doc_id", F.explode(T.windows(T.tokenize(F.col("text"), pattern), max_n)).alias("w")).select("doc_id", "w.*")
+    tokens = docs.select("doc_id", T.tokenize(F.col("text"), pattern).alias("t"))
+    w = tokens.select("doc_id", F.explode(T.windows(F.col("t"), max_n)).alias("w")).select("doc_id", "w.*")
     kept = F.filter(F.transform("words", lambda x, i: F.when(~x.isin(*stopwords), i)), lambda i: i.isNotNull())
     w = w.withColumn("kept", kept).where(F.size("kept") > 0)
     first, last = F.array_min("kept"), F.array_max("kept")
@@ -50,9 +51,10 @@ def _windows_of_names(docs: DataFrame, names: DataFrame, max_n: int, stopwords:
     Windows are made only where a token that starts a name stands, and then widened
     by the stopwords around it, so no row is made for the other positions.
     """
-    tokens = T.tokenize(F.col("text"))
+    # The tokens are a column of their own, or each window would cut the text anew.
+    tokens = F.col("tokens")
     reach = F.transform(tokens, lambda t, i: F.struct(i.alias("j"), t.alias("t"), F.slice(tokens, i + 1, max_n).alias("ahead"), F.reverse(F.slice(tokens, F.greatest(F.lit(1), i + 2 - max_n), F.least(i, F.lit(max_n - 1)))).alias("behind")))
-    rows = docs.select("doc_id", F.explode(reach).alias("r")).select("doc_id", "r.*")
+    rows = docs.select("doc_id", T.tokenize(F.col("text")).alias("tokens")).select("doc_id", F.explode(reach).alias("r")).select("doc_id", "r.*")
     heads = names.select(F.substring_index("name_lc", " ", 1).alias("t")).distinct()
     rows = rows.where(~F.col("t").isin(*stopwords)).join(broadcast_if(heads, BROADCAST_NAMES), "t", "left_semi")
     rows = rows.withColumn("m", F.explode(F.sequence(F.lit(1), F.size("ahead"))))
@@ -231,10 +233,16 @@ def gate_to_candidates(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
     return j.select("doc_id", "term_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", "__score"))).alias("confidence"))
 
 
+def sentence_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, sentence, start, end) of every sentence."""
+    parts = docs.select("doc_id", F.split("text", "[.;\n]", -1).alias("parts"))
+    return parts.select("doc_id", F.explode(T.sentence_spans(F.col("parts"))).alias("s")).select("doc_id", "s.*")
+
+
 def uncovered_sentences(docs: DataFrame, hits: DataFrame, *, most: float = 0.6) -> DataFrame:
     """(doc_id, sentence, start, end) of sentences of which hits cover at most ``most``."""
-    s = docs.select("doc_id", F.explode(T.sentence_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
-    h = hits.select("doc_id", F.col("start").alias("hs"), F.col("end").alias("he"))
-    both = s.join(h, (s["doc_id"] == h["doc_id"]) & (F.col("hs") < F.col("end")) & (F.col("he") > F.col("start")), "left").drop(h["doc_id"])
+    s = sentence_table(docs)
+    h = hits.select(F.col("doc_id").alias("hid"), F.col("start").alias("hs"), F.col("end").alias("he"))
+    both = s.join(h, (F.col("doc_id") == F.col("hid")) & (F.col("hs") < F.col("end")) & (F.col("he") > F.col("start")), "left")
     cover = F.coalesce(F.sum(F.least("end", "he") - F.greatest("start", "hs")), F.lit(0))
     return both.groupBy("doc_id", "sentence", "start", "end").agg(cover.alias("covered")).where(F.col("covered") <= most * (F.col("end") - F.col("start")))

@@ -181,7 +181,7 @@ def text_sentences(spark, sf):
 
 @query()
 def text_sentence_spans(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.explode(T.sentence_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
+    return match.sentence_table(_t(spark, sf, "documents"))
 
 
 @query(r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace('GO ID ' || coalesce(text, '') || ' go:0006281.', '(?i)\bGO\s*ID\b', '', 'g'), '(?i)\bGO:\d{7}\b', '', 'g')) AS clean_md5 FROM conversations")
