@@ -31,11 +31,15 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFram
     number = F.conv(F.substring(F.md5(F.col("t")), 1, 8), 16, 10).cast("long")
     hits = rows.select(key, F.explode(tokens).alias("t")).select(key, (number % dim).cast("int").alias("slot"), (1 - 2 * (F.shiftright(number, 1) % 2)).alias("sign"))
     slots = hits.groupBy(key, "slot").agg(F.sum("sign").alias("v"))
-    packed = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))  # at most dim entries
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0)).cast("double"))
-    return rows.select(key).join(packed, key, "left").select(key, F.transform(l2_normalize(dense), lambda x: x.cast("float")).alias("embedding"))
+    # At most dim entries; the norm is a column, so it is not summed again for each entry.
+    packed = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    length = F.when(F.coalesce("norm", F.lit(0.0)) == 0, 1.0).otherwise(F.col("norm"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: (F.coalesce(F.try_element_at("m", s), F.lit(0)) / F.col("length")).cast("float"))
+    return rows.select(key).join(packed, key, "left").withColumn("length", length).select(key, dense.alias("embedding"))
 
 
 def l2_normalize(vector: Column) -> Column:
+    """x / norm(x); zero stays zero. The norm is repeated as an array, so it is summed once."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm == 0, F.transform(vector, lambda x: x.cast("double"))).otherwise(F.transform(vector, lambda x: x.cast("double") / F.nullif(norm, F.lit(0.0))))
+    scaled = F.zip_with(vector, F.array_repeat(F.nullif(norm, F.lit(0.0)), F.size(vector)), lambda x, n: x.cast("double") / n)
+    return F.when(norm == 0, F.transform(vector, lambda x: x.cast("double"))).otherwise(scaled)

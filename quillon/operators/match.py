@@ -244,5 +244,5 @@ def uncovered_sentences(docs: DataFrame, hits: DataFrame, *, most: float = 0.6)
     s = sentence_table(docs)
     h = hits.select(F.col("doc_id").alias("hid"), F.col("start").alias("hs"), F.col("end").alias("he"))
     both = s.join(h, (F.col("doc_id") == F.col("hid")) & (F.col("hs") < F.col("end")) & (F.col("he") > F.col("start")), "left")
-    cover = F.coalesce(F.sum(F.least("end", "he") - F.greatest("start", "hs")), F.lit(0))
+    cover = F.sum(F.when(F.col("hid").isNotNull(), F.least("end", "he") - F.greatest("start", "hs")).otherwise(0))
     return both.groupBy("doc_id", "sentence", "start", "end").agg(cover.alias("covered")).where(F.col("covered") <= most * (F.col("end") - F.col("start")))
