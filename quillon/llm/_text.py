@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Rows in an Arrow batch sent to Python; with long texts, small batches bound memory.
 BATCH_ROWS = 512
@@ -38,7 +39,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_BYTES of text."""
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64))
     a = 0
     while a < len(ends):
         b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, side="right"))

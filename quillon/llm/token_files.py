@@ -20,6 +20,8 @@ Extra columns are not read. A document is never split over shards.
 
 from __future__ import annotations
 
+import array
+import os
 import re
 import uuid
 import zlib
@@ -30,15 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import shared_dir
-from ._text import small_batches
+from ..plans.shared import broadcast_if, shared_dir
+from ._text import slices, small_batches
 
 BITS = 8
 BLOCK = 512
 #: Ids after which a shard is closed at the next document's end.
 SHARD_TOKENS = 1 << 20
 #: Words whose ids a Python worker keeps; beyond it starts anew, with the same ids.
-CACHE = 400_000
+CACHE = 1 << 20
+
+#: Shards (about 2 MB each) whose bases may be broadcast; beyond, the join is shuffled.
+BROADCAST_SHARDS = 1 << 20
 
 _LEVEL = "struct<chunks: binary, bitmap: binary, ranks: binary>"
 SCHEMA = f"part int, shard int, n_tokens long, first_id long, doc_ids binary, nulls binary, ends binary, levels array<{_LEVEL}>"
@@ -88,51 +93,89 @@ def dac_get(levels: list[dict], i: int) -> int:
 
 
 class _Encoder:
-    """Ids of whole texts through the tokenizer, remembering those of parts.
+    """Ids of whole texts through the tokenizer, remembering those of words.
 
     The tokenizer first cuts a text by a pattern and codes each piece alone. A
     single space between two characters that are not white space always starts a
-    piece, so the parts between such spaces can be coded one by one.
+    piece, so a text can be cut at such spaces and its words coded one by one, each
+    with the space before it. Words that are not known yet are coded in one call for
+    many texts; a text whose spaces do not all stand so is cut by the pattern itself.
     """
 
     _ODD = re.compile(r" (?=\s|$)|(?:^|(?<=\s)) ")
+    _RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.parts, self.known = {}, {}
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            if len(piece) <= 64:
-                self.known[piece] = ids
-        return ids
-
-    def _add(self, part: str, piece: str) -> bytes:
-        ids = b"".join(map(self._piece, self.pieces.findall(piece)))
-        if len(part) <= 64:
-            self.parts[part] = ids
-        return ids
+        self.words: dict[str, bytes] = {}  # ids of a word with a space before it
+        self.known: dict[str, bytes] = {}  # ids of a piece as it is
+
+    def _plain(self, text: str) -> bool:
+        """Whether every space of the text stands alone between other characters."""
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+            return False
+        return not (self._RARE_SPACE.search(text) and self._ODD.search(text))
+
+    def _code(self, pieces: set[str]) -> None:
+        missing = list(pieces - self.known.keys())
+        coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        self.known.update((x, array.array("I", e.ids).tobytes()) for x, e in zip(missing, coded, strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        """Add words; those of letters are a piece each, others are made of pieces."""
+        words, letters, tails, mixed = self.words, [], [], []
+        for w in new:
+            if w.isalpha():
+                letters.append(w)
+            elif w[-1:] in ".,;:!?" and (body := w[:-1]).isalpha():
+                tails.append((w, body))
+                if body not in words and body not in new:
+                    letters.append(body)
+            else:
+                mixed.append((w, self.pieces.findall(" " + w)))
+        coded = self.tokenizer.encode_batch_fast([" " + w for w in letters], add_special_tokens=False)
+        for w, e in zip(letters, coded, strict=True):
+            words[w] = array.array("I", e.ids).tobytes()
+        self._code({x for _, own in mixed for x in own} | {w[-1] for w, _ in tails})
+        known = self.known
+        for w, body in tails:
+            words[w] = words[body] + known[w[-1]]
+        for w, own in mixed:
+            words[w] = b"".join(map(known.__getitem__, own))
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.known) > CACHE // 4:
+            self.known.clear()
+        get, coded, leads, new = self.words.get, [], [], set()
+        for text in texts:
+            lead, *words = text.split(" ") if self._plain(text) else [text]
+            ids = list(map(get, words))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            new.update([words[i] for i in gaps])
+            leads.append(self.pieces.findall(lead))
+            coded.append((words, ids, gaps))
+        self._learn(new)
+        self._code({x for own in leads for x in own})
+        out, own, piece = [], self.words.__getitem__, self.known.__getitem__
+        for lead, (words, ids, gaps) in zip(leads, coded, strict=True):
+            for i in gaps:
+                ids[i] = own(words[i])
+            out.append(b"".join([*map(piece, lead), *ids]))
+        for x in [x for x in new if len(x) > 64]:  # seldom met again
+            del self.words[x]
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if self._ODD.search(text):
-            return b"".join(map(self._piece, self.pieces.findall(text)))
-        first, *rest = text.split(" ")
-        get, out = self.parts.get, [b"".join(map(self._piece, self.pieces.findall(first)))]
-        for part in rest:
-            ids = get(part)
-            out.append(self._add(part, " " + part) if ids is None else ids)
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        return b"".join(out)
+        return self.batch([text])[0]
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -171,8 +214,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, ids, blobs, held, shard, part = encoder(tokenizer), [], [], 0, 0, 0
         for batch in batches:
-            for doc, text, part in zip(batch["doc_id"].to_pylist(), batch["text"], batch["part"].to_pylist(), strict=True):
-                blob = code(text.as_py() or "") + end
+            coded = (blob for a, b in slices(batch["text"]) for blob in code.batch([x.as_py() or "" for x in batch["text"][a:b]]))
+            for doc, blob, part in zip(batch["doc_id"].to_pylist(), coded, batch["part"].to_pylist(), strict=True):
+                blob += end
                 ids.append(doc)
                 blobs.append(blob)
                 held += len(blob) // 4
@@ -197,7 +241,8 @@ def read_tokens(spark, path: str) -> DataFrame:
     inside = shards.select("part", "shard", "n_tokens")
     own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("inner", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(parts, F.col("part") == F.col("p"))
-    return shards.join(inside.select("part", "shard", (F.col("above") + F.col("inner")).alias("base")), ["part", "shard"])
+    bases = inside.select("part", "shard", (F.col("above") + F.col("inner")).alias("base"))
+    return shards.join(broadcast_if(bases, BROADCAST_SHARDS), ["part", "shard"])
 
 
 def token_digest(shards: DataFrame) -> DataFrame:
