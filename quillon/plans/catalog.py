@@ -543,7 +543,7 @@ def limit_graph(spark, sf):
     return graph.limit_graph(nodes, _graph_edges(spark, sf).where("src_type = 'GO_Term' and dst_type = 'GO_Term'"))[1]
 
 
-@query("""WITH h AS (SELECT o_orderkey AS query_id, string_agg(t, ' ; ' ORDER BY r) AS hints FROM (SELECT o_orderkey, l_partkey || ' ' || p_name AS t, row_number() OVER (PARTITION BY o_orderkey ORDER BY min(l_linenumber)) AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) WHERE r <= 6 GROUP BY o_orderkey)
+@query("""WITH h AS (SELECT o_orderkey AS query_id, string_agg(t, ' ; ' ORDER BY r) AS hints FROM (SELECT o_orderkey, l_partkey || ' ' || p_name AS t, row_number() OVER (PARTITION BY o_orderkey ORDER BY min(l_linenumber), l_partkey || ' ' || p_name) AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) WHERE r <= 6 GROUP BY o_orderkey)
 SELECT o_orderkey AS query_id, CASE WHEN hints IS NULL THEN o_orderpriority ELSE o_orderpriority || chr(10) || 'GO_HINTS: ' || hints END AS expanded FROM orders LEFT JOIN h ON query_id = o_orderkey""")
 def expand_query(spark, sf):
     q = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("text"))
@@ -556,8 +556,9 @@ def _ranked_nodes(spark, sf) -> DataFrame:
     return _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), kind.alias("node_type"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("description"), F.lit("ns").alias("namespace"))
 
 
-@query(f"""SELECT l_orderkey AS query_id, '{prompts.CONTEXT_HEAD.strip()}' || chr(10) || chr(10) || string_agg(CASE l_linenumber % 4 WHEN 0 THEN '- [GO Term] Namespace: ns' || chr(10) || '  Description: ' || l_linestatus
- WHEN 1 THEN '- [Gene] Name: ' || l_returnflag || chr(10) || '  ' || l_linestatus WHEN 2 THEN '- [Literature] Title: ' || l_returnflag || chr(10) || '  ' || l_linestatus ELSE '- [Other] Name: ' || l_returnflag || chr(10) || '  Description: ' || l_linestatus END || chr(10), chr(10) ORDER BY l_linenumber) AS context FROM lineitem GROUP BY l_orderkey""")
+@query(f"""WITH e AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '- [GO Term] Namespace: ns' || chr(10) || '  Description: ' || l_linestatus
+ WHEN 1 THEN '- [Gene] Name: ' || l_returnflag || chr(10) || '  ' || l_linestatus WHEN 2 THEN '- [Literature] Title: ' || l_returnflag || chr(10) || '  ' || l_linestatus ELSE '- [Other] Name: ' || l_returnflag || chr(10) || '  Description: ' || l_linestatus END || chr(10) AS t FROM lineitem)
+SELECT l_orderkey AS query_id, '{prompts.CONTEXT_HEAD.strip()}' || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY l_linenumber, t) AS context FROM e GROUP BY l_orderkey""")
 def build_context(spark, sf):
     return prompts.build_context(_ranked_nodes(spark, sf))
 
