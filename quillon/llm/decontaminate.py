@@ -104,7 +104,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, window: int = W
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = spread.select(*own, F.lit(0).alias("place"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("k"), F.lit(None).cast(bench.schema["uses"].dataType.elementType).alias("use")).where("false")
-    hits = hits.select(*own, "place", "h", "k", "use.*").withColumn("shift", F.col("place") - F.col("at"))
+    # Both counts below read the hits, so they are written once rather than found twice.
+    hits = write_shared(hits.select(*own, "place", "h", "k", "use.*").withColumn("shift", F.col("place") - F.col("at")), "window-hits")
     # Along each alignment, then over all: windows are counted once however often a document repeats them.
     lines = hits.groupBy(*own, "item_id", "n", "k", "shift").agg(F.countDistinct("h").alias("m"), F.min("place").alias("lo"), F.max("place").alias("hi"))
     total = hits.groupBy(*own, "item_id", "n").agg(F.countDistinct("h").alias("matched")).where(F.col("matched") >= F.least(F.lit(min_windows), F.col("n")))
