@@ -37,17 +37,37 @@ SAMPLE = 8000
 #: Features of each label.
 TOP = 3000
 FOLDS, ROUNDS, L2, LEAST = 5, 60, 1.0, 3
-CACHE = 300_000
-_EDGE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
+CACHE = 1 << 20
+_EDGE, _WORD = re.compile(r"^(\W*)(.*?)(\W*)$", re.S), re.compile(r"\w+")
+
+
+class _Memo(dict):
+    """A bounded dictionary that computes what it lacks."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= CACHE:
+            self.clear()
+        out = self.make(word)
+        if len(word) <= 64:
+            self[word] = out
+        return out
 
 
 def word_features(word: str) -> list[str]:
     """The features of one white-space separated, lower-cased word."""
-    _, body, tail = _EDGE.match(word).groups()
+    if word.isalpha():
+        body, mark = word, ""
+    elif word[:-1].isalpha():
+        body, mark = (word, "") if word[-1].isalnum() or word[-1] == "_" else (word[:-1], word[-1])
+    else:
+        body, mark = _EDGE.match(word)[2], _WORD.sub("", word)
     out = []
     if body:
         out = [f"w:{body}"] + [f"{n}:{body[:n]}" for n in (4, 5) if len(body) > n]
-    mark = re.sub(r"\w+", "", word)
     return [*out, f"p:{mark[:4]}"] if mark else out
 
 
@@ -172,26 +192,18 @@ def score_chain(docs: DataFrame, chain: Chain | None, targets: Sequence[str]) ->
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         zero = np.zeros(len(targets), np.float32)
-        known: dict[str, np.ndarray] = {}
 
         def weight(word: str) -> np.ndarray:
             ids = [model.index[f] for f in word_features(word) if f in model.index]
-            out = model.weights[ids].sum(0) if ids else zero
-            if len(known) >= CACHE:
-                known.clear()
-            if len(word) <= 64:
-                known[word] = out
-            return out
+            return model.weights[ids].sum(0) if ids else zero
 
+        known = _Memo(weight)
         for texts in batches:
             sums = np.zeros((len(texts), len(targets)))
             for i, x in enumerate(texts):
-                for word in text_words(x.as_py()):
-                    w = known.get(word)
-                    if w is None:
-                        w = weight(word)
-                    if w is not zero:
-                        sums[i] += w
+                hits = [w for w in map(known.__getitem__, text_words(x.as_py())) if w is not zero]
+                if hits:
+                    sums[i] = np.sum(hits, axis=0, dtype=np.float64)
             p = model.probabilities(sums)
             yield pa.StructArray.from_arrays([pa.array(p[:, j]) for j in range(len(targets))], names=[f"p_{c}" for c in targets])
 
