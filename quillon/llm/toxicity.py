@@ -5,11 +5,13 @@ Each link is a logistic model over word features and, for all but the first, the
 log-odds of the labels before it. A later link is trained with the earlier links'
 out-of-fold predictions, so it learns from the errors that they make on new texts.
 
-Features of a text are those of its distinct lower-cased words, stripped of
-punctuation: the word, its first 4 and first 5 characters, and the punctuation that
-was stripped. Which features count is decided by their counts over all labelled
-rows (the TOP with the largest chi-square for each label); the weights are fitted
-on at most SAMPLE labelled rows, those of smallest hash, as documented here.
+Features of a text are those of its lower-cased words, stripped of punctuation: the
+word, its first 4 and first 5 characters, and the punctuation that was stripped. A
+feature's value is its rate, SCALE * places / (words + SMOOTH), in fitting as in
+scoring, so a word that a long text holds by chance weighs little. Which features
+count is decided by the number of labelled rows that hold them (the TOP with the
+largest chi-square for each label); the weights are fitted on at most SAMPLE
+labelled rows, those of smallest hash, as documented here.
 
 Defined cases: null and empty texts have no features and get the intercepts; rows
 with a null label or without a document are not trained on; rows equal in id are
@@ -20,6 +22,7 @@ nothing is rejected; extra columns are passed through.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -35,28 +38,13 @@ from ._text import small_batches
 #: Labelled rows that the weights are fitted on.
 SAMPLE = 8000
 #: Features of each label.
-TOP = 3000
-FOLDS, ROUNDS, L2, LEAST = 5, 60, 1.0, 3
+TOP = 1000
+FOLDS, ROUNDS, L2, LEAST = 5, 60, 0.3, 3
+SCALE, SMOOTH = 100.0, 30
 CACHE = 1 << 20
 _EDGE, _WORD = re.compile(r"^(\W*)(.*?)(\W*)$", re.S), re.compile(r"\w+")
 
 
-class _Memo(dict):
-    """A bounded dictionary that computes what it lacks."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        if len(self) >= CACHE:
-            self.clear()
-        out = self.make(word)
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-
 def word_features(word: str) -> list[str]:
     """The features of one white-space separated, lower-cased word."""
     if word.isalpha():
@@ -71,8 +59,8 @@ def word_features(word: str) -> list[str]:
     return [*out, f"p:{mark[:4]}"] if mark else out
 
 
-def text_words(text: str | None) -> set[str]:
-    return set((text or "").lower().split())
+def text_words(text: str | None) -> Counter[str]:
+    return Counter((text or "").lower().split())
 
 
 @dataclass
@@ -93,61 +81,115 @@ class Chain:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def _fit(indptr: np.ndarray, indices: np.ndarray, extra: np.ndarray, y: np.ndarray, n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """(weights, intercept, weights of extra) of an L2 logistic model over binary sparse rows, by full-batch Adam."""
+class _WordRows(dict):
+    """Words to rows of ``table``, their summed weights; row 0 is that of words without features."""
+
+    def __init__(self, chain: Chain):
+        super().__init__()
+        self.chain = chain
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.rows, self.used = {(): 0}, 1
+        self.table = np.zeros((1024, self.chain.weights.shape[1]))
+
+    def __missing__(self, word: str) -> int:
+        ids = tuple(i for f in word_features(word) if (i := self.chain.index.get(f)) is not None)
+        row = self.rows.get(ids)
+        if row is None:
+            row, self.used = self.used, self.used + 1
+            if row == len(self.table):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            self.table[row] = self.chain.weights[list(ids)].sum(0)
+            self.rows[ids] = row
+        if len(word) <= 64:
+            self[word] = row
+        return row
+
+    def sums(self, text: str | None) -> np.ndarray:
+        """The text's features' rates times their weights, for each label."""
+        if len(self) >= CACHE:
+            self.forget()
+        words = text_words(text)
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        places = np.fromiter(words.values(), np.float64, len(words))
+        return places @ self.table[rows] * (SCALE / (places.sum() + SMOOTH))
+
+
+@dataclass
+class Rows:
+    """Sparse feature values, row after row."""
+
+    indptr: np.ndarray
+    indices: np.ndarray
+    values: np.ndarray
+
+    def keep(self, which: np.ndarray) -> Rows:
+        sizes = np.diff(self.indptr)
+        entries = np.repeat(which, sizes)
+        return Rows(np.concatenate(([0], np.cumsum(sizes[which]))), self.indices[entries], self.values[entries])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        n = len(self.indptr) - 1
+        return np.bincount(np.repeat(np.arange(n), np.diff(self.indptr)), w[self.indices] * self.values, n)
+
+
+def _fit(x: Rows, extra: np.ndarray, y: np.ndarray, n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, intercept, weights of extra) of an L2 logistic model, by full-batch Adam."""
     n, m = len(y), n_features + 1 + extra.shape[1]
-    owner = np.repeat(np.arange(n), np.diff(indptr))
+    owner = np.repeat(np.arange(n), np.diff(x.indptr))
     w, g1, g2 = np.zeros(m), np.zeros(m), np.zeros(m)
     if 0 < y.mean() < 1:
         w[n_features] = np.log(y.mean() / (1 - y.mean()))
     for t in range(1, ROUNDS * 5 + 1):
-        z = np.bincount(owner, w[indices], n) + w[n_features] + extra @ w[n_features + 1 :]
+        z = np.bincount(owner, w[x.indices] * x.values, n) + w[n_features] + extra @ w[n_features + 1 :]
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y
-        g = np.concatenate((np.bincount(indices, d[owner], n_features), [d.sum()], extra.T @ d)) / n
+        g = np.concatenate((np.bincount(x.indices, d[owner] * x.values, n_features), [d.sum()], extra.T @ d)) / n
         g[:n_features] += L2 * w[:n_features] / n
         g1, g2 = 0.9 * g1 + 0.1 * g, 0.99 * g2 + 0.01 * g * g
         w -= 0.1 * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.99**t)) + 1e-8)
     return w[:n_features], float(w[n_features]), w[n_features + 1 :]
 
 
-def _rows(indptr: np.ndarray, indices: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.diff(indptr)
-    return np.concatenate(([0], np.cumsum(sizes[keep]))), indices[np.repeat(keep, sizes)]
-
-
-def fit_chain(features: list[list[int]], y: np.ndarray, labels: Sequence[str], index: dict[str, int]) -> Chain:
+def fit_chain(x: Rows, y: np.ndarray, labels: Sequence[str], index: dict[str, int]) -> Chain:
     """Fit the links in turn; folds are by row number."""
     n, k = y.shape
-    indptr = np.concatenate(([0], np.cumsum([len(f) for f in features]))).astype(np.int64)
-    indices = np.fromiter((i for f in features for i in f), np.int64, int(indptr[-1]))
     fold = np.arange(n) % FOLDS
     weights, intercept, links = np.zeros((len(index), k)), np.zeros(k), np.zeros((k, k))
     before = np.zeros((n, 0))  # out-of-fold log-odds of the links so far
     for j in range(k):
-        w, b, e = _fit(indptr, indices, before, y[:, j], len(index))
-        weights[:, j], intercept[j], links[j, :j] = w, b, e
+        weights[:, j], intercept[j], links[j, :j] = _fit(x, before, y[:, j], len(index))
         if j + 1 < k:
             out = np.zeros(n)
-            for f in range(FOLDS):
+            for f in range(min(FOLDS, n)):
                 train, test = fold != f, fold == f
-                w, b, e = _fit(*_rows(indptr, indices, train), before[train], y[train, j], len(index))
-                p, i = _rows(indptr, indices, test)
-                owner = np.repeat(np.arange(test.sum()), np.diff(p))
-                out[test] = np.bincount(owner, w[i], int(test.sum())) + b + before[test] @ e
+                if train.any():
+                    w, b, e = _fit(x.keep(train), before[train], y[train, j], len(index))
+                    out[test] = x.keep(test).dot(w) + b + before[test] @ e
             before = np.column_stack((before, np.clip(out, -30, 30)))
-    return Chain(list(labels), index, weights.astype(np.float32), intercept, links)
+    return Chain(list(labels), index, weights, intercept, links)
 
 
 def _explode_features(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """``rows(keep.., text)`` with the sorted distinct features of each text."""
+    """``rows(keep.., text)`` with each text's features, their places, and its number of words."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted({f for w in text_words(x.as_py()) for f in word_features(w)}) for x in batch["text"]]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(own, pa.list_(pa.string()))], [*keep, "features"])
+            names, places, sizes = [], [], []
+            for text in batch["text"]:
+                own, words = Counter(), text_words(text.as_py())
+                for word, k in words.items():
+                    for f in word_features(word):
+                        own[f] += k
+                names.append(sorted(own))
+                places.append([own[f] for f in names[-1]])
+                sizes.append(words.total())
+            made = [pa.array(names, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *made], [*keep, "features", "places", "words"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "text").mapInArrow(features, f"{kinds}, features array<string>")
+    return rows.select(*keep, "text").mapInArrow(features, f"{kinds}, features array<string>, places array<long>, words long")
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, targets: Sequence[str], *, sample: int = SAMPLE, top: int = TOP) -> Chain | None:
@@ -170,15 +212,20 @@ def train_chain(docs: DataFrame, labels: DataFrame, targets: Sequence[str], *, s
         chi = gap * gap / (n * p * (1 - p) + 1e-9)
         chosen |= {r["feature"] for r in counts.orderBy(chi.desc(), "feature").limit(top).select("feature").collect()}
     index = {f: i for i, f in enumerate(sorted(chosen))}
-    wanted = counts.select("feature").where(F.lit(False)).unionByName(spark.createDataFrame(pd.DataFrame({"feature": sorted(chosen)}), "feature string"))
+    wanted = spark.createDataFrame(pd.DataFrame({"feature": list(index), "id": list(index.values())}), "feature string, id long")
     order = F.xxhash64("doc_id", F.lit(9))
-    fit_on = rows.orderBy(order, "doc_id", *targets, "features").limit(sample).withColumn("row", F.monotonically_increasing_id())
+    fit_on = rows.orderBy(order, "doc_id", *targets, "features", "places").limit(sample).withColumn("row", F.monotonically_increasing_id())
     fit_on = write_shared(fit_on, "fit-rows")
-    slim = fit_on.select("row", *targets, F.explode_outer("features").alias("feature")).join(F.broadcast(wanted.withColumn("hit", F.lit(1))), "feature", "left")
-    slim = slim.groupBy("row", *targets).agg(F.collect_list(F.when(F.col("hit") == 1, F.col("feature"))).alias("features"))
-    got = sorted(slim.collect(), key=lambda r: r["row"])
-    y = np.array([[r[c] for c in targets] for r in got], np.float64)
-    return fit_chain([[index[f] for f in sorted(set(r["features"]))] for r in got], y, targets, index)
+    slim = fit_on.select("row", *targets, "words", F.explode_outer(F.arrays_zip("features", "places")).alias("e"))
+    slim = slim.select("row", *targets, "words", F.col("e.features").alias("feature"), F.col("e.places").alias("k")).join(F.broadcast(wanted), "feature", "left")
+    slim = slim.groupBy("row", *targets, "words").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "k")))).alias("own"))
+    got = slim.orderBy("row").select(*targets, "words", F.size("own").alias("size"), F.col("own.id").alias("ids"), F.col("own.k").alias("ks")).toArrow()
+    column = lambda c: np.asarray(got[c].combine_chunks(), np.float64)
+    flat = lambda c: np.asarray(got[c].combine_chunks().flatten(), np.int64)
+    sizes = column("size").astype(np.int64)
+    values = SCALE * flat("ks") / np.repeat(column("words") + SMOOTH, sizes)
+    x = Rows(np.concatenate(([0], np.cumsum(sizes))), flat("ids"), values)
+    return fit_chain(x, np.column_stack([column(c) for c in targets]), targets, index)
 
 
 def score_chain(docs: DataFrame, chain: Chain | None, targets: Sequence[str]) -> DataFrame:
@@ -190,21 +237,10 @@ def score_chain(docs: DataFrame, chain: Chain | None, targets: Sequence[str]) ->
     shared = spark.sparkContext.broadcast(chain)  # at most TOP features a label
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
-        zero = np.zeros(len(targets), np.float32)
-
-        def weight(word: str) -> np.ndarray:
-            ids = [model.index[f] for f in word_features(word) if f in model.index]
-            return model.weights[ids].sum(0) if ids else zero
-
-        known = _Memo(weight)
+        known = _WordRows(shared.value)
         for texts in batches:
-            sums = np.zeros((len(texts), len(targets)))
-            for i, x in enumerate(texts):
-                hits = [w for w in map(known.__getitem__, text_words(x.as_py())) if w is not zero]
-                if hits:
-                    sums[i] = np.sum(hits, axis=0, dtype=np.float64)
-            p = model.probabilities(sums)
+            sums = np.array([known.sums(x.as_py()) for x in texts]).reshape(-1, len(targets))
+            p = shared.value.probabilities(sums)
             yield pa.StructArray.from_arrays([pa.array(p[:, j]) for j in range(len(targets))], names=[f"p_{c}" for c in targets])
 
     kind = ", ".join(f"p_{c} double" for c in targets)
