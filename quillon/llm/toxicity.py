@@ -214,7 +214,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, targets: Sequence[str], *, s
     index = {f: i for i, f in enumerate(sorted(chosen))}
     wanted = spark.createDataFrame(pd.DataFrame({"feature": list(index), "id": list(index.values())}), "feature string, id long")
     order = F.xxhash64("doc_id", F.lit(9))
-    fit_on = rows.orderBy(order, "doc_id", *targets, "features", "places").limit(sample).withColumn("row", F.monotonically_increasing_id())
+    # The last hash that can be among the first `sample` is found on hashes alone, so that few features are moved.
+    last = rows.select(order.alias("o")).orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    fit_on = rows.where(order <= F.lit(last)).orderBy(order, "doc_id", *targets, "features", "places").limit(sample).withColumn("row", F.monotonically_increasing_id())
     fit_on = write_shared(fit_on, "fit-rows")
     slim = fit_on.select("row", *targets, "words", F.explode_outer(F.arrays_zip("features", "places")).alias("e"))
     slim = slim.select("row", *targets, "words", F.col("e.features").alias("feature"), F.col("e.places").alias("k")).join(F.broadcast(wanted), "feature", "left")
