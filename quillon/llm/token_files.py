@@ -42,6 +42,9 @@ SHARD_TOKENS = 1 << 20
 #: Words whose ids a Python worker keeps; beyond it starts anew, with the same ids.
 CACHE = 1 << 20
 
+#: Unknown words coded as one text, and the vocabulary's sign for a space.
+RUN, SPACE = 256, "\u0120"
+
 #: Shards (about 2 MB each) whose bases may be broadcast; beyond, the join is shuffled.
 BROADCAST_SHARDS = 1 << 20
 
@@ -98,8 +101,8 @@ class _Encoder:
     The tokenizer first cuts a text by a pattern and codes each piece alone. A
     single space between two characters that are not white space always starts a
     piece, so a text can be cut at such spaces and its words coded one by one, each
-    with the space before it. Words that are not known yet are coded in one call for
-    many texts; a text whose spaces do not all stand so is cut by the pattern itself.
+    with the space before it. Words that are not known yet are coded many at a time,
+    joined by single spaces, and told apart by the ids that hold these; a text whose spaces do not all stand so is cut by the pattern itself.
     """
 
     _ODD = re.compile(r" (?=\s|$)|(?:^|(?<=\s)) ")
@@ -113,6 +116,9 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose text starts with a space
+        self.spaced[[i for x, i in vocabulary.items() if x[:1] == SPACE]] = True
         self.words: dict[str, bytes] = {}  # ids of a word with a space before it
         self.known: dict[str, bytes] = {}  # ids of a piece as it is
 
@@ -128,26 +134,15 @@ class _Encoder:
         self.known.update((x, array.array("I", e.ids).tobytes()) for x, e in zip(missing, coded, strict=True))
 
     def _learn(self, new: set[str]) -> None:
-        """Add words; those of letters are a piece each, others are made of pieces."""
-        words, letters, tails, mixed = self.words, [], [], []
-        for w in new:
-            if w.isalpha():
-                letters.append(w)
-            elif w[-1:] in ".,;:!?" and (body := w[:-1]).isalpha():
-                tails.append((w, body))
-                if body not in words and body not in new:
-                    letters.append(body)
-            else:
-                mixed.append((w, self.pieces.findall(" " + w)))
-        coded = self.tokenizer.encode_batch_fast([" " + w for w in letters], add_special_tokens=False)
-        for w, e in zip(letters, coded, strict=True):
-            words[w] = array.array("I", e.ids).tobytes()
-        self._code({x for _, own in mixed for x in own} | {w[-1] for w, _ in tails})
-        known = self.known
-        for w, body in tails:
-            words[w] = words[body] + known[w[-1]]
-        for w, own in mixed:
-            words[w] = b"".join(map(known.__getitem__, own))
+        """Add words, RUN of them coded as one text; of a word's ids only the first holds a space."""
+        words = list(new)
+        runs = [words[a : a + RUN] for a in range(0, len(words), RUN)]
+        coded = self.tokenizer.encode_batch_fast([" " + " ".join(run) for run in runs], add_special_tokens=False)
+        for run, e in zip(runs, coded, strict=True):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids]) * 4
+            raw, ends = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
+            self.words.update((w, raw[a:b]) for w, a, b in zip(run, starts.tolist(), ends, strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
