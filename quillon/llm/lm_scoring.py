@@ -11,9 +11,9 @@ counts, so unseen words have a probability too.
 The recurrent part (a gated recurrent unit) is trained in numpy by backpropagation
 truncated at windows of WINDOW tokens: ROUNDS rounds in which REPLICAS replicas
 train on their share of the training windows and are averaged by tokens. All
-training texts are counted; one in WINDOW_RATE of their windows, chosen by a hash
-of document and place over the whole texts, is trained on. Scoring runs over whole
-texts of all rows, the state carried from window to window.
+training texts are counted and all their tokens, the end too, are trained on in
+every round; the padding of a text's last window has no part in the loss. Scoring
+runs over whole texts of all rows, the state carried from window to window.
 
 Only the DICTIONARY most frequent words go to the workers, a bounded list; the other
 words of each text are counted and joined with the word table, and their shares of
@@ -42,7 +42,7 @@ from ._text import small_batches
 HEAD, C_HEAD, C_FORM = 768, 24, 16
 HIDDEN = 16
 DICTIONARY = 1 << 18
-WINDOW, WINDOW_RATE, BATCH = 32, 8, 64
+WINDOW, BATCH = 32, 64
 REPLICAS, ROUNDS, RATE = 6, 4, 0.01
 #: Distinct words that a counting task holds before it passes them on, and bytes of text scored together.
 HOLD, POOL = 400_000, 8 << 20
@@ -183,8 +183,13 @@ def token_log(w: dict, bounds: np.ndarray, head_class: np.ndarray, h: np.ndarray
 
 
 def window_gradients(w: dict, bounds: np.ndarray, head_class: np.ndarray, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
-    """Gradients of the mean loss over one window (batch x time), the loss, and the state after it."""
+    """Gradients of the mean loss over one window (batch x time), the loss, and the state after it.
+
+    Targets of -1, at the end of a row only, are padding: they have no loss, and no gradient comes from behind them.
+    """
     n, (b, t) = HIDDEN, targets.shape
+    real = targets.T.ravel() >= 0
+    inputs = np.maximum(inputs, 0)
     grads = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
     kept, states = [], []
     for i in range(t):
@@ -192,7 +197,9 @@ def window_gradients(w: dict, bounds: np.ndarray, head_class: np.ndarray, inputs
         kept.append((h, z, r, new, ghn))
         states.append(nxt)
         h = nxt
-    log, dh_all = token_log(w, bounds, head_class, np.concatenate(states), targets.T.ravel(), grads)
+    log, dh_real = token_log(w, bounds, head_class, np.concatenate(states)[real], targets.T.ravel()[real], grads)
+    dh_all = np.zeros((t * b, n), np.float32)
+    dh_all[real] = dh_real
     dh_all = dh_all.reshape(t, b, n)
     dh = np.zeros((b, n), np.float32)
     dx = np.zeros((t, b, 3 * n), np.float32)
@@ -210,7 +217,7 @@ def window_gradients(w: dict, bounds: np.ndarray, head_class: np.ndarray, inputs
     by = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.diff(ids[by], prepend=-1))
     grads["x"][ids[by[first]]] = np.add.reduceat(rows[by], first)
-    size = b * t
+    size = int(real.sum())
     return {k: g / size for k, g in grads.items()}, -float(log.mean()), h
 
 
@@ -257,16 +264,32 @@ def training_windows(docs: DataFrame, shared) -> DataFrame:
                 key = zlib.crc32(str(doc).encode())
                 words = [b"", *tokens(text.as_py()), b""]
                 for i in range(0, -(-(len(words) - 1) // span)):
-                    if (key + i * 2654435761 >> 4) % WINDOW_RATE == 0 and len(own := words[i * span : (i + 1) * span + 1]) > 1:
-                        ids = np.array([p if (p := places.get(x, -1)) >= 0 else -1 - form(x) for x in own], np.int64)
-                        part = _model_ids(ids, forms).astype(np.int16)
-                        out.append(np.pad(part, (0, span + 1 - len(part)), constant_values=-1).tobytes())
-                        replica.append(key % REPLICAS)
+                    own = words[i * span : (i + 1) * span + 1]
+                    ids = np.array([p if (p := places.get(x, -1)) >= 0 else -1 - form(x) for x in own], np.int64)
+                    part = _model_ids(ids, forms).astype(np.int16)
+                    out.append(np.pad(part, (0, span + 1 - len(part)), constant_values=-1).tobytes())
+                    replica.append(key % REPLICAS)
             yield pa.RecordBatch.from_arrays([pa.array(replica, pa.int32()), pa.array(out, pa.binary())], ["replica", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, "replica int, ids binary")
 
 
+def update(w: dict, adam: Adam, bounds: np.ndarray, head_class: np.ndarray, rows: list[bytes]) -> int:
+    """Train ``w`` on rows of ``training_windows``; the number of tokens trained on."""
+    ids = np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), -1).astype(np.int64)
+    h, done = np.zeros((len(ids), HIDDEN), np.float32), 0
+    for a in (0, WINDOW):
+        some = ids[:, a + 1] >= 0
+        if not some.any():
+            break
+        ids, h = ids[some], h[some]
+        targets = ids[:, a + 1 : a + WINDOW + 1]
+        grads, _, h = window_gradients(w, bounds, head_class, ids[:, a : a + WINDOW], targets, h)
+        adam(w, grads)
+        done += int((targets >= 0).sum())
+    return done
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, shared) -> np.ndarray:
     """The flat weights after all rounds."""
     spark = docs.sparkSession
@@ -280,26 +303,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, shared) -> np.ndarray:
         def learn(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
             w, adam, seen, held = unflat(current.value), Adam(), 0, []
 
-            def update(rows: list[bytes]) -> int:
-                ids = np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), -1).astype(np.int64)
-                h, done = np.zeros((len(ids), HIDDEN), np.float32), 0
-                for a in (0, WINDOW):
-                    full = ids[:, a + WINDOW] >= 0
-                    if not full.any():
-                        break
-                    ids, h = ids[full], h[full]
-                    grads, _, h = window_gradients(w, bounds, head_class, ids[:, a : a + WINDOW], ids[:, a + 1 : a + WINDOW + 1], h)
-                    adam(w, grads)
-                    done += len(ids) * WINDOW
-                return done
-
             for batch in batches:
                 held += batch["ids"].to_pylist()
                 while len(held) >= BATCH:
-                    seen += update(held[:BATCH])
+                    seen += update(w, adam, bounds, head_class, held[:BATCH])
                     del held[:BATCH]
             if held:
-                seen += update(held)
+                seen += update(w, adam, bounds, head_class, held)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat(w).tobytes()], pa.binary())], ["n", "weights"])
 
