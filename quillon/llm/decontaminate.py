@@ -5,8 +5,10 @@ placeholders; what is left is lower-cased words. Windows of ``window`` canonical
 words of every document are hash-joined with those of the benchmark items, so a
 question asked again with other numbers or names still meets its item. A pair of
 document and item is contaminated if it shares ``min_windows`` distinct windows
-(or all that the item has) and its slots are consistent: along the best-matching
-alignment each item value stands for one document value and the other way round.
+(or all that the item has) and its slots are consistent: along one of its alignments
+each item value stands for one document value and the other way round. All alignments
+with ``min_windows`` windows (or all that the item has) are tried, and those of the
+most windows where none has so many.
 
 Defined cases: null, empty and short texts have no windows; items of fewer than
 ``window`` canonical words are looked for by one window of their own length, from 3
@@ -32,6 +34,7 @@ UNIT_RE = rf"(?i)(?<={NUM})\s?(?:%|°[cf]?|" + UNITS.replace(" ", "|") + r")(?![
 MONEY_RE = r"[$€£¥]\s?(?=\d)"
 TOKEN_RE = rf"[\p{{L}}\p{{N}}]+|[{MARKS}]"
 WINDOW, MIN_WINDOWS, SHORTEST = 8, 6, 3
+KINDS = ("exact", "reparameterised", "edited")
 #: Benchmark windows that may be broadcast; beyond, the join is shuffled.
 BROADCAST_WINDOWS = 1 << 20
 
@@ -90,7 +93,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     """(doc_id, row_hash, item_id, matched, item_windows, kind) for each contaminated pair.
 
     ``kind`` is exact (same slot values), reparameterised (other values, one to
-    one), or edited (the aligned stretch has a different number of slots).
+    one), or edited (the aligned stretch has a different number of slots); of several
+    consistent alignments the first kind in this order.
     """
     bench = write_shared(item_windows(benchmark, window), "item-windows")
     lengths = [r["k"] for r in bench.select("k").distinct().collect()]  # at most `window` numbers
@@ -109,14 +113,15 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     # Along each alignment, then over all: windows are counted once however often a document repeats them.
     lines = hits.groupBy(*own, "item_id", "n", "k", "shift").agg(F.countDistinct("h").alias("m"), F.min("place").alias("lo"), F.max("place").alias("hi"))
     total = hits.groupBy(*own, "item_id", "n").agg(F.countDistinct("h").alias("matched")).where(F.col("matched") >= F.least(F.lit(min_windows), F.col("n")))
-    best = lines.groupBy(*own, "item_id").agg(F.max_by(F.struct("k", "shift", "lo", "hi"), F.struct("m", -F.col("lo"))).alias("b"))
-    pairs = total.join(best, [*own, "item_id"])
-    pairs = write_shared(pairs.select(*own, "item_id", "matched", F.col("n").alias("item_windows"), "b.*"), "pairs")
+    # One row a pair, its alignments as a list that a document's length bounds.
+    tried = lines.groupBy(*own, "item_id").agg(F.max("m").alias("most"), F.collect_list(F.struct("m", "k", "shift", "lo", "hi")).alias("all"))
+    pairs = total.join(tried, [*own, "item_id"]).withColumn("least", F.least(F.lit(min_windows).cast("long"), F.col("n"), F.col("most")))
+    pairs = write_shared(pairs.select(*own, "item_id", "matched", F.col("n").alias("item_windows"), F.expr("filter(all, x -> x.m >= least)").alias("lines")), "pairs")
     return _checked(pairs, docs, benchmark)
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs whose slots are consistent, with their kind."""
+    """Pairs whose slots are consistent along any of their ``lines``, with their kind."""
     own = ["doc_id", "row_hash"]
     keys = pairs.select(*own).distinct().withColumnRenamed("doc_id", "i").withColumnRenamed("row_hash", "r")
     near = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
@@ -125,6 +130,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFra
     texts = near.select(F.col("doc_id").alias("i"), F.col("row_hash").alias("r"), canonical_words(F.col("text")).alias("dw"), slot_values(F.col("text")).alias("ds"))
     items = benchmark.select("item_id", canonical_words(F.col("text")).alias("iw"), slot_values(F.col("text")).alias("is"))
     j = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_hash") == F.col("r"))).join(items, "item_id")
+    j = j.select(*own, "item_id", "matched", "item_windows", "dw", "ds", "iw", "is", F.explode("lines").alias("line")).select("*", "line.*")
     end = F.col("hi") + F.col("k")
     ok, same, equal = F.lit(True), F.lit(True), F.lit(True)
     for mark, field in ((NUM, "numbers"), (NAME, "names")):
@@ -133,8 +139,10 @@ def _checked(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFra
         before, inside = _between(F.col("iw"), mark, F.col("lo") - F.col("shift"), end - F.col("shift"))
         b = F.slice(F.col("is")[field], before + 1, inside)
         ok, same, equal = ok & _consistent(a, b), same & (F.size(a) == F.size(b)), equal & (a == b)
-    kind = F.when(~same, "edited").when(equal, "exact").otherwise("reparameterised")
-    return j.where(ok).select(*own, "item_id", "matched", "item_windows", kind.alias("kind"))
+    kind = F.when(~same, 2).when(equal, 0).otherwise(1)
+    found = j.where(ok).select(*own, "item_id", "matched", "item_windows", kind.alias("kind"))
+    found = found.groupBy(*own, "item_id", "matched", "item_windows").agg(F.min("kind").alias("kind"))
+    return found.withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
