@@ -5,9 +5,11 @@ Segments that look variable (numbers, hexadecimal ids, dates) become wildcards a
 once; a node with more than ``max_children`` children of which none holds half the
 pages has them replaced by a wildcard. Labelled branches whose share of blocked
 pages does not differ from their siblings' by a two-proportion test are merged,
-and so are those without labels. A template is rejected if its purity, the share
-of blocked pages smoothed towards its host's and that towards the whole table's,
-reaches ``purity`` on at least ``min_labelled`` labelled pages.
+and so are those without labels. A template's purity is its share of blocked pages
+smoothed towards that of its parent, this towards the next one's, up to the host and
+the whole table, so a branch without labels has its parent's. A template is rejected
+if that reaches ``purity`` on a host of at least ``min_labelled`` labelled pages; on
+a host with fewer the table's own share must reach it too.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and is
 judged by no rule; a table without labels rejects nothing; equal rows are judged
@@ -96,14 +98,20 @@ def path_shape(path: Column, max_depth: int = 6) -> Column:
 
 
 def judge_templates(templates: DataFrame, *, purity: float = 0.8, prior: float = 4.0, min_labelled: int = 3) -> DataFrame:
-    """(host, template, purity, verdict); purity is smoothed to the host's, which is smoothed to the table's."""
+    """(host, template, purity, verdict); purity is smoothed towards each prefix, the host and the table in turn."""
     t = templates.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    host = Window.partitionBy("host")
-    total = templates.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("all_rate"))
-    t = t.join(F.broadcast(total))  # one row
-    host_rate = (F.sum("blocked").over(host) + prior * F.col("all_rate")) / (F.sum("labelled").over(host) + prior)
-    t = t.withColumn("purity", (F.col("blocked") + prior * host_rate) / (F.col("labelled") + prior))
-    bad = (F.col("labelled") >= min_labelled) & (F.col("purity") >= purity)
+    total = templates.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("all_rate"), F.sum("labelled").alias("all_labelled"))
+    # The host is level 0, with the empty prefix.
+    parts = F.split("template", "/")
+    levels = t.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("level", "prefix"))
+    sums = levels.groupBy("host", "prefix").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    up = levels.join(sums, ["host", "prefix"]).groupBy("host", "template", "n", "labelled", "blocked").agg(F.sort_array(F.collect_list(F.struct("level", "l", "b"))).alias("up"))
+    t = up.join(F.broadcast(total))  # one row
+    # A level with the same labelled pages as the one above says nothing new.
+    own = F.array_distinct(F.transform("up", lambda x: F.struct(x["l"].alias("l"), x["b"].alias("b"))))
+    t = t.withColumn("purity", F.aggregate(own, F.col("all_rate"), lambda p, x: (x["b"] + prior * p) / (x["l"] + prior)))
+    enough = (F.col("up")[0]["l"] >= min_labelled) | ((F.col("all_labelled") >= min_labelled) & (F.col("all_rate") >= purity))
+    bad = enough & (F.col("purity") >= purity)
     return t.select("host", "template", "n", "labelled", "purity", F.when(bad, "block").otherwise("allow").alias("verdict"))
 
 
