@@ -42,12 +42,13 @@ def _topk(queries: DataFrame, items: DataFrame, k: int, measure: str) -> DataFra
         near = -(q @ x.T) if measure == "cosine" else ((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T)
         order = np.argsort(ids, kind="stable")
         near, ids = near[:, order], ids[order]
-        # Ties go to the smaller id, so everything within rounding of the k-th stays.
-        best = np.argsort(near, axis=1, kind="stable")[:, : k + 8]
+        # Cut in the final order, by rounded distance and then by id.
+        rounded = np.copysign(np.floor(np.abs(near) * 1e6 + 0.5) / 1e6, near) + 0.0
+        best = np.argsort(rounded, axis=1, kind="stable")[:, :k]
         who = np.repeat(np.arange(len(qid)), best.shape[1])
-        return pd.DataFrame({"query_id": np.array(qid, object)[who], "node_id": ids[best.ravel()], "distance": near[who, best.ravel()].astype(np.float64)})
+        return pd.DataFrame({"query_id": np.array(qid, object)[who], "node_id": ids[best.ravel()], "near": rounded[who, best.ravel()], "distance": near[who, best.ravel()].astype(np.float64)})
 
-    schema = f"query_id {kinds[0]}, node_id {kinds[1]}, distance double"
+    schema = f"query_id {kinds[0]}, node_id {kinds[1]}, near double, distance double"
     if small_enough(blocks, BROADCAST_BLOCKS):
         held = spark.sparkContext.broadcast([(list(r["qid"]), np.frombuffer(bytes(r["qvec"]), np.float32).reshape(-1, r["dim"]).astype(np.float64)) for r in blocks.collect()])  # at most BROADCAST_BLOCKS blocks
 
@@ -67,11 +68,11 @@ def _topk(queries: DataFrame, items: DataFrame, k: int, measure: str) -> DataFra
         def meet(key: tuple, x: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             vecs = np.array(x["embedding"].tolist(), np.float64)
             parts = [nearest(list(qid), np.frombuffer(v, np.float32).reshape(-1, d).astype(np.float64), x["node_id"].to_numpy(), vecs) for qid, v, d in zip(b["qid"], b["qvec"], b["dim"], strict=True)]
-            return pd.concat(parts) if len(x) and parts else pd.DataFrame({"query_id": [], "node_id": [], "distance": []})
+            return pd.concat(parts) if len(x) and parts else pd.DataFrame({"query_id": [], "node_id": [], "near": [], "distance": []})
 
         found = dealt.groupBy("p").cogroup(pairs.groupBy("p")).applyInPandas(meet, schema)
     order = Window.partitionBy("query_id").orderBy("near", "node_id")
-    return found.withColumn("near", F.round("distance", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def topk_cosine(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
