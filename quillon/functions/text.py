@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 DICT_STOPWORDS = ("and", "or", "the", "a", "an", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "are", "was", "were", "be", "been", "being")
 #: Words trimmed from the ends of n-gram baseline windows.
 NGRAM_STOPWORDS = ("the", "a", "an", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "are", "was", "were", "be", "been", "being", "and", "or", "that", "this", "which", "it", "its", "into", "under")
+#: Words trimmed from the ends of hybrid windows.
+HYBRID_STOPWORDS = tuple(w for w in NGRAM_STOPWORDS if w not in ("into", "under"))
 #: Words too general to stand for a term.
 GENERIC_WORDS = ("development", "process", "response", "regulation", "activity", "function", "organization", "pathway", "mechanism", "system", "signaling", "expression", "biosynthesis", "metabolism", "growth", "integrity", "homeostasis", "cascade", "network", "machinery")
 

@@ -185,6 +185,12 @@ def candidate_phrases(docs: DataFrame, *, max_ngram: int = 5, limit: int = 80) -
     return w.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("doc_id", "rank", "phrase")
 
 
+def hybrid_phrases(docs: DataFrame, *, max_ngram: int = 5) -> DataFrame:
+    """(doc_id, phrase): all distinct windows without stopwords at their ends, and the whole text."""
+    w = phrase_windows(docs, max_ngram, T.HYBRID_STOPWORDS, T.TOKEN_NO_SLASH).select("doc_id", F.array_join("words", " ").alias("phrase"))
+    return w.unionByName(docs.select("doc_id", F.lower(F.trim("text")).alias("phrase"))).where("phrase <> ''").distinct()
+
+
 def normalize_terms(mentions: DataFrame, terms: DataFrame, *, alias: DataFrame, fuzzy_threshold: float = 0.85) -> DataFrame:
     """(mention, term_id, how): by exact name, else by a leading id, else by the closest name."""
     m = mentions.select("mention").distinct().withColumn("phrase", F.lower(F.trim("mention")))

@@ -502,7 +502,7 @@ def annotate_vector(spark, sf):
 def annotate_hybrid(spark, sf):
     terms = _terms(spark, sf)
     docs = _t(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    phrases = match.candidate_phrases(docs, max_ngram=3).select("doc_id", "phrase")
+    phrases = match.hybrid_phrases(docs)
     q = phrases.select("phrase").distinct().withColumn("query_id", F.xxhash64("phrase"))
     items = hash_embed(terms.select(F.col("term_id").alias("node_id"), "name"), "node_id", "name")
     hits = vectors.topk_cosine(hash_embed(q, "query_id", "phrase"), items, 5).join(q, "query_id").select("phrase", F.col("node_id").alias("term_id"), "similarity", "rank")
