@@ -212,7 +212,7 @@ def text_node_and_term(spark, sf):
 
 @query()
 def text_candidate_phrases(spark, sf):
-    return match.candidate_phrases(_t(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    return match.candidate_phrases(_t(spark, sf, "documents").select("doc_id", "text"))
 
 
 # ---------------------------------------------------------------- matching
