@@ -8,10 +8,11 @@ of (doc_id, row hash, line). Steps:
 1. Winnowing: for the shortest window of lines from each line on that holds
    ``min_words`` words, the line of least hash is a fingerprint. Equal runs that
    long hold an equal window, so they share a fingerprint.
-2. Fingerprints that stand at two places or more are joined to all their places.
-3. From each such place the match is extended both ways: the windows around it
-   that begin or end at each line are compared by hash with those of the other
-   places; the first place of each window stays, the others are repeats. Windows
+2. Windows from a line on are kept only if they hold a fingerprint that stands at
+   two places or more. This saves work and does not change the result.
+3. No match is extended: those windows, and the windows that end at each line, are
+   grouped by the hash of the whole window; the first place of each stays, the
+   others are repeats. Windows
    that begin at a line cover a run up to its last lines, those that end at a line
    cover these, so together they cover exactly the repeated runs.
 4. Lines under a repeated window are merged into runs and deleted.
