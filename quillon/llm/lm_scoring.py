@@ -9,15 +9,19 @@ given the state, and for another word its add-one share of the class's training
 counts, so unseen words have a probability too.
 
 The recurrent part (a gated recurrent unit) is trained in numpy by backpropagation
-truncated at windows of WINDOW tokens: ROUNDS rounds in which REPLICAS replicas
-train on their share of the training windows and are averaged by tokens. All
-training texts are counted and all their tokens, the end too, are trained on in
-every round; the padding of a text's last window has no part in the loss. Scoring
-runs over whole texts of all rows, the state carried from window to window.
+truncated at windows of WINDOW tokens, in one pass over all tokens of all training
+texts, ends too: the pass is cut into ROUNDS rounds, in each of which replicas train
+on about REPLICA_TOKENS tokens each and are averaged by tokens, in a tree. Round,
+replica and order of a window come from hashes of its document and place, and the
+number of replicas from the number of training tokens, so the model does not depend
+on how the table is partitioned. The padding of a text's last window has no part in
+the loss. Scoring runs over whole texts of all rows, the state carried from window to
+window.
 
 Only the DICTIONARY most frequent words go to the workers, a bounded list; the other
 words of each text are counted and joined with the word table, and their shares of
-the sums are added exactly.
+the sums are added exactly. Texts are coded once, as two bytes a token; training and
+scoring read the codes. A very long text is one row; its codes are held as one array.
 
 Defined cases: null and empty texts are one end token; a null id is held out or not
 as the text ''; rows of equal id are scored each on its own; without training rows
@@ -30,28 +34,33 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import write_shared
-from ._text import small_batches
+from ._text import mix, small_batches
 
 HEAD, C_HEAD, C_FORM = 768, 24, 16
 HIDDEN = 16
 DICTIONARY = 1 << 18
-WINDOW, BATCH = 32, 64
-REPLICAS, ROUNDS, RATE = 6, 4, 0.01
-#: Distinct words that a counting task holds before it passes them on, and bytes of text scored together.
-HOLD, POOL = 400_000, 8 << 20
+WINDOW, BATCH = 32, 128
+ROUNDS, RATE = 4, 0.01
+#: Training tokens of a replica in a round, and replicas averaged by one task.
+REPLICA_TOKENS, FAN_IN = 1 << 20, 64
+#: Distinct words that a counting task holds before it passes them on, and tokens scored together.
+HOLD, POOL = 400_000, 1 << 20
 SEED = 3
 _N_IN = HEAD + C_FORM
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens(text: bytes | str | None) -> list[bytes]:
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return raw.lower().split()
 
 
 def form(word: bytes) -> int:
@@ -77,7 +86,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(forms, pa.int32()), pa.array(list(found.values()), pa.int64())], ["word", "form", "c"])
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
                 if not held_out(doc):
                     found.update(tokens(text.as_py()))
                     found[b""] += 1
@@ -190,7 +199,7 @@ def window_gradients(w: dict, bounds: np.ndarray, head_class: np.ndarray, inputs
     n, (b, t) = HIDDEN, targets.shape
     real = targets.T.ravel() >= 0
     inputs = np.maximum(inputs, 0)
-    grads = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
+    grads = {k: np.zeros_like(w[k]) for k in SHAPES}
     kept, states = [], []
     for i in range(t):
         nxt, z, r, new, ghn = _step(w, inputs[:, i], h)
@@ -198,11 +207,11 @@ def window_gradients(w: dict, bounds: np.ndarray, head_class: np.ndarray, inputs
         states.append(nxt)
         h = nxt
     log, dh_real = token_log(w, bounds, head_class, np.concatenate(states)[real], targets.T.ravel()[real], grads)
-    dh_all = np.zeros((t * b, n), np.float32)
+    dh_all = np.zeros((t * b, n), h.dtype)
     dh_all[real] = dh_real
     dh_all = dh_all.reshape(t, b, n)
-    dh = np.zeros((b, n), np.float32)
-    dx = np.zeros((t, b, 3 * n), np.float32)
+    dh = np.zeros((b, n), h.dtype)
+    dx = np.zeros((t, b, 3 * n), h.dtype)
     for i in range(t - 1, -1, -1):
         before, z, r, new, ghn = kept[i]
         dh = dh + dh_all[i]
@@ -235,43 +244,67 @@ class Adam:
             w[k] -= RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
 
 
-def _ids(places: dict, text: str | None, rest: Counter | None = None) -> tuple[np.ndarray, list[bytes]]:
-    """Dictionary places of a text's tokens with the end last; -1 - form for other words."""
-    words = tokens(text)
-    ids = [places.get(x, -1) for x in words]
-    other = [i for i, p in enumerate(ids) if p < 0]
-    for i in other:
-        ids[i] = -1 - form(words[i])
-    return np.array([*ids, places.get(b"", -1)], np.int64), [words[i] for i in other]
+def code_texts(docs: DataFrame, shared) -> DataFrame:
+    """Each row of ``docs`` coded: ``ids`` are the model's ids of all tokens, ``other`` the words outside the dictionary.
 
+    ``known``, ``base`` and ``inner`` are the dictionary tokens' parts of n_known, the base score and the
+    score of words within their form class.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner", "ids", "other"]
 
-def _model_ids(ids: np.ndarray, forms: np.ndarray) -> np.ndarray:
-    """Ids of the model: head tokens by place, others by their form class."""
-    return np.where(ids >= HEAD, HEAD + forms[np.minimum(ids, len(forms) - 1)], np.where(ids < 0, HEAD - 1 - ids, ids))
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, seen = shared.value, 0
+        get, forms, base, inner = v["places"].get, v["forms"], v["base"], v["inner"]
+        end = get(b"", -1)
+        for batch in batches:
+            rows = []
+            for text in batch["text"].cast(pa.binary()):
+                words = tokens(text.as_py())
+                at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                gaps = np.flatnonzero(at < 0)
+                other = [words[i] for i in gaps.tolist()]
+                inside = np.append(at[at >= 0], end) if end >= 0 else at[at >= 0]
+                ids = np.append(np.where(at >= HEAD, HEAD + forms[at], at), end if end >= 0 else HEAD)
+                if other:
+                    ids[gaps] = [HEAD + form(x) for x in other]
+                score = base[inside].sum() + (0.0 if end >= 0 else v["unseen"])
+                rows.append((len(ids), len(inside), score, inner[inside[inside >= HEAD]].sum(), ids.astype("<i2").tobytes(), other))
+            part = batch["part"].to_pylist()
+            docs_here = batch["doc_id"].to_pylist()
+            columns = [pa.array([p * (1 << 33) + seen + i for i, p in enumerate(part)], pa.int64()), batch["doc_id"], pa.array([held_out(d) for d in docs_here])]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+            columns += [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            seen += len(rows)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    return rows.mapInArrow(code, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, inner double, ids binary, other array<binary>")
 
 
-def training_windows(docs: DataFrame, shared) -> DataFrame:
-    """(replica, ids): two consecutive windows each, led by the token before them, of the training texts."""
+def training_windows(coded: DataFrame, end: int, replicas: int) -> DataFrame:
+    """(round, replica, key, ids): two consecutive windows a row, led by the token before them, of the training texts."""
     span = 2 * WINDOW
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, forms = shared.value["places"], shared.value["forms"]
         for batch in batches:
-            out, replica = [], []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                if held_out(doc):
-                    continue
-                key = zlib.crc32(str(doc).encode())
-                words = [b"", *tokens(text.as_py()), b""]
-                for i in range(0, -(-(len(words) - 1) // span)):
-                    own = words[i * span : (i + 1) * span + 1]
-                    ids = np.array([p if (p := places.get(x, -1)) >= 0 else -1 - form(x) for x in own], np.int64)
-                    part = _model_ids(ids, forms).astype(np.int16)
-                    out.append(np.pad(part, (0, span + 1 - len(part)), constant_values=-1).tobytes())
-                    replica.append(key % REPLICAS)
-            yield pa.RecordBatch.from_arrays([pa.array(replica, pa.int32()), pa.array(out, pa.binary())], ["replica", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(cut, "replica int, ids binary")
+            keys, out = [], []
+            for doc, raw in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                n = len(raw) // 2
+                rows = -(-n // span)
+                padded = np.full(rows * span + 1, -1, "<i2")
+                padded[0], padded[1 : n + 1] = end, np.frombuffer(raw, "<i2")
+                own = np.uint64(zlib.crc32(raw, zlib.crc32(str(doc).encode())))
+                keys.append(mix((own << np.uint64(32)) + np.arange(rows, dtype=np.uint64)))
+                out += [padded[a : a + span + 1].tobytes() for a in range(0, rows * span, span)]
+            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            part = (key >> np.uint64(8)) % np.uint64(replicas)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((key % np.uint64(ROUNDS)).astype(np.int32)), pa.array(part.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(out, pa.binary())],
+                ["round", "replica", "key", "ids"],
+            )
+
+    return coded.where("not held_out").select("doc_id", "ids").mapInArrow(cut, "round int, replica long, key long, ids binary")
 
 
 def update(w: dict, adam: Adam, bounds: np.ndarray, head_class: np.ndarray, rows: list[bytes]) -> int:
@@ -290,59 +323,75 @@ def update(w: dict, adam: Adam, bounds: np.ndarray, head_class: np.ndarray, rows
     return done
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, shared) -> np.ndarray:
-    """The flat weights after all rounds."""
-    spark = docs.sparkSession
-    windows = write_shared(training_windows(docs, shared), "windows")
-    now = flat(vocabulary.start())
-    bounds, head_class = vocabulary.bounds, vocabulary.head_class
+def _average(parts: list[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
+    """(tokens, mean weights) of replicas, weighted by their tokens."""
+    n = [p[0] for p in parts]
+    return sum(n), np.average([np.frombuffer(p[1], np.float32) for p in parts], axis=0, weights=n)
+
+
+def train(windows: DataFrame, start: dict[str, np.ndarray], bounds: np.ndarray, head_class: np.ndarray, replicas: int) -> np.ndarray:
+    """The flat weights after all rounds over ``windows`` of ``training_windows``."""
+    spark = windows.sparkSession
+    now = flat(start)
 
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         current = spark.sparkContext.broadcast(now)
 
         def learn(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
-            w, adam, seen, held = unflat(current.value), Adam(), 0, []
+            own, held = None, []
+
+            def done() -> pa.RecordBatch:
+                nonlocal seen
+                if held:
+                    seen += update(w, adam, bounds, head_class, held)
+                return pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([seen], pa.int64()), pa.array([flat(w).tobytes()], pa.binary())], ["replica", "n", "weights"])
 
             for batch in batches:
-                held += batch["ids"].to_pylist()
-                while len(held) >= BATCH:
-                    seen += update(w, adam, bounds, head_class, held[:BATCH])
-                    del held[:BATCH]
-            if held:
-                seen += update(w, adam, bounds, head_class, held)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat(w).tobytes()], pa.binary())], ["n", "weights"])
-
-        parts = windows.select("ids").repartition(REPLICAS).mapInArrow(learn, "n long, weights binary").collect()  # one row a replica
-        if parts:
-            n = np.array([p["n"] for p in parts], np.float64)
-            now = np.average([np.frombuffer(p["weights"], np.float32) for p in parts], axis=0, weights=n).astype(np.float32)
+                for replica, ids in zip(batch["replica"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                    if replica != own:
+                        if own is not None:
+                            yield done()
+                        own, w, adam, seen, held = replica, unflat(current.value), Adam(), 0, []
+                    held.append(ids)
+                    if len(held) == BATCH:
+                        seen += update(w, adam, bounds, head_class, held)
+                        held = []
+            if own is not None:
+                yield done()
+
+        def merge(parts: pa.Table) -> pa.Table:
+            rows = sorted(parts.to_pylist(), key=lambda r: r["replica"])
+            n, mean = _average([(r["n"], r["weights"]) for r in rows])
+            return pa.table({"replica": pa.array([rows[0]["replica"] // FAN_IN], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+        own = windows.where(F.col("round") == turn).select("replica", "key", "ids")
+        own = own.repartitionByRange(replicas, "replica").sortWithinPartitions("replica", "key", "ids")
+        parts, left = own.select("replica", "ids").mapInArrow(learn, "replica long, n long, weights binary"), replicas
+        while left > FAN_IN:
+            parts = parts.groupBy(F.expr(f"replica div {FAN_IN}")).applyInArrow(merge, "replica long, n long, weights binary")
+            left = -(-left // FAN_IN)
+        rows = parts.collect()  # at most FAN_IN rows of the model's size
+        if rows:
+            now = _average([(r["n"], r["weights"]) for r in sorted(rows, key=lambda r: r["replica"])])[1].astype(np.float32)
     return now
 
 
-def score_texts(texts: list[str | None], places: dict, forms: np.ndarray, known: dict, w: dict) -> list[tuple]:
-    """For each text (n_tokens, n_known, base, score, other words): the dictionary's part of the sums."""
-    bounds, head_class = known["bounds"], known["head_class"]
-    coded = [_ids(places, t) for t in texts]
-    order = np.argsort([-len(c[0]) for c in coded], kind="stable")
-    sizes = np.array([len(coded[i][0]) for i in order])
+def text_logs(coded: list[np.ndarray], end: int, bounds: np.ndarray, head_class: np.ndarray, w: dict) -> np.ndarray:
+    """The model's natural log-probability of each text, from the model's ids of its tokens."""
+    sizes = np.array([len(x) for x in coded], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    sizes, score = sizes[order], np.zeros(len(coded))
+    h, last = np.zeros((len(coded), HIDDEN), np.float32), np.full(len(coded), end, np.int64)
     width = int(sizes[0]) if len(sizes) else 0
-    model = [_model_ids(coded[i][0], forms) for i in order]
-    score = np.zeros(len(texts))
-    h = np.zeros((len(texts), HIDDEN), np.float32)
-    last = np.full(len(texts), places.get(b"", 0), np.int64)
-    last = _model_ids(last, forms)
     for a in range(0, width, WINDOW):
         live = int(np.searchsorted(-sizes, -a, side="left"))
         ids = np.full((live, WINDOW), -1, np.int64)
         for i in range(live):
-            part = model[i][a : a + WINDOW]
+            part = coded[order[i]][a : a + WINDOW]
             ids[i, : len(part)] = part
         states, targets, owners = [], [], []
         for t in range(min(WINDOW, width - a)):
             n = int(np.searchsorted(-sizes[:live], -(a + t), side="left"))
-            if not n:
-                break
             h[:n] = _step(w, last[:n], h[:n])[0]
             states.append(h[:n].copy())
             targets.append(ids[:n, t])
@@ -350,17 +399,19 @@ def score_texts(texts: list[str | None], places: dict, forms: np.ndarray, known:
             last[:n] = ids[:n, t]
         log, _ = token_log(w, bounds, head_class, np.concatenate(states), np.concatenate(targets))
         score[:live] += np.bincount(np.concatenate(owners), log, live)
-    out: list = [None] * len(texts)
-    for at, i in enumerate(order):
-        ids, other = coded[i]
-        inside = ids[ids >= 0]
-        tail = inside[inside >= HEAD]
-        missing_end = ids[-1] < 0
-        base = known["base"][inside].sum() + (known["unseen"] if missing_end else 0.0)
-        out[i] = len(ids), len(inside), base, score[at] / np.log(10) + known["inner"][tail].sum(), other
+    out = np.zeros(len(coded))
+    out[order] = score
     return out
 
 
+def _dictionary(table: DataFrame) -> pa.Table:
+    """(word, form, c) of the DICTIONARY most frequent words, ties by word."""
+    levels = table.groupBy("c").agg(F.count("*").alias("n"))  # far fewer rows than words
+    upto = F.sum("n").over(Window.orderBy(F.desc("c")))
+    least = levels.select("c", upto.alias("upto")).where(F.col("upto") >= DICTIONARY).agg(F.max("c")).first()[0] or 0
+    return table.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(DICTIONARY).toArrow()
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``."""
     spark = docs.sparkSession
@@ -369,51 +420,49 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     table = write_shared(word_counts(docs), "words")
     by_form = {r["form"]: (r["n"], r["v"]) for r in table.groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # C_FORM + 1 rows
     total_n, total_v = sum(n for n, _ in by_form.values()), sum(v for _, v in by_form.values())
-    top = table.orderBy(F.desc("c"), "word").limit(DICTIONARY).collect()  # a bounded list
-    words = [bytes(r["word"]) for r in top]
-    counts = np.array([r["c"] for r in top], np.float64)
-    forms = np.array([max(0, r["form"]) for r in top], np.int64) if top else np.zeros(1, np.int64)
-    head_of = Counter()
-    for r in top[:HEAD]:
-        head_of[r["form"]] += r["c"]
-    head_v = Counter(r["form"] for r in top[:HEAD])
-    rest = {f: (n - head_of[f], v - head_v[f]) for f, (n, v) in by_form.items()}
+    top = _dictionary(table)  # a bounded list
+    words = top["word"].to_pylist()
+    counts, forms = np.asarray(top["c"], np.float64), np.maximum(0, np.asarray(top["form"], np.int64))
+    head_n, head_v = np.bincount(forms[:HEAD], counts[:HEAD], C_FORM), np.bincount(forms[:HEAD], minlength=C_FORM)
+    if b"" in words[:HEAD]:  # the end token belongs to no form
+        head_n[0], head_v[0] = head_n[0] - counts[words.index(b"")], head_v[0] - 1
+    rest = {f: (n - head_n[f], v - head_v[f]) for f, (n, v) in by_form.items() if f >= 0}
     vocabulary = Vocabulary(words, counts.tolist(), (total_n, total_v), rest)
     denominator = total_n + total_v + 1
-    inner = np.log10((counts + 1) / (vocabulary.form_n[forms] + vocabulary.form_v[forms] + 1)) if top else np.zeros(1)
-    known = {"bounds": vocabulary.bounds, "head_class": vocabulary.head_class, "base": np.log10((counts + 1) / denominator), "inner": inner, "unseen": float(np.log10(1 / denominator))}
-    places = {x: i for i, x in enumerate(words)}
-    shared = spark.sparkContext.broadcast({"places": places, "forms": forms, "known": known})
-    weights = train(docs, vocabulary, shared) if top else flat(vocabulary.start())
+    inner = np.log10((counts + 1) / (vocabulary.form_n[forms] + vocabulary.form_v[forms] + 1))
+    places, one = {x: i for i, x in enumerate(words)}, np.zeros(1)
+    shared = spark.sparkContext.broadcast({"places": places, "forms": np.append(forms, 0), "base": np.log10((np.append(counts, one) + 1) / denominator), "inner": np.append(inner, one), "unseen": float(np.log10(1 / denominator))})
+    coded = write_shared(code_texts(docs, shared), "coded")
+    bounds, head_class = vocabulary.bounds, vocabulary.head_class
+    end = places.get(b"", -1)
+    end = HEAD if end < 0 else end if end < HEAD else HEAD + int(forms[end])
+    weights = flat(vocabulary.start())
+    if words:
+        replicas = max(1, -(-total_n // (ROUNDS * REPLICA_TOKENS)))
+        weights = train(write_shared(training_windows(coded, end, replicas), "windows"), vocabulary.start(), bounds, head_class, replicas)
     model = spark.sparkContext.broadcast(weights)
-    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "other"]
+    names = ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w, held, size, seen = shared.value, unflat(model.value), [], 0, 0
+        w, held, size = unflat(model.value), [], 0
 
-        def out(rows: list) -> pa.RecordBatch:
-            done = score_texts([r[2] for r in rows], v["places"], v["forms"], v["known"], w)
-            rid = [r[0] * (1 << 33) + seen + i for i, r in enumerate(rows)]
-            columns = [pa.array(rid, pa.int64()), pa.array([r[1] for r in rows], id_type), pa.array([held_out(r[1]) for r in rows])]
-            columns += [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())))]
-            return pa.RecordBatch.from_arrays(columns, names)
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            ids = [np.frombuffer(x, "<i2").astype(np.int64) for x in rows["ids"].to_pylist()]
+            total = text_logs(ids, end, bounds, head_class, w) / np.log(10) + np.asarray(rows["inner"])
+            return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in names[:-1]), pa.array(total)], names)
 
-        id_type = pa.int64()
         for batch in batches:
-            id_type = batch["doc_id"].type
-            for row in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                held.append(row)
-                size += len(row[2] or "")
-                if size >= POOL:
-                    yield out(held)
-                    seen += len(held)
-                    held, size = [], 0
+            held.append(batch)
+            size += pc.sum(batch["n_tokens"]).as_py() or 0
+            if size >= POOL:
+                yield out()
+                held, size = [], 0
         if held:
-            yield out(held)
+            yield out()
 
-    rows = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    scored = write_shared(rows.mapInArrow(score, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, other array<binary>"), "scored")
-    others = scored.select("rid", F.explode("other").alias("word")).groupBy("word", "rid").agg(F.count("*").alias("n"))
+    scored = coded.drop("other").mapInArrow(score, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double")
+    others = coded.select("rid", F.explode("other").alias("word")).groupBy("word", "rid").agg(F.count("*").alias("n"))
     found = others.join(table, "word", "left")
     n_form = F.element_at(F.array(*[F.lit(float(a + b + 1)) for a, b in zip(vocabulary.form_n, vocabulary.form_v, strict=True)]), F.col("f") + 1)
     first, last = F.substring("word", 1, 1), F.expr("substring(word, -1, 1)")
@@ -424,12 +473,12 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         F.sum(F.col("n") * F.log10((seen + 1) / F.lit(float(denominator)))).alias("more_base"),
         F.sum(F.col("n") * F.log10((seen + 1) / n_form)).alias("more_score"),
     )
-    both = scored.drop("other").join(sums, "rid", "left")
+    both = scored.join(sums, "rid", "left")
     return both.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(total_n)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
@@ -443,5 +492,3 @@ def _form_column(first, last):
     group = F.when(a >= 128, 7).when((a >= 97) & (a <= 122), F.least(F.lit(6), F.floor((a - 97) * 7 / 26).cast("int"))).otherwise(6)
     return (2 * group + F.when(((z < 97) | (z > 122)) & (z < 128), 1).otherwise(0)).cast("int")
 
-
-ORACLE = None

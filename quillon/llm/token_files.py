@@ -21,6 +21,7 @@ Extra columns are not read. A document is never split over shards.
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import uuid
@@ -98,11 +99,13 @@ def dac_get(levels: list[dict], i: int) -> int:
 class _Encoder:
     """Ids of whole texts through the tokenizer, remembering those of words.
 
-    The tokenizer first cuts a text by a pattern and codes each piece alone. A
-    single space between two characters that are not white space always starts a
+    The byte-level tokenizer first cuts a text by a pattern and codes each piece alone.
+    A single space between two characters that are not white space always starts a
     piece, so a text can be cut at such spaces and its words coded one by one, each
     with the space before it. Words that are not known yet are coded many at a time,
-    joined by single spaces, and told apart by the ids that hold these; a text whose spaces do not all stand so is cut by the pattern itself.
+    joined by single spaces, and told apart by the ids that hold these. A text whose
+    spaces do not all stand so is cut by the pattern itself. A text that holds an added token goes to the tokenizer as it is, and so do all
+    texts of a tokenizer that is built otherwise.
     """
 
     _ODD = re.compile(r" (?=\s|$)|(?:^|(?<=\s)) ")
@@ -114,7 +117,9 @@ class _Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.by_pieces = _codes_pieces_alone(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose text starts with a space
@@ -128,24 +133,31 @@ class _Encoder:
             return False
         return not (self._RARE_SPACE.search(text) and self._ODD.search(text))
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _code(self, pieces: set[str]) -> None:
         missing = list(pieces - self.known.keys())
-        coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.known.update((x, array.array("I", e.ids).tobytes()) for x, e in zip(missing, coded, strict=True))
+        self.known.update(zip(missing, self._whole(missing), strict=True))
 
     def _learn(self, new: set[str]) -> None:
         """Add words, RUN of them coded as one text; of a word's ids only the first holds a space."""
         words = list(new)
         runs = [words[a : a + RUN] for a in range(0, len(words), RUN)]
-        coded = self.tokenizer.encode_batch_fast([" " + " ".join(run) for run in runs], add_special_tokens=False)
-        for run, e in zip(runs, coded, strict=True):
-            ids = np.array(e.ids, "<u4")
-            starts = np.flatnonzero(self.spaced[ids]) * 4
-            raw, ends = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
+        for run, raw in zip(runs, self._whole([" " + " ".join(run) for run in runs]), strict=True):
+            starts = np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")]) * 4
+            ends = [*starts[1:].tolist(), len(raw)]
             self.words.update((w, raw[a:b]) for w, a, b in zip(run, starts.tolist(), ends, strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
+        whole = [i for i, x in enumerate(texts) if not self.by_pieces or self.added and self.added.search(x)]
+        if whole:
+            aside = set(whole)
+            rest = [i for i in range(len(texts)) if i not in aside]
+            out = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
+            out |= zip(rest, self.batch([texts[i] for i in rest]) if rest else [], strict=True)
+            return [out[i] for i in range(len(texts))]
         if len(self.words) > CACHE:
             self.words.clear()
         if len(self.known) > CACHE // 4:
@@ -173,6 +185,15 @@ class _Encoder:
         return self.batch([text])[0]
 
 
+def _codes_pieces_alone(path: str) -> bool:
+    """Whether the tokenizer is a byte-level one whose standard pattern cuts texts into pieces coded alone."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return plain and spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+
+
 _encoders: dict[str, _Encoder] = {}
 
 
