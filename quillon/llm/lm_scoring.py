@@ -48,12 +48,14 @@ from ._text import mix, small_batches
 HEAD, C_HEAD, C_FORM = 768, 24, 16
 HIDDEN = 16
 DICTIONARY = 1 << 18
-WINDOW, BATCH = 32, 128
+WINDOW, BATCH = 32, 256
 ROUNDS, RATE = 4, 0.01
 #: Training tokens of a replica in a round, and replicas averaged by one task.
 REPLICA_TOKENS, FAN_IN = 1 << 20, 64
 #: Distinct words that a counting task holds before it passes them on, and tokens scored together.
 HOLD, POOL = 400_000, 1 << 20
+#: Tokens whose softmaxes are taken at once, so that these stay in the processor's cache.
+SLICE = 4096
 SEED = 3
 _N_IN = HEAD + C_FORM
 
@@ -143,90 +145,102 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place, as a hyperbolic tangent, which does not overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
-def _step(w: dict, ids: np.ndarray, h: np.ndarray) -> tuple:
+def _step(u: np.ndarray, gx: np.ndarray, h: np.ndarray) -> tuple:
+    """The next states, and what backpropagation needs; a column a text, ``gx`` the inputs' part of the gates."""
     n = HIDDEN
-    gx, gh = w["x"][ids], h @ w["u"]
-    zr = _sigmoid(gx[:, : 2 * n] + gh[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    new = np.tanh(gx[:, 2 * n :] + r * gh[:, 2 * n :])
-    return z * h + (1 - z) * new, z, r, new, gh[:, 2 * n :]
+    gh = u.T @ h
+    zr = _sigmoid(gx[: 2 * n] + gh[: 2 * n])
+    z, r, ghn = zr[:n], zr[n:], gh[2 * n :]
+    new = np.tanh(gx[2 * n :] + r * ghn)
+    return z * (h - new) + new, z, r, new, ghn
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_softmax(w: np.ndarray, h: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Over the first axis of ``w @ h + b``."""
+    x = w @ h
+    x += b[:, None]
+    x -= x.max(0)
+    x -= np.log(np.exp(x).sum(0))
+    return x
 
 
 def token_log(w: dict, bounds: np.ndarray, head_class: np.ndarray, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probabilities of the model's part for tokens ``ids`` given states ``h``; with ``grads``, gradients too."""
+    """Natural log-probabilities of the model's part for tokens ``ids`` given states ``h``, a column each; with ``grads``, gradients too."""
     head = ids < HEAD
     classes = np.where(head, head_class[np.minimum(ids, len(head_class) - 1)] if len(head_class) else 0, C_HEAD + ids - HEAD)
-    log = _log_softmax(h @ w["wc"] + w["bc"])
+    # The tokens by class, so that each class is one product.
+    by = np.argsort(classes.astype(np.int16), kind="stable")
+    h, ids, classes = h[:, by], ids[by], classes[by]
+    cuts = np.searchsorted(classes, np.arange(C_HEAD + 1))
+    log = _log_softmax(w["wc"].T, h, w["bc"])
     rows = np.arange(len(ids))
-    out = log[rows, classes]
-    dh = None
+    out, dh = log[classes, rows], None
     if grads is not None:
-        d = np.exp(log)
-        d[rows, classes] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ w["wc"].T
-    by = np.argsort(np.where(head, classes, C_HEAD), kind="stable")
-    cuts = np.searchsorted(np.where(head, classes, C_HEAD)[by], np.arange(C_HEAD + 1))
+        d = np.exp(log, out=log)
+        d[classes, rows] -= 1
+        grads["wc"] += h @ d.T
+        grads["bc"] += d.sum(1)
+        dh = w["wc"] @ d
     for c in range(C_HEAD):
-        own, a, b = by[cuts[c] : cuts[c + 1]], bounds[c], bounds[c + 1]
-        if not len(own) or b - a < 2:
+        i, j, a, b = cuts[c], cuts[c + 1], bounds[c], bounds[c + 1]
+        if i == j or b - a < 2:
             continue
-        inner = _log_softmax(h[own] @ w["wo"][a:b].T + w["bo"][a:b])
-        out[own] += inner[np.arange(len(own)), ids[own] - a]
+        inner = _log_softmax(w["wo"][a:b], h[:, i:j], w["bo"][a:b])
+        at = ids[i:j] - a, rows[: j - i]
+        out[i:j] += inner[at]
         if grads is not None:
-            d = np.exp(inner)
-            d[np.arange(len(own)), ids[own] - a] -= 1
-            grads["wo"][a:b] += d.T @ h[own]
-            grads["bo"][a:b] += d.sum(0)
-            dh[own] += d @ w["wo"][a:b]
-    return out, dh
+            d = np.exp(inner, out=inner)
+            d[at] -= 1
+            grads["wo"][a:b] += d @ h[:, i:j].T
+            grads["bo"][a:b] += d.sum(1)
+            dh[:, i:j] += w["wo"][a:b].T @ d
+    back = np.empty_like(by)
+    back[by] = rows
+    return out[back], None if dh is None else dh[:, back]
 
 
 def window_gradients(w: dict, bounds: np.ndarray, head_class: np.ndarray, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
-    """Gradients of the mean loss over one window (batch x time), the loss, and the state after it.
+    """Gradients of the mean loss over one window (batch x time), the loss, and the states after it, a column a text.
 
     Targets of -1, at the end of a row only, are padding: they have no loss, and no gradient comes from behind them.
     """
     n, (b, t) = HIDDEN, targets.shape
-    real = targets.T.ravel() >= 0
-    inputs = np.maximum(inputs, 0)
+    goal, ids = targets.T.ravel(), np.maximum(inputs, 0).T.ravel()
+    real = goal >= 0
+    size, whole = int(real.sum()), bool(real.all())
     grads = {k: np.zeros_like(w[k]) for k in SHAPES}
-    kept, states = [], []
+    gx, kept, states = w["x"].T[:, ids], [], np.empty((n, t * b), h.dtype)
     for i in range(t):
-        nxt, z, r, new, ghn = _step(w, inputs[:, i], h)
+        nxt, z, r, new, ghn = _step(w["u"], gx[:, i * b : (i + 1) * b], h)
         kept.append((h, z, r, new, ghn))
-        states.append(nxt)
-        h = nxt
-    log, dh_real = token_log(w, bounds, head_class, np.concatenate(states)[real], targets.T.ravel()[real], grads)
-    dh_all = np.zeros((t * b, n), h.dtype)
-    dh_all[real] = dh_real
-    dh_all = dh_all.reshape(t, b, n)
-    dh = np.zeros((b, n), h.dtype)
-    dx = np.zeros((t, b, 3 * n), h.dtype)
+        states[:, i * b : (i + 1) * b] = h = nxt
+    log, dh_real = token_log(w, bounds, head_class, states if whole else states[:, real], goal if whole else goal[real], grads)
+    dh_all = dh_real
+    if not whole:
+        dh_all = np.zeros_like(states)
+        dh_all[:, real] = dh_real
+    dh, dx, du = np.zeros((n, b), h.dtype), np.empty((3 * n, t * b), h.dtype), np.empty((3 * n, b), h.dtype)
     for i in range(t - 1, -1, -1):
         before, z, r, new, ghn = kept[i]
-        dh = dh + dh_all[i]
-        dn = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dn * ghn * r * (1 - r)
-        dx[i] = np.concatenate((dz, dr, dn), 1)
-        dgh = np.concatenate((dz, dr, dn * r), 1)
-        grads["u"] += before.T @ dgh
-        dh = dh * z + dgh @ w["u"].T
-    ids, rows = inputs.T.ravel(), dx.reshape(-1, 3 * n)
-    by = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[by], prepend=-1))
-    grads["x"][ids[by[first]]] = np.add.reduceat(rows[by], first)
-    size = int(real.sum())
+        dh += dh_all[:, i * b : (i + 1) * b]
+        away = 1 - z
+        dn = dh * away * (1 - new * new)
+        du[:n] = dh * (before - new) * z * away
+        du[n : 2 * n] = dn * ghn * r * (1 - r)
+        du[2 * n :] = dn * r
+        own = dx[:, i * b : (i + 1) * b]
+        own[: 2 * n], own[2 * n :] = du[: 2 * n], dn
+        grads["u"] += before @ du.T
+        dh = dh * z + w["u"] @ du
+    grads["x"] += np.stack([np.bincount(ids, row, _N_IN) for row in dx], 1)
     return {k: g / size for k, g in grads.items()}, -float(log.mean()), h
 
 
@@ -310,12 +324,12 @@ def training_windows(coded: DataFrame, end: int, replicas: int) -> DataFrame:
 def update(w: dict, adam: Adam, bounds: np.ndarray, head_class: np.ndarray, rows: list[bytes]) -> int:
     """Train ``w`` on rows of ``training_windows``; the number of tokens trained on."""
     ids = np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), -1).astype(np.int64)
-    h, done = np.zeros((len(ids), HIDDEN), np.float32), 0
+    h, done = np.zeros((HIDDEN, len(ids)), np.float32), 0
     for a in (0, WINDOW):
         some = ids[:, a + 1] >= 0
         if not some.any():
             break
-        ids, h = ids[some], h[some]
+        ids, h = ids[some], h[:, some]
         targets = ids[:, a + 1 : a + WINDOW + 1]
         grads, _, h = window_gradients(w, bounds, head_class, ids[:, a : a + WINDOW], targets, h)
         adam(w, grads)
@@ -381,24 +395,25 @@ def text_logs(coded: list[np.ndarray], end: int, bounds: np.ndarray, head_class:
     sizes = np.array([len(x) for x in coded], np.int64)
     order = np.argsort(-sizes, kind="stable")
     sizes, score = sizes[order], np.zeros(len(coded))
-    h, last = np.zeros((len(coded), HIDDEN), np.float32), np.full(len(coded), end, np.int64)
-    width = int(sizes[0]) if len(sizes) else 0
+    h, last = np.zeros((HIDDEN, len(coded)), np.float32), np.full(len(coded), end, np.int64)
+    x, width = np.ascontiguousarray(w["x"].T), int(sizes[0]) if len(sizes) else 0
     for a in range(0, width, WINDOW):
         live = int(np.searchsorted(-sizes, -a, side="left"))
-        ids = np.full((live, WINDOW), -1, np.int64)
+        ids = np.full((WINDOW, live), -1, np.int64)
         for i in range(live):
             part = coded[order[i]][a : a + WINDOW]
-            ids[i, : len(part)] = part
+            ids[: len(part), i] = part
         states, targets, owners = [], [], []
         for t in range(min(WINDOW, width - a)):
             n = int(np.searchsorted(-sizes[:live], -(a + t), side="left"))
-            h[:n] = _step(w, last[:n], h[:n])[0]
-            states.append(h[:n].copy())
-            targets.append(ids[:n, t])
+            h = _step(w["u"], x[:, last[:n]], h[:, :n])[0]
+            last = ids[t, :n]
+            states.append(h)
+            targets.append(last)
             owners.append(np.arange(n))
-            last[:n] = ids[:n, t]
-        log, _ = token_log(w, bounds, head_class, np.concatenate(states), np.concatenate(targets))
-        score[:live] += np.bincount(np.concatenate(owners), log, live)
+        states, targets = np.concatenate(states, 1), np.concatenate(targets)
+        log = [token_log(w, bounds, head_class, states[:, i : i + SLICE], targets[i : i + SLICE])[0] for i in range(0, len(targets), SLICE)]
+        score[:live] += np.bincount(np.concatenate(owners), np.concatenate(log), live)
     out = np.zeros(len(coded))
     out[order] = score
     return out

@@ -49,9 +49,9 @@ def test_padding_has_no_gradient():
     ids = rng.randint(0, 4, (2, 6))
     cut = ids.copy()
     cut[1, 4:] = -1
-    h = np.zeros((2, lm.HIDDEN))
-    whole, _, _ = lm.window_gradients(w, v.bounds, v.head_class, ids[:1, :-1], ids[:1, 1:], h[:1])
-    part, _, _ = lm.window_gradients(w, v.bounds, v.head_class, ids[1:, :3], ids[1:, 1:4], h[:1])
+    h = np.zeros((lm.HIDDEN, 2))
+    whole, _, _ = lm.window_gradients(w, v.bounds, v.head_class, ids[:1, :-1], ids[:1, 1:], h[:, :1])
+    part, _, _ = lm.window_gradients(w, v.bounds, v.head_class, ids[1:, :3], ids[1:, 1:4], h[:, :1])
     both, _, _ = lm.window_gradients(w, v.bounds, v.head_class, cut[:, :-1], cut[:, 1:], h)
     for k in both:
         np.testing.assert_allclose(both[k], (5 * whole[k] + 3 * part[k]) / 8, atol=1e-5)
@@ -60,7 +60,7 @@ def test_padding_has_no_gradient():
 def test_gradients_equal_finite_differences():
     v, rng = vocabulary(), np.random.RandomState(2)
     w = random_weights(rng)
-    ids, h = rng.choice([0, 1, 2, 3, lm.HEAD, lm.HEAD + 5], (3, 8)), rng.standard_normal((3, lm.HIDDEN)) * 0.1
+    ids, h = rng.choice([0, 1, 2, 3, lm.HEAD, lm.HEAD + 5], (3, 8)), rng.standard_normal((lm.HIDDEN, 3)) * 0.1
     loss = lambda: lm.window_gradients(w, v.bounds, v.head_class, ids[:, :-1], ids[:, 1:], h)[1]
     grads = lm.window_gradients(w, v.bounds, v.head_class, ids[:, :-1], ids[:, 1:], h)[0]
     for k, shape in lm.SHAPES.items():
