@@ -53,7 +53,7 @@ ROUNDS, RATE = 4, 0.01
 #: Training tokens of a replica in a round, and replicas averaged by one task.
 REPLICA_TOKENS, FAN_IN = 1 << 20, 64
 #: Distinct words that a counting task holds before it passes them on, and tokens scored together.
-HOLD, POOL = 400_000, 1 << 20
+HOLD, POOL = 400_000, 1 << 22
 #: Tokens whose softmaxes are taken at once, so that these stay in the processor's cache.
 SLICE = 4096
 SEED = 3
@@ -463,7 +463,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
-            ids = [np.frombuffer(x, "<i2").astype(np.int64) for x in rows["ids"].to_pylist()]
+            ids = [np.frombuffer(x, "<i2") for x in rows["ids"].to_pylist()]
             total = text_logs(ids, end, bounds, head_class, w) / np.log(10) + np.asarray(rows["inner"])
             return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in names[:-1]), pa.array(total)], names)
 
