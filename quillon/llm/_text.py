@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows in an Arrow batch sent to Python; with long texts, small batches bound memory.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Bytes of text that are hashed at once (a longer document is taken alone).
 SLICE_BYTES = 1 << 21
 
