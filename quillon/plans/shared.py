@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,3 +44,21 @@ def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
     same result.
     """
     return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+#: Rows that one key may bring into a task of a shuffled join, and keys with more that may be broadcast.
+HOT_ROWS, HOT_KEYS = 4096, 1 << 18
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str = "n") -> DataFrame:
+    """Inner join with ``right(on.., count, ..)``, whose keys are unique and counted in ``left``.
+
+    Keys of more than HOT_ROWS rows, of which there are at most rows / HOT_ROWS, are
+    broadcast after their number is checked, so their rows stay where they are; all
+    others are shuffled. ``left`` is read twice and should be a written table.
+    """
+    many = right.where(F.col(count) > HOT_ROWS)
+    if not small_enough(many, HOT_KEYS):
+        return left.join(right, on)
+    cold = left.join(F.broadcast(many.select(*on)), on, "left_anti").join(right.where(F.col(count) <= HOT_ROWS), on)
+    return left.join(F.broadcast(many), on).unionByName(cold)
