@@ -8,18 +8,22 @@ of (doc_id, row hash, line). Steps:
 1. Winnowing: for the shortest window of lines from each line on that holds
    ``min_words`` words, the line of least hash is a fingerprint. Equal runs that
    long hold an equal window, so they share a fingerprint.
-2. Windows from a line on are kept only if they hold a fingerprint that stands at
-   two places or more. This saves work and does not change the result.
-3. No match is extended: those windows, and the windows that end at each line, are
-   grouped by the hash of the whole window; the first place of each stays, the
-   others are repeats. Windows
-   that begin at a line cover a run up to its last lines, those that end at a line
-   cover these, so together they cover exactly the repeated runs.
-4. Lines under a repeated window are merged into runs and deleted.
+2. The places of fingerprints are joined: a window goes on only if the line of its
+   fingerprint stands at two places or more.
+3. Windows of equal hashes are matches with the first place that holds them. Each is
+   extended: the windows that begin at a matched place and end at each later line are
+   compared in the same way, which carries a match to the last line of its run (its
+   first line begins a window of its own).
+4. Lines under a match are merged into runs and deleted, but at the first place.
+
+Lines, fingerprints and windows that stand at very many places are counted before
+they are joined, and joined by broadcast, so no task holds all places of one.
 
 Defined cases: a null text stays null, an empty one empty; a table without rows
 gives none; rows equal in doc_id and text count as one place and are treated
-alike; extra columns are passed through. Ties of hashes are broken by place.
+alike; very long texts are handled as any other, line by line; extra columns are passed
+through, but for one named deleted_runs, which is replaced. Ties of hashes are broken
+by place.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import write_shared
+from ..plans.shared import join_hot, write_shared
 
 WORD = r"[^\x20\x09-\x0D]+"
 TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -46,6 +50,12 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.withColumn("q", F.col("p") - F.col("n"))
 
 
+def _matches(windows: DataFrame) -> DataFrame:
+    """``windows(doc_id, row_hash, w, a, b)`` of which there are two or more, with ``at``, the first place."""
+    firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "row_hash", "a")).alias("at"), F.count("*").alias("n")).where("n > 1")
+    return write_shared(join_hot(windows, firsts, ["w"]).select("doc_id", "row_hash", "a", "b", "at"), "matches")
+
+
 def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, row_hash, runs): the lines to delete, as (first, last) pairs in order."""
     own = ["doc_id", "row_hash"]
@@ -67,14 +77,16 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     )
     # Fingerprints whose line stands at two places or more.
     marks = lines.where("mark is not null").select(F.col("mark").alias("h")).distinct()
-    places = lines.select("h").join(marks, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    # The windows that hold such a fingerprint: those ahead whose mark it is, and any behind.
-    fore = lines.where("ahead is not null").join(places.withColumnRenamed("h", "mark"), "mark").select(*own, F.col("ahead").alias("w"), F.col("line").alias("a"), F.col("last").alias("b"), F.lit(0).alias("way"))
-    seen = fore.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    back = lines.where("behind is not null").select(*own, F.col("behind").alias("w"), F.col("first").alias("a"), F.col("line").alias("b"), F.lit(1).alias("way"))
-    windows = fore.join(seen, "w", "left_semi").unionByName(back)
-    firsts = windows.groupBy("way", "w").agg(F.min(F.struct("doc_id", "row_hash", "a")).alias("at"), F.count("*").alias("n")).where("n > 1").select("way", "w", "at")
-    again = windows.join(firsts, ["way", "w"]).where(F.struct("doc_id", "row_hash", "a") != F.col("at")).select(*own, "a", "b")
+    places = lines.groupBy("h").agg(F.count("*").alias("places")).where("places > 1").join(marks, "h", "left_semi")
+    held = lines.where("ahead is not null").groupBy("mark").agg(F.count("*").alias("n"))
+    places = places.withColumnRenamed("h", "mark").join(held, "mark").select("mark", "n")
+    fore = join_hot(lines.where("ahead is not null"), places, ["mark"])
+    found = _matches(write_shared(fore.select(*own, F.col("ahead").alias("w"), F.col("line").alias("a"), F.col("last").alias("b")), "fore"))
+    # Windows that begin at a match and reach on to each later line.
+    starts = found.select(F.col("doc_id").alias("i"), F.col("row_hash").alias("r"), F.col("a").alias("first"))
+    back = lines.where("behind is not null").join(starts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_hash") == F.col("r")) & (lines["first"] == starts["first"]), "left_semi")
+    more = _matches(write_shared(back.select(*own, F.col("behind").alias("w"), F.col("first").alias("a"), F.col("line").alias("b")), "back"))
+    again = found.unionByName(more).where(F.struct("doc_id", "row_hash", "a") != F.col("at")).select(*own, "a", "b")
     # Windows of one document that overlap or touch become one run.
     order = Window.partitionBy(*own).orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -86,6 +98,7 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from its texts, and ``deleted_runs``."""
+    docs = docs.drop("deleted_runs")
     runs = repeated_runs(docs, min_words=min_words).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), F.col("runs").alias("deleted_runs"))
     hit = docs.withColumn("__own", F.xxhash64("text")).join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
     lines = F.split("text", "\n", -1)

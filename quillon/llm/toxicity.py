@@ -309,5 +309,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **op
     """
     targets = ["low_quality", "toxic"]
     own = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    docs = docs.drop("rejected")
     scored = score_chain(docs, train_chain(docs, own, targets, **options), targets)
     return scored.withColumn("rejected", F.col("p_toxic") >= threshold)

@@ -13,8 +13,9 @@ a host with fewer the table's own share must reach it too.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and is
 judged by no rule; a table without labels rejects nothing; equal rows are judged
-alike; segments below ``max_depth`` count as one last segment. Extra columns are
-not read. Every step but the rules works on pre-aggregated counts, so a host with a
+alike; segments below ``max_depth`` count as one last segment, so very long urls are a
+few segments. Extra columns are passed through, but for columns of the result's own
+names (host, path, rule, template, purity, verdict), which are replaced. Every step but the rules works on pre-aggregated counts, so a host with a
 third of all pages is a few rows.
 """
 
@@ -122,10 +123,13 @@ def filter_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RUL
     else the verdicts of the rules on the pages that they fit.
     """
     depth = options.get("max_depth", 6)
-    judged = with_host_path(pages).withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
-    judged = judged.withColumn("label", labels if labels is not None else F.col("hit.verdict")).withColumn("shape", path_shape(F.col("path"), depth))
+    made = ("host", "path", "rule", "template", "purity", "verdict")
+    pages = pages.select(F.struct(*[c for c in pages.columns if c not in made]).alias("__page"), *([labels.alias("__label")] if labels is not None else []))
+    judged = with_host_path(pages, "__page.url")
+    judged = judged.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
+    judged = judged.withColumn("label", F.col("__label") if labels is not None else F.col("hit.verdict")).withColumn("shape", path_shape(F.col("path"), depth))
     templates = path_templates(judged.select("host", "path", "label"), **options)
     verdicts = judge_templates(templates).select("host", "template", "purity", F.col("verdict").alias("learned"))
     known = templates.select("host", "shape", "template").join(verdicts, ["host", "template"])
     out = judged.join(known, ["host", "shape"], "left")
-    return out.select(*pages.columns, "host", "path", F.col("hit.rule").alias("rule"), "template", "purity", F.coalesce("hit.verdict", "learned").alias("verdict"))
+    return out.select("__page.*", "host", "path", F.col("hit.rule").alias("rule"), "template", "purity", F.coalesce("hit.verdict", "learned").alias("verdict"))
