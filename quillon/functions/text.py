@@ -16,7 +16,10 @@ HYBRID_STOPWORDS = tuple(w for w in NGRAM_STOPWORDS if w not in ("into", "under"
 #: Words too general to stand for a term.
 GENERIC_WORDS = ("development", "process", "response", "regulation", "activity", "function", "organization", "pathway", "mechanism", "system", "signaling", "expression", "biosynthesis", "metabolism", "growth", "integrity", "homeostasis", "cascade", "network", "machinery")
 
-TOKEN, TOKEN_NO_SLASH = r"(?U)[\w\-/]+", r"(?U)[\w\-]+"
+TOKEN_CHARS, TOKEN_CHARS_NO_SLASH = r"\w\-/", r"\w\-"
+TOKEN, TOKEN_NO_SLASH = rf"(?U)[{TOKEN_CHARS}]+", rf"(?U)[{TOKEN_CHARS_NO_SLASH}]+"
+#: Fixed value: the characters that count as outer white space of a sentence.
+BLANK = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TERM_ID = r"(?iU)\bGO:\d{7}\b"
 
 
@@ -40,13 +43,6 @@ def trim_stopwords(words: Column, stopwords: Sequence[str]) -> Column:
     return F.when(F.size(kept) > 0, F.slice(words, F.array_min(kept) + 1, F.array_max(kept) - F.array_min(kept) + 1)).otherwise(F.slice(words, 1, 0))
 
 
-def windows(tokens: Column, max_n: int) -> Column:
-    """All (i, n, words) of 1 to max_n tokens."""
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    of = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_n), F.size(tokens) - i)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.slice(tokens, i + 1, n).alias("words")))
-    return F.flatten(F.transform(starts, of))
-
-
 def detect_lang(text: Column, given: Column | None = None) -> Column:
     """zh if over a tenth of the characters are Chinese, else en; a given language wins."""
     chinese = F.length(text) - F.length(F.regexp_replace(text, "[一-鿿]", ""))
@@ -56,25 +52,10 @@ def detect_lang(text: Column, given: Column | None = None) -> Column:
 
 def sentences(text: Column, least: int = 6) -> Column:
     """Distinct trimmed sentences of at least ``least`` characters."""
-    parts = F.transform(F.split(text, "[.;\n]"), lambda s: F.trim(s, F.lit(" \t\r")))
+    parts = F.transform(F.split(text, "[.;\n]"), lambda s: F.trim(s, F.lit(BLANK)))
     return F.array_distinct(F.filter(parts, lambda s: F.length(s) >= least))
 
 
-def sentence_spans(parts: Column, least: int = 6) -> Column:
-    """(sentence, start, end) of the parts of a text split at full stops, semicolons and line ends.
-
-    ``parts`` should be a column, not an expression, as it is read for each part.
-    """
-
-    begin = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s) + 1)
-    def span(s, i):
-        lead = F.length(s) - F.length(F.ltrim(s))
-        body = F.trim(s)
-        return F.struct(body.alias("sentence"), (begin(i) + lead).alias("start"), (begin(i) + lead + F.length(body)).alias("end"))
-
-    return F.filter(F.transform(parts, span), lambda x: F.length(x["sentence"]) >= least)
-
-
 def node_text(*parts: tuple[str, Column]) -> Column:
     """``label: value`` lines of the parts that are not empty."""
     return F.concat_ws("\n", *[F.when(c != "", F.concat(F.lit(f"{label}: "), c)) for label, c in parts])

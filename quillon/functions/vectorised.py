@@ -7,13 +7,40 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 
 @F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two strings (asymmetric, as the classic matcher is)."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+def sequence_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Matching-blocks ratio of two strings (asymmetric, as the classic matcher is).
+
+    Pairs that the characters in common keep below ``least`` are given that bound; what
+    is prepared of ``b`` serves all pairs in a row that have it.
+    """
+    matcher, last, out = SequenceMatcher(None), None, []
+    for x, y, t in zip(a, b, least, strict=True):
+        if y != last:
+            matcher.set_seq2(y)
+            last = y
+        matcher.set_seq1(x)
+        bound = matcher.quick_ratio()
+        out.append(matcher.ratio() if bound >= t else bound)
+    return pd.Series(out)
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def free_spans(win_start: pd.Series, win_end: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    """Which of a document's windows to accept, in order: those of which neither end lies in an accepted span."""
+    out = []
+    for own in zip(win_start, win_end, start, end, strict=True):
+        taken, kept = bytearray(int(max(own[1].max(), own[3].max())) + 1), []
+        for a, b, s, e in zip(*(x.tolist() for x in own), strict=True):
+            free = not (taken[a] or b and taken[b - 1])
+            if free:
+                taken[s:e] = b"\1" * (e - s)
+            kept.append(free)
+        out.append(kept)
+    return pd.Series(out)
 
 
 def ratio_bound(a: Column, b: Column) -> Column:

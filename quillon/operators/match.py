@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectorised import ratio_bound, sequence_ratio
+from ..functions.vectorised import free_spans, ratio_bound, sequence_ratio
 from ..plans.shared import broadcast_if
 
 #: Dictionary names that may be broadcast; beyond, the joins are shuffled.
@@ -35,55 +35,101 @@ def name_lookup_last_wins(terms: DataFrame) -> DataFrame:
     return rows.groupBy("name_lc").agg(last(F.col("pos") == 0).alias("name_id"), last(F.col("pos") > 0).alias("synonym_id"))
 
 
-def phrase_windows(docs: DataFrame, max_n: int, stopwords: Sequence[str], pattern: str = T.TOKEN) -> DataFrame:
-    """(doc_id, i, n, lead, words): token windows with their ends trimmed; ``lead`` stopwords were cut before."""
-    tokens = docs.select("doc_id", T.tokenize(F.col("text"), pattern).alias("t"))
-    w = tokens.select("doc_id", F.explode(T.windows(F.col("t"), max_n)).alias("w")).select("doc_id", "w.*")
+def _ends(lengths: str) -> tuple[Column, Column]:
+    """Running sums of an array column in two steps, over blocks of 16 and inside each, so that long arrays stay cheap."""
+    size, part = F.size(lengths), lambda b: F.slice(F.col(lengths), b * 16 + 1, 16)
+    numbers = F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / 16).cast("int"))).otherwise(F.array().cast("array<int>"))
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+    sums = F.transform(numbers, lambda b: F.aggregate(part(b), F.lit(0), lambda n, x: n + x))
+    before = F.aggregate(sums, start(F.lit(0)), step)["all"]
+    inside = F.flatten(F.transform(F.col("before"), lambda at, b: F.aggregate(part(b), start(at), step)["all"]))
+    return before, inside
+
+
+def token_rows(docs: DataFrame, reach: int, chars: str = T.TOKEN_CHARS) -> DataFrame:
+    """(doc_id, j, start, t, ahead, behind): every token with its offset and the text of up to ``reach`` tokens around it.
+
+    ``t`` is as spelt; ``ahead`` is the text from its end through the tokens after it,
+    ``behind`` the text before it, read backwards. All three come from one pass of a
+    pattern over the text, so no later step needs the text again.
+    """
+    near = f"(?U)([{chars}]+)(?=((?:[^{chars}]+[{chars}]+){{0,{reach}}}))"
+    found = lambda c, k: F.regexp_extract_all(c, F.lit(near), F.lit(k))
+    text = F.col("text")
+    rows = docs.select("doc_id", found(text, 1).alias("t"), found(text, 2).alias("ahead"), F.reverse(found(F.reverse(text), 2)).alias("behind"), F.transform(F.split(text, f"(?U)[{chars}]+", -1), F.length).alias("gaps"))
+    # Each token's length with that of the gap before it; their sums are the offsets.
+    rows = rows.select("*", F.zip_with(F.slice("gaps", F.lit(1), F.size("t")), "t", lambda g, t: g + F.length(t)).alias("lengths"))
+    before, inside = _ends("lengths")
+    rows = rows.select("*", before.alias("before"))
+    rows = rows.select("doc_id", F.arrays_zip(inside.alias("at"), F.slice("gaps", F.lit(1), F.size("t")).alias("gap"), "t", "ahead", "behind").alias("all"))
+    # An inner explode would be preceded by a filter on the array's size, which makes the array anew with its parts inlined.
+    rows = rows.select("doc_id", F.posexplode_outer("all").alias("j", "x")).where("x is not null")
+    return rows.select("doc_id", "j", (F.col("x.at") + F.col("x.gap")).alias("start"), "x.t", "x.ahead", "x.behind")
+
+
+def _words(text: Column, chars: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?U)([{chars}]+)"), F.lit(1))
+
+
+def _tokens_of(text: Column, n: Column, chars: str = T.TOKEN_CHARS, lead: bool = False) -> Column:
+    """The text's first n tokens with the gaps between them, or before each of them."""
+    gap, token = f"[^{chars}]+", f"[{chars}]+"
+    first, more = ("", n) if lead else (token, n - 1)
+    return F.coalesce(F.regexp_substr(text, F.concat(F.lit(f"^(?U){first}(?:{gap}{token}){{"), more, F.lit("}"))), F.lit(""))
+
+
+def phrase_windows(docs: DataFrame, max_n: int, stopwords: Sequence[str], chars: str = T.TOKEN_CHARS) -> DataFrame:
+    """(doc_id, i, n, lead, words, start, near): token windows with their ends trimmed.
+
+    ``lead`` stopwords were cut before; ``near`` is the text from the window's start on.
+    """
+    rows = token_rows(docs, max_n - 1, chars).withColumn("near", F.concat("t", "ahead"))
+    rows = rows.select("doc_id", F.col("j").alias("i"), "start", "near", _words(F.col("near"), chars).alias("all"))
+    w = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("all"))).alias("n")).withColumn("words", F.slice("all", F.lit(1), F.col("n")))
     kept = F.filter(F.transform("words", lambda x, i: F.when(~x.isin(*stopwords), i)), lambda i: i.isNotNull())
     w = w.withColumn("kept", kept).where(F.size("kept") > 0)
     first, last = F.array_min("kept"), F.array_max("kept")
-    return w.select("doc_id", "i", "n", first.alias("lead"), F.slice("words", first + 1, last - first + 1).alias("words"))
+    return w.select("doc_id", "i", "n", first.alias("lead"), F.slice("words", first + 1, last - first + 1).alias("words"), "start", "near")
 
 
 def _windows_of_names(docs: DataFrame, names: DataFrame, max_n: int, stopwords: Sequence[str]) -> DataFrame:
-    """Windows whose trimmed phrase is a name, with the name's columns.
+    """Windows whose trimmed phrase is a name, with the name's columns, offset and text.
 
-    Windows are made only where a token that starts a name stands, and then widened
-    by the stopwords around it, so no row is made for the other positions.
+    Only the tokens that start a name go on; their windows are then widened by the
+    stopwords around them, so no row is made for the other positions.
     """
-    # The tokens are a column of their own, or each window would cut the text anew.
-    tokens = F.col("tokens")
-    reach = F.transform(tokens, lambda t, i: F.struct(i.alias("j"), t.alias("t"), F.slice(tokens, i + 1, max_n).alias("ahead"), F.reverse(F.slice(tokens, F.greatest(F.lit(1), i + 2 - max_n), F.least(i, F.lit(max_n - 1)))).alias("behind")))
-    rows = docs.select("doc_id", T.tokenize(F.col("text")).alias("tokens")).select("doc_id", F.explode(reach).alias("r")).select("doc_id", "r.*")
-    heads = names.select(F.substring_index("name_lc", " ", 1).alias("t")).distinct()
-    rows = rows.where(~F.col("t").isin(*stopwords)).join(broadcast_if(heads, BROADCAST_NAMES), "t", "left_semi")
-    rows = rows.withColumn("m", F.explode(F.sequence(F.lit(1), F.size("ahead"))))
-    rows = rows.withColumn("name_lc", F.array_join(F.slice("ahead", F.lit(1), F.col("m")), " "))
-    hit = rows.join(broadcast_if(names, BROADCAST_NAMES), "name_lc").where(~F.element_at("ahead", F.col("m")).isin(*stopwords))
+    rows = token_rows(docs, max_n - 1).withColumn("head", F.lower("t"))
+    heads = names.select(F.substring_index("name_lc", " ", 1).alias("head")).distinct()
+    rows = rows.where(~F.col("head").isin(*stopwords)).join(broadcast_if(heads, BROADCAST_NAMES), "head", "left_semi")
+    rows = rows.withColumn("near", F.concat("t", "ahead")).withColumn("words", _words(F.col("near"), T.TOKEN_CHARS))
+    rows = rows.withColumn("m", F.explode(F.sequence(F.lit(1), F.size("words"))))
+    rows = rows.withColumn("name_lc", F.array_join(F.slice("words", F.lit(1), F.col("m")), " "))
+    hit = rows.join(broadcast_if(names, BROADCAST_NAMES), "name_lc").where(~F.element_at("words", F.col("m")).isin(*stopwords))
+    hit = hit.withColumn("back", F.transform(_words(F.col("behind"), T.TOKEN_CHARS), lambda x: F.reverse(x)))
     run = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & x.isin(*stopwords), 1).otherwise(0)).alias("n"), (a["on"] & x.isin(*stopwords)).alias("on")))["n"]
-    hit = hit.withColumn("left", run(F.col("behind"))).withColumn("right", run(F.slice("ahead", F.col("m") + 1, F.greatest(F.size("ahead") - F.col("m"), F.lit(0)))))
+    hit = hit.withColumn("left", run(F.col("back"))).withColumn("right", run(F.slice("words", F.col("m") + 1, F.greatest(F.size("words") - F.col("m"), F.lit(0)))))
     hit = hit.withColumn("a", F.explode(F.sequence(F.lit(0), F.least("left", F.lit(max_n) - F.col("m")))))
     hit = hit.withColumn("b", F.explode(F.sequence(F.lit(0), F.least("right", F.lit(max_n) - F.col("m") - F.col("a")))))
-    return hit.select("doc_id", (F.col("j") - F.col("a")).alias("i"), (F.col("m") + F.col("a") + F.col("b")).alias("n"), "j", "m", "name_lc", "term_id", "is_primary")
+    before = F.when(F.col("a") > 0, F.reverse(_tokens_of(F.col("behind"), F.col("a"), lead=True))).otherwise("")
+    hit = hit.withColumn("before", before).withColumn("window", F.concat("before", _tokens_of(F.col("near"), F.col("m") + F.col("b"))))
+    return hit.select("doc_id", (F.col("j") - F.col("a")).alias("i"), (F.col("m") + F.col("a") + F.col("b")).alias("n"), "m", "name_lc", "term_id", "is_primary", (F.col("start") - F.length("before")).alias("win_start"), "window")
 
 
-def _with_offsets(hits: DataFrame, docs: DataFrame, pad: bool) -> DataFrame:
-    """Hits with character offsets of the window (win_start, win_end) and of the span (start, end).
+def _with_spans(hits: DataFrame, pad: bool) -> DataFrame:
+    """Hits with the offsets of the window (win_start, win_end) and of the span (start, end).
 
     With ``pad`` the span is the window; else it is the phrase, looked for as it is
     spelt in lower case inside the window, and a window without it is dropped.
     """
-    text, last = F.col("text"), F.col("i") + F.col("n") - 1
-    token = lambda i: F.element_at(F.regexp_extract_all(text, F.lit(f"({T.TOKEN})"), F.lit(1)), i + 1)
-    near = docs.select("doc_id", "text").join(broadcast_if(hits, BROADCAST_NAMES), "doc_id")
-    near = near.withColumn("win_start", T.token_start(text, F.col("i"))).withColumn("win_end", T.token_start(text, last) + F.length(token(last)))
+    near = hits.withColumn("win_end", F.col("win_start") + F.length("window"))
     if pad:
         near = near.withColumn("start", F.col("win_start")).withColumn("end", F.col("win_end"))
     else:
-        at = F.expr("CASE WHEN n = m THEN 1 ELSE locate(name_lc, substring(text, win_start + 1, win_end - win_start)) END")
+        at = F.expr("CASE WHEN n = m THEN 1 ELSE locate(name_lc, window) END")
         near = near.withColumn("at", at).where("at > 0").withColumn("start", F.col("win_start") + F.col("at") - 1)
         near = near.withColumn("end", F.when(F.col("n") == F.col("m"), F.col("win_end")).otherwise(F.col("start") + F.length("name_lc")))
-    return near.withColumn("span", F.substring(text, F.col("start") + 1, F.col("end") - F.col("start"))).drop("text")
+    return near.withColumn("span", F.substring("window", F.col("start") - F.col("win_start") + 1, F.col("end") - F.col("start"))).drop("window")
 
 
 def resolve_overlaps(hits: DataFrame) -> DataFrame:
@@ -91,10 +137,8 @@ def resolve_overlaps(hits: DataFrame) -> DataFrame:
     cols = ["term_id", "span", "match_type", "score"]
     item = F.struct((-F.col("n")).alias("k"), "i", "rank", "win_start", "win_end", "start", "end", *cols)
     lists = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    kind = lists.schema["all"].dataType.simpleString()
-    blocked = lambda acc, x: F.exists(acc, lambda y: ((y["start"] <= x["win_start"]) & (x["win_start"] < y["end"])) | ((y["start"] < x["win_end"]) & (x["win_end"] <= y["end"])))
-    kept = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when(blocked(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    return lists.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.start", "x.end", *[f"x.{c}" for c in cols])
+    lists = lists.withColumn("free", free_spans("all.win_start", "all.win_end", "all.start", "all.end"))
+    return lists.select("doc_id", F.explode(F.arrays_zip("all", "free")).alias("x")).where("x.free").select("doc_id", "x.all.start", "x.all.end", *[f"x.all.{c}" for c in cols])
 
 
 def _literal(found: DataFrame) -> DataFrame:
@@ -103,25 +147,44 @@ def _literal(found: DataFrame) -> DataFrame:
 
 def match_exact(docs: DataFrame, names: DataFrame, *, max_ngram: int, stopwords: Sequence[str], pad: bool) -> DataFrame:
     """All windows whose phrase is a name, before overlaps are resolved."""
-    return _literal(_with_offsets(_windows_of_names(docs, names, max_ngram, stopwords), docs, pad))
+    return _literal(_with_spans(_windows_of_names(docs, names, max_ngram, stopwords), pad))
 
 
-def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85, band: int | None = 10) -> DataFrame:
-    """(phrase, term_id, score): the first best name of each distinct phrase, by sequence ratio.
+def _grams(name: Column) -> Column:
+    """The distinct three-letter pieces of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.substring(name, i, F.lit(3))))
 
-    Names are met through buckets of their length, only pairs whose lengths allow
-    the threshold are scored.
+
+def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85, band: int | None = 10) -> DataFrame:
+    """(phrase, term_id, score, name_lc): the first best name of each distinct phrase, by sequence ratio.
+
+    A ratio of the threshold leaves at most la - threshold * (la + lb) / 2 of a phrase's
+    letters unmatched, and each breaks at most three of its pieces of three letters. So
+    a phrase shares some piece with the name whenever it has more, and any set of one
+    piece more than can break holds a shared one: phrases and names meet through the
+    phrase's rarest pieces, as many as that. Phrases too short for this meet names
+    by length. Only pairs whose lengths and characters allow the threshold are scored.
     """
     p = phrases.select("phrase").distinct().withColumn("lp", F.length("phrase"))
     low = F.ceil(F.col("lp") * threshold / (2 - threshold))
     high = F.floor(F.col("lp") * (2 - threshold) / threshold)
     if band is not None:
         low, high = F.greatest(low, F.col("lp") - band), F.least(high, F.col("lp") + band)
-    p = p.withColumn("ln", F.explode(F.when(low <= high, F.sequence(low.cast("int"), high.cast("int")))))
+    # Letters that may stay unmatched, if the name is as short as it may be.
+    broken = 3 * F.floor(F.col("lp") - threshold * (F.col("lp") + low) / 2 + 1e-9)
+    p = p.withColumn("low", low).withColumn("high", high).withColumn("broken", broken)
     n = names.select("name_lc", "term_id", "ord").withColumn("ln", F.length("name_lc"))
-    pairs = p.join(n, "ln").where(ratio_bound(F.col("phrase"), F.col("name_lc")) >= threshold)
-    # Characters in common bound the ratio too.
-    scored = pairs.withColumn("score", sequence_ratio("phrase", "name_lc")).where(F.col("score") >= threshold)
+    pieces = n.where("ln >= 3").select("name_lc", F.explode(_grams(F.col("name_lc"))).alias("g")).distinct()
+    often = pieces.groupBy("g").agg(F.count("*").alias("names"))
+    # Pieces of the phrase that no name has come first: they are the rarest.
+    own = p.where("lp >= 3").select("*", F.explode(_grams(F.col("phrase"))).alias("g"))
+    own = own.withColumn("pieces", F.count("*").over(Window.partitionBy("phrase"))).where("pieces > broken")
+    own = own.join(broadcast_if(often, BROADCAST_NAMES), "g", "left").withColumn("k", F.row_number().over(Window.partitionBy("phrase").orderBy(F.coalesce("names", F.lit(0)), "g"))).where("k <= broken + 1")
+    near = own.join(pieces, "g").select("phrase", "lp", "low", "high", "name_lc").distinct().join(n, "name_lc").where("ln between low and high")
+    short = p.join(own.select("phrase").distinct(), "phrase", "left_anti").withColumn("ln", F.explode(F.when(F.col("low") <= F.col("high"), F.sequence(F.col("low").cast("int"), F.col("high").cast("int")))))
+    pairs = near.select("phrase", "name_lc", "term_id", "ord").unionByName(short.join(n, "ln").select("phrase", "name_lc", "term_id", "ord"))
+    pairs = pairs.where(ratio_bound(F.col("phrase"), F.col("name_lc")) >= threshold)
+    scored = pairs.withColumn("score", sequence_ratio("phrase", "name_lc", F.lit(threshold))).where(F.col("score") >= threshold)
     best = scored.groupBy("phrase").agg(F.max_by(F.struct("term_id", "score", "name_lc"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("phrase", F.col("b.term_id").alias("term_id"), F.col("b.score").alias("score"), F.col("b.name_lc").alias("name_lc"))
 
@@ -138,8 +201,8 @@ def match_fuzzy(docs: DataFrame, terms: DataFrame, *, max_ngram: int, stopwords:
     exact = name_index(terms).select(F.col("name_lc").alias("phrase"))
     w = w.join(exact, "phrase", "left_anti")
     best = best_fuzzy(w, ordered_names(terms), threshold=threshold).drop("name_lc")
-    found = w.join(best, "phrase").select("doc_id", "i", "n", (F.col("i") + F.col("lead")).alias("j"), F.size("words").alias("m"), F.col("phrase").alias("name_lc"), "term_id", F.round("score", 3).alias("score"))
-    out = _with_offsets(found, docs, pad=False)
+    found = w.join(best, "phrase").select("doc_id", "i", "n", F.size("words").alias("m"), F.col("phrase").alias("name_lc"), "term_id", F.round("score", 3).alias("score"), F.col("start").alias("win_start"), _tokens_of(F.col("near"), F.col("n")).alias("window"))
+    out = _with_spans(found, pad=False)
     return out.withColumn("match_type", F.lit("fuzzy")).withColumn("rank", F.lit(1)).withColumn("is_primary", F.lit(False))
 
 
@@ -179,7 +242,7 @@ def annotate_ngram(docs: DataFrame, terms: DataFrame, *, alias: DataFrame | None
 
 def candidate_phrases(docs: DataFrame, *, max_ngram: int = 5, limit: int = 80) -> DataFrame:
     """(doc_id, rank, phrase): distinct phrases, longest first, not general ones."""
-    w = phrase_windows(docs, max_ngram, T.NGRAM_STOPWORDS, T.TOKEN_NO_SLASH).withColumn("phrase", F.array_join("words", " "))
+    w = phrase_windows(docs, max_ngram, T.NGRAM_STOPWORDS, T.TOKEN_CHARS_NO_SLASH).withColumn("phrase", F.array_join("words", " "))
     w = w.where((F.length("phrase") >= 3) & ~T.is_generic(F.col("phrase"))).select("doc_id", "phrase", F.size("words").alias("n")).distinct()
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc(F.length("phrase")), "phrase")
     return w.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("doc_id", "rank", "phrase")
@@ -187,7 +250,7 @@ def candidate_phrases(docs: DataFrame, *, max_ngram: int = 5, limit: int = 80) -
 
 def hybrid_phrases(docs: DataFrame, *, max_ngram: int = 5) -> DataFrame:
     """(doc_id, phrase): all distinct windows without stopwords at their ends, and the whole text."""
-    w = phrase_windows(docs, max_ngram, T.HYBRID_STOPWORDS, T.TOKEN_NO_SLASH).select("doc_id", F.array_join("words", " ").alias("phrase"))
+    w = phrase_windows(docs, max_ngram, T.HYBRID_STOPWORDS, T.TOKEN_CHARS_NO_SLASH).select("doc_id", F.array_join("words", " ").alias("phrase"))
     return w.unionByName(docs.select("doc_id", F.lower(F.trim("text")).alias("phrase"))).where("phrase <> ''").distinct()
 
 
@@ -231,18 +294,25 @@ def score_phrases(normalized: DataFrame, *, threshold: float = 0.55) -> DataFram
 
 
 def gate_to_candidates(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Choices of a model that were offered for their document; the first of each term, confidence in 0..1, by default the candidate's score."""
-    offered = candidates.select("doc_id", "term_id", F.col("score").alias("__score"))
-    j = chosen.join(offered, ["doc_id", "term_id"])
-    first = Window.partitionBy("doc_id", "term_id").orderBy("pos")
-    j = j.withColumn("k", F.row_number().over(first)).where("k = 1")
+    """Choices of a model that were offered for their document; the first of each term, confidence in 0..1, by default the candidate's score.
+
+    Of choices at one place the more confident is the first.
+    """
+    offered = candidates.groupBy("doc_id", "term_id").agg(F.max("score").alias("__score"))
+    first = Window.partitionBy("doc_id", "term_id").orderBy("pos", F.desc_nulls_last("confidence"))
+    j = chosen.withColumn("k", F.row_number().over(first)).where("k = 1").join(offered, ["doc_id", "term_id"])
     return j.select("doc_id", "term_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", "__score"))).alias("confidence"))
 
 
-def sentence_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, sentence, start, end) of every sentence."""
+def sentence_table(docs: DataFrame, least: int = 6) -> DataFrame:
+    """(doc_id, sentence, start, end) of every sentence without outer white space: parts that full stops, semicolons and line ends part."""
     parts = docs.select("doc_id", F.split("text", "[.;\n]", -1).alias("parts"))
-    return parts.select("doc_id", F.explode(T.sentence_spans(F.col("parts"))).alias("s")).select("doc_id", "s.*")
+    parts = parts.select("doc_id", "parts", F.transform("parts", lambda s: F.length(s) + 1).alias("lengths"))
+    before, inside = _ends("lengths")
+    rows = parts.select("*", before.alias("before")).select("doc_id", F.explode_outer(F.arrays_zip(F.col("parts").alias("s"), inside.alias("at"))).alias("x")).where("x is not null")
+    lead = F.length("x.s") - F.length(F.ltrim(F.col("x.s"), F.lit(T.BLANK)))
+    rows = rows.select("doc_id", F.trim(F.col("x.s"), F.lit(T.BLANK)).alias("sentence"), (F.col("x.at") + lead).alias("start"))
+    return rows.where(F.length("sentence") >= least).withColumn("end", F.col("start") + F.length("sentence"))
 
 
 def uncovered_sentences(docs: DataFrame, hits: DataFrame, *, most: float = 0.6) -> DataFrame:
