@@ -61,6 +61,7 @@ def node_text(*parts: tuple[str, Column]) -> Column:
     return F.concat_ws("\n", *[F.when(c != "", F.concat(F.lit(f"{label}: "), c)) for label, c in parts])
 
 
+#: The labels of a node's parts, by its type.
 NODE_PARTS = {
     "GO_Term": (("Name", "name"), ("GO ID", "node_id"), ("Namespace", "namespace"), ("Synonyms", "synonyms"), ("Description", "description"), ("Comment", "comment")),
     "Gene": (("Gene Name", "name"), ("EntrezID", "entrez_id")),

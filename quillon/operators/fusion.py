@@ -40,12 +40,15 @@ def best_per_term(hits: DataFrame) -> DataFrame:
 def fuse_sources(hits: DataFrame, preset: Preset) -> DataFrame:
     """Scores by source and their weighted mean with a bonus for each further source.
 
-    ``hits(doc_id, term_id, source, score, match_type, span, start, end)``; the span
-    is the first that has a place, the match type exact if any is.
+    ``hits(doc_id, term_id, source, score, match_type, span, start, end)``. Hits count in
+    the order of their sources (dict, vector, llm), then of their places, the better
+    score first: the span is the first that has a place, the match type exact if any
+    is, else that of the first hit.
     """
     by = lambda s: F.max(F.when(F.col("source") == s, F.col("score"))).alias(s)
-    place = F.min_by(F.struct("span", "start", "end"), F.struct(F.when(F.col("start") >= 0, 0).otherwise(1), F.col("source"), F.col("start")))
-    kind = F.min_by("match_type", F.struct(F.when(F.col("match_type") == "exact", 0).otherwise(1), F.col("source"), F.col("match_type")))
+    first = F.when(F.col("source") == "dict", 0).when(F.col("source") == "vector", 1).otherwise(2), F.when(F.col("start") >= 0, F.col("start")), -F.col("score")
+    place = F.min_by(F.struct("span", "start", "end"), F.struct(F.when(F.col("start") >= 0, 0).otherwise(1), *first))
+    kind = F.min_by("match_type", F.struct(F.when(F.col("match_type") == "exact", 0).otherwise(1), *first, F.col("match_type")))
     g = hits.groupBy("doc_id", "term_id").agg(by("dict"), by("vector"), by("llm"), place.alias("p"), kind.alias("match_type"))
     parts = [(F.col(s), w) for s, w in (("dict", preset.weight_dict), ("vector", preset.weight_vector), ("llm", preset.weight_llm))]
     total = sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts), F.lit(0.0))

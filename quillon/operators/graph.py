@@ -42,7 +42,7 @@ def seeds_from_papers(papers: DataFrame, edges: DataFrame, *, limit: int = 20) -
 
 
 def two_hop_edges(seeds: DataFrame, edges: DataFrame, *, limit: int = 120) -> DataFrame:
-    """Term edges on undirected ways of one or two steps between two seeds of a query.
+    """Term edges between two seeds of a query; only where it has none, those on undirected ways of two steps.
 
     Both ends are restricted to seeds before the ways meet, so a hub in the middle
     meets only seed edges.
@@ -53,7 +53,7 @@ def two_hop_edges(seeds: DataFrame, edges: DataFrame, *, limit: int = 120) -> Da
     near = both.join(s.withColumnRenamed("term_id", "a"), "a")
     ends = near.groupBy("query_id", "m").agg(F.countDistinct("a").alias("n"))
     direct = near.join(s.select("query_id", F.col("term_id").alias("m")), ["query_id", "m"], "left_semi")
-    through = near.join(ends.where("n > 1"), ["query_id", "m"], "left_semi")
+    through = near.join(ends.where("n > 1"), ["query_id", "m"], "left_semi").join(direct.select("query_id").distinct(), "query_id", "left_anti")
     found = direct.unionByName(through).select("query_id", "src", "dst", "relationship").distinct()
     return _limited(found, "query_id", limit)
 
@@ -68,3 +68,11 @@ def limit_graph(nodes: DataFrame, edges: DataFrame, n_nodes: int = 200, n_edges:
     ids = F.broadcast(kept.select("node_id"))  # n_nodes rows
     inside = dedupe_edges(edges).join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
     return kept, inside.select(*edges.columns).orderBy("src", "dst", "relationship").limit(n_edges)
+
+
+def question_graph(papers: DataFrame, edges: DataFrame, *, seed_limit: int = 20, **limits) -> DataFrame:
+    """The graph around the terms of a question's papers: edges among them, by two steps where there are none, then their genes, papers and traits."""
+    seeds = seeds_from_papers(papers, edges, limit=seed_limit)
+    ways = two_hop_edges(seeds, edges).select("query_id", "src", F.lit("GO_Term").alias("src_type"), "dst", F.lit("GO_Term").alias("dst_type"), "relationship")
+    around = graph_neighbourhood(seeds, edges, **limits)
+    return ways.unionByName(around.select(*ways.columns)).distinct()

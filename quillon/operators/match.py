@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectorised import free_spans, ratio_bound, sequence_ratio
-from ..plans.shared import broadcast_if
+from ..plans.shared import broadcast_if, write_shared
 
 #: Dictionary names that may be broadcast; beyond, the joins are shuffled.
 BROADCAST_NAMES = 1 << 20
@@ -113,7 +113,7 @@ def _windows_of_names(docs: DataFrame, names: DataFrame, max_n: int, stopwords:
     hit = hit.withColumn("b", F.explode(F.sequence(F.lit(0), F.least("right", F.lit(max_n) - F.col("m") - F.col("a")))))
     before = F.when(F.col("a") > 0, F.reverse(_tokens_of(F.col("behind"), F.col("a"), lead=True))).otherwise("")
     hit = hit.withColumn("before", before).withColumn("window", F.concat("before", _tokens_of(F.col("near"), F.col("m") + F.col("b"))))
-    return hit.select("doc_id", (F.col("j") - F.col("a")).alias("i"), (F.col("m") + F.col("a") + F.col("b")).alias("n"), "m", "name_lc", "term_id", "is_primary", (F.col("start") - F.length("before")).alias("win_start"), "window")
+    return hit.select("doc_id", (F.col("j") - F.col("a")).alias("i"), (F.col("m") + F.col("a") + F.col("b")).alias("n"), "m", *[c for c in names.columns if c != "n_tokens"], (F.col("start") - F.length("before")).alias("win_start"), "window")
 
 
 def _with_spans(hits: DataFrame, pad: bool) -> DataFrame:
@@ -150,41 +150,43 @@ def match_exact(docs: DataFrame, names: DataFrame, *, max_ngram: int, stopwords:
     return _literal(_with_spans(_windows_of_names(docs, names, max_ngram, stopwords), pad))
 
 
-def _grams(name: Column) -> Column:
-    """The distinct three-letter pieces of a text."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.substring(name, i, F.lit(3))))
+def _pairs_of_letters(text: Column) -> Column:
+    """The distinct pairs of neighbouring letters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2))))
 
 
 def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85, band: int | None = 10) -> DataFrame:
     """(phrase, term_id, score, name_lc): the first best name of each distinct phrase, by sequence ratio.
 
-    A ratio of the threshold leaves at most la - threshold * (la + lb) / 2 of a phrase's
-    letters unmatched, and each breaks at most three of its pieces of three letters. So
-    a phrase shares some piece with the name whenever it has more, and any set of one
-    piece more than can break holds a shared one: phrases and names meet through the
-    phrase's rarest pieces, as many as that. Phrases too short for this meet names
-    by length. Only pairs whose lengths and characters allow the threshold are scored.
+    A ratio of the threshold t matches at least t * (la + lb) / 2 letters of both texts.
+    Of a name's pairs of letters an unmatched letter of its own breaks two at most, and
+    one of the phrase breaks one; all others stand in the phrase too. So one more of a
+    name's pairs than can be broken hold one that the phrase has, whichever they are:
+    phrases meet names through so many of each name's rarest pairs. Names with too few
+    pairs for this meet phrases by length. Only pairs of texts whose lengths and
+    characters allow the threshold are scored.
     """
-    p = phrases.select("phrase").distinct().withColumn("lp", F.length("phrase"))
-    low = F.ceil(F.col("lp") * threshold / (2 - threshold))
-    high = F.floor(F.col("lp") * (2 - threshold) / threshold)
+    t = threshold
+    n = names.select("name_lc", "term_id", "ord").withColumn("ln", F.length("name_lc")).where("ln > 0")
+    low, high = F.ceil(F.col("ln") * t / (2 - t) - 1e-9), F.floor(F.col("ln") * (2 - t) / t + 1e-9)
     if band is not None:
-        low, high = F.greatest(low, F.col("lp") - band), F.least(high, F.col("lp") + band)
-    # Letters that may stay unmatched, if the name is as short as it may be.
-    broken = 3 * F.floor(F.col("lp") - threshold * (F.col("lp") + low) / 2 + 1e-9)
-    p = p.withColumn("low", low).withColumn("high", high).withColumn("broken", broken)
-    n = names.select("name_lc", "term_id", "ord").withColumn("ln", F.length("name_lc"))
-    pieces = n.where("ln >= 3").select("name_lc", F.explode(_grams(F.col("name_lc"))).alias("g")).distinct()
-    often = pieces.groupBy("g").agg(F.count("*").alias("names"))
-    # Pieces of the phrase that no name has come first: they are the rarest.
-    own = p.where("lp >= 3").select("*", F.explode(_grams(F.col("phrase"))).alias("g"))
-    own = own.withColumn("pieces", F.count("*").over(Window.partitionBy("phrase"))).where("pieces > broken")
-    own = own.join(broadcast_if(often, BROADCAST_NAMES), "g", "left").withColumn("k", F.row_number().over(Window.partitionBy("phrase").orderBy(F.coalesce("names", F.lit(0)), "g"))).where("k <= broken + 1")
-    near = own.join(pieces, "g").select("phrase", "lp", "low", "high", "name_lc").distinct().join(n, "name_lc").where("ln between low and high")
-    short = p.join(own.select("phrase").distinct(), "phrase", "left_anti").withColumn("ln", F.explode(F.when(F.col("low") <= F.col("high"), F.sequence(F.col("low").cast("int"), F.col("high").cast("int")))))
-    pairs = near.select("phrase", "name_lc", "term_id", "ord").unionByName(short.join(n, "ln").select("phrase", "name_lc", "term_id", "ord"))
-    pairs = pairs.where(ratio_bound(F.col("phrase"), F.col("name_lc")) >= threshold)
-    scored = pairs.withColumn("score", sequence_ratio("phrase", "name_lc", F.lit(threshold))).where(F.col("score") >= threshold)
+        low, high = F.greatest(low, F.col("ln") - band), F.least(high, F.col("ln") + band)
+    n = n.withColumn("low", low.cast("int")).withColumn("high", high.cast("int"))
+    # Pairs of letters that may be broken: linear in the phrase's length, so most at one end of its range.
+    broken = lambda lp: F.col("ln") * (2 - 1.5 * t) + F.col(lp) * (1 - 1.5 * t)
+    n = n.withColumn("broken", F.floor(F.greatest(broken("low"), broken("high")) + 1e-9))
+    reach = n.agg(F.min("low"), F.max("high")).first()
+    p = phrases.select("phrase").withColumn("lp", F.length("phrase")).where(F.col("lp").between(reach[0] or 0, reach[1] or 0)).distinct()
+    pieces = n.where("ln > 1").select("name_lc", "broken", F.explode(_pairs_of_letters(F.col("name_lc"))).alias("g")).distinct()
+    pieces = pieces.withColumn("often", F.count("*").over(Window.partitionBy("g"))).withColumn("pieces", F.count("*").over(Window.partitionBy("name_lc"))).where("pieces > broken")
+    rarest = Window.partitionBy("name_lc").orderBy("often", "g")
+    pieces = write_shared(pieces.withColumn("k", F.row_number().over(rarest)).where("k <= broken + 1").select("g", "name_lc"), "letter-pairs")
+    met = p.where("lp > 1").select("phrase", "lp", F.explode(_pairs_of_letters(F.col("phrase"))).alias("g")).join(broadcast_if(pieces, BROADCAST_NAMES), "g")
+    by_piece = met.join(broadcast_if(n, BROADCAST_NAMES), "name_lc").where("lp between low and high").select("phrase", "name_lc", "term_id", "ord").distinct()
+    short = n.join(broadcast_if(pieces.select("name_lc").distinct(), BROADCAST_NAMES), "name_lc", "left_anti").withColumn("lp", F.explode(F.when(F.col("low") <= F.col("high"), F.sequence("low", "high"))))
+    by_length = p.join(broadcast_if(short, BROADCAST_NAMES), "lp").select("phrase", "name_lc", "term_id", "ord")
+    pairs = by_piece.unionByName(by_length).where(ratio_bound(F.col("phrase"), F.col("name_lc")) >= t)
+    scored = pairs.withColumn("score", sequence_ratio("phrase", "name_lc", F.lit(t))).where(F.col("score") >= t)
     best = scored.groupBy("phrase").agg(F.max_by(F.struct("term_id", "score", "name_lc"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("phrase", F.col("b.term_id").alias("term_id"), F.col("b.score").alias("score"), F.col("b.name_lc").alias("name_lc"))
 
@@ -196,14 +198,19 @@ def ordered_names(terms: DataFrame) -> DataFrame:
 
 
 def match_fuzzy(docs: DataFrame, terms: DataFrame, *, max_ngram: int, stopwords: Sequence[str], threshold: float = 0.85) -> DataFrame:
-    """Windows of two or more words close to a name but equal to none."""
-    w = phrase_windows(docs, max_ngram, stopwords).where(F.size("words") >= 2).withColumn("phrase", F.array_join("words", " "))
+    """Windows of two or more words close to a name but equal to none.
+
+    A window's trimmed phrase is a window without stopwords at its ends, so those are
+    scored, each distinct phrase once; the windows around them are found as for names.
+    """
+    rows = token_rows(docs, max_ngram - 1).where(~F.lower("t").isin(*stopwords)).select(_words(F.concat("t", "ahead"), T.TOKEN_CHARS).alias("words")).where(F.size("words") > 1)
+    rows = rows.withColumn("m", F.explode(F.sequence(F.lit(2), F.size("words")))).where(~F.element_at("words", F.col("m")).isin(*stopwords))
     exact = name_index(terms).select(F.col("name_lc").alias("phrase"))
-    w = w.join(exact, "phrase", "left_anti")
-    best = best_fuzzy(w, ordered_names(terms), threshold=threshold).drop("name_lc")
-    found = w.join(best, "phrase").select("doc_id", "i", "n", F.size("words").alias("m"), F.col("phrase").alias("name_lc"), "term_id", F.round("score", 3).alias("score"), F.col("start").alias("win_start"), _tokens_of(F.col("near"), F.col("n")).alias("window"))
-    out = _with_spans(found, pad=False)
-    return out.withColumn("match_type", F.lit("fuzzy")).withColumn("rank", F.lit(1)).withColumn("is_primary", F.lit(False))
+    phrases = rows.select(F.array_join(F.slice("words", F.lit(1), F.col("m")), " ").alias("phrase")).join(broadcast_if(exact, BROADCAST_NAMES), "phrase", "left_anti")
+    best = best_fuzzy(phrases, ordered_names(terms), threshold=threshold)
+    near = write_shared(best.select(F.col("phrase").alias("name_lc"), "term_id", F.lit(False).alias("is_primary"), F.round("score", 3).alias("score")), "near-names")
+    out = _with_spans(_windows_of_names(docs, near, max_ngram, stopwords), pad=False)
+    return out.withColumn("match_type", F.lit("fuzzy")).withColumn("rank", F.lit(1))
 
 
 def id_hits(docs: DataFrame, alias: DataFrame) -> DataFrame:

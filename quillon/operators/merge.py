@@ -42,7 +42,9 @@ def merge_score(candidates: DataFrame, docs: DataFrame, depths: DataFrame) -> Da
 
 
 def _best(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("doc_id", "term_id").orderBy(F.desc("final"))
+    """The candidate of each term with the highest given score; of equal ones the first by ``pos`` if there is one, else by final score and span."""
+    first = [F.col("pos")] if "pos" in rows.columns else []
+    order = Window.partitionBy("doc_id", "term_id").orderBy(F.desc("score"), *first, F.desc("final"), "span")
     return rows.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
@@ -83,3 +85,9 @@ def merge_terms(docs: DataFrame, candidates: DataFrame, closure: DataFrame, dept
     order = F.transform(F.array_sort(F.collect_list(F.struct("namespace", (-F.col("final")).alias("k"), "term_id"))), lambda x: x["term_id"])
     left = kept.groupBy("doc_id").agg(order.alias("kept"))
     return every.join(left, "doc_id", "left").select("doc_id", "kept", F.array_except("all", "kept").alias("dropped"))
+
+
+def merge_ids(docs: DataFrame, ids: DataFrame, terms: DataFrame, closure: DataFrame, depths: DataFrame, *, score: float = 1.0, **options) -> DataFrame:
+    """``merge_terms`` of plain ``ids(doc_id, term_id)``: known terms stand for themselves by name, all with one score."""
+    known = ids.distinct().join(terms.select("term_id", "name", "namespace"), "term_id")
+    return merge_terms(docs, known.withColumn("span", F.col("name")).withColumn("score", F.lit(score)), closure, depths, **options)

@@ -27,6 +27,16 @@ def score_cases(predictions: DataFrame, gold: DataFrame, cases: DataFrame, metho
     return grid.join(n, ["method", "case_id"], "left").fillna(0, ["tp", "fp", "fn"])
 
 
+def case_ids(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """(method, case_id, tp_ids, fp_ids, fn_ids) in order of id, for every method and case with a prediction or a gold id."""
+    p = predictions.select("method", "case_id", "term_id").distinct().withColumn("p", F.lit(1))
+    g = gold.select("case_id", "term_id").distinct().join(F.broadcast(predictions.select("method").distinct())).withColumn("g", F.lit(1))  # a few methods
+    both = p.join(g, ["method", "case_id", "term_id"], "full_outer")
+    ids = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("term_id"))))
+    has_p, has_g = F.col("p").isNotNull(), F.col("g").isNotNull()
+    return both.groupBy("method", "case_id").agg(ids(has_p & has_g).alias("tp_ids"), ids(has_p & ~has_g).alias("fp_ids"), ids(~has_p & has_g).alias("fn_ids"))
+
+
 def micro_prf(scored: DataFrame, *by: str) -> DataFrame:
     keys = by or ("method",)
     s = scored.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
@@ -93,6 +103,14 @@ def ablation_delta(base: DataFrame, other: DataFrame, metrics: list[str]) -> Dat
     return b.join(o, "metric").withColumn("delta", F.round(F.col("other") - F.col("base"), 4))
 
 
+def latency_delta(stats: DataFrame, base: str, other: str) -> DataFrame:
+    """(base_ms, other_ms, delta_ms, relative) of two methods of ``latency_stats``; relative is the share of the base's time."""
+    of = lambda m: F.max(F.when(F.col("method") == m, F.col("mean_ms")))
+    one = stats.agg(of(base).alias("base_ms"), of(other).alias("other_ms"))
+    gap = F.col("other_ms") - F.col("base_ms")
+    return one.withColumn("delta_ms", F.round(gap, 3)).withColumn("relative", F.round(gap / F.nullif("base_ms", F.lit(0.0)), 4))
+
+
 def case_distribution(cases: DataFrame) -> DataFrame:
     """(lang, difficulty, n, percent, first_id, last_id)."""
     total = F.sum("n").over(Window.partitionBy())

@@ -29,7 +29,7 @@ def closure(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
 
 
 def node_depths(nodes: DataFrame, edges: DataFrame, roots: list, *, max_rounds: int = 64) -> DataFrame:
-    """(term_id, depth): shortest way down from any root; 0 where there is none."""
+    """(term_id, depth): shortest way down from any root; 0 where there is none. Ways of ``max_rounds`` steps or more raise an error."""
     level = write_shared(nodes.where(F.col("term_id").isin(roots)).select("term_id"), "depths")
     found = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_rounds):
@@ -38,6 +38,8 @@ def node_depths(nodes: DataFrame, edges: DataFrame, roots: list, *, max_rounds:
         if level.isEmpty():
             break
         found = found.unionByName(level.withColumn("depth", F.lit(depth)))
+    else:
+        raise RuntimeError(f"depths did not end in {max_rounds} rounds")
     return nodes.select("term_id").join(found, "term_id", "left").select("term_id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 

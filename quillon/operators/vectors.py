@@ -99,7 +99,7 @@ def topk_two_stage(queries: DataFrame, items: DataFrame, reps: DataFrame, rep_me
     order = Window.partitionBy("query_id").orderBy(F.round("d", 6), "node_id")
     fine = near.withColumn("d", d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "node_id", F.round(1 / (1 + F.col("d")), 4).alias("score"), "rank")
     rest = queries.join(own.select("query_id").distinct(), "query_id", "left_anti")
-    return fine if reps.limit(1).count() else topk_l2(rest, items, k)
+    return fine.unionByName(topk_l2(rest, items, k))
 
 
 def annotate_vector(docs: DataFrame, items: DataFrame, encoder: Callable[[DataFrame, str, str], DataFrame], *, k: int = 3, threshold: float = 0.5) -> DataFrame:

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectorised import hash_embed
-from ..operators import fusion, graph, ic, match, merge, metrics, ontology, prompts, vectors
+from ..operators import ensemble, fusion, graph, ic, match, merge, metrics, ontology, prompts, vectors
 from ..sources import ontology as sources
 from .shared import write_shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+_BLANK = f"'{T.BLANK}'"
 WORD = r"[\p{L}\p{M}\p{N}_/-]+"
 
 
@@ -43,6 +44,12 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- bindings
 
 
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents to annotate; a table of fewer splits than cores is dealt over the cores, as matching is work for the processor."""
+    docs, cores = _t(spark, sf, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+
+
 def _terms(spark, sf) -> DataFrame:
     b = _t(spark, sf, "benchmark").select("item_id", T.tokenize(F.col("text")).alias("w"))
     phrase = lambda i, n: F.array_join(T.trim_stopwords(F.slice("w", i, n), T.DICT_STOPWORDS), " ")
@@ -174,12 +181,17 @@ def text_tokens(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.size(w).alias("n_tokens"), F.size(F.array_distinct(w)).alias("n_distinct"))
 
 
-@query(r"SELECT doc_id, sentence FROM (SELECT DISTINCT doc_id, trim(unnest(regexp_split_to_array(text, '[.;\n]')), E' \t\r') AS sentence FROM documents) WHERE length(sentence) >= 6")
+_PARTS = rf"""parts AS (SELECT doc_id, i, parts[i] AS x, coalesce(list_sum([length(p) + 1 for p in parts[1:i-1]]), 0)::BIGINT AS b FROM (
+ SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[.;\n]') AS parts FROM documents))),
+sents AS (SELECT doc_id, trim(x, {_BLANK}) AS sentence, b + length(x) - length(ltrim(x, {_BLANK})) AS st, b + length(x) - length(ltrim(x, {_BLANK})) + length(trim(x, {_BLANK})) AS en FROM parts WHERE length(trim(x, {_BLANK})) >= 6)"""
+
+
+@query(f"WITH {_PARTS} SELECT DISTINCT doc_id, sentence FROM sents")
 def text_sentences(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
 
 
-@query()
+@query(f'WITH {_PARTS} SELECT doc_id, sentence, st::INT AS start, en::INT AS "end" FROM sents')
 def text_sentence_spans(spark, sf):
     return match.sentence_table(_t(spark, sf, "documents"))
 
@@ -212,7 +224,7 @@ def text_node_and_term(spark, sf):
 
 @query()
 def text_candidate_phrases(spark, sf):
-    return match.candidate_phrases(_t(spark, sf, "documents").select("doc_id", "text"))
+    return match.candidate_phrases(_docs(spark, sf))
 
 
 # ---------------------------------------------------------------- matching
@@ -235,7 +247,7 @@ h AS (SELECT DISTINCT doc_id, name, term_id FROM d JOIN n ON contains(t, ' ' ||
 
 @query(_SQL_DOCS_OF_NAMES + " SELECT doc_id, name AS name_lc, term_id FROM h")
 def match_exact_names(spark, sf):
-    docs, names = _t(spark, sf, "documents").select("doc_id", "text"), match.name_index(_terms(spark, sf))
+    docs, names = _docs(spark, sf), match.name_index(_terms(spark, sf))
     return match._windows_of_names(docs, names, 8, T.DICT_STOPWORDS).select("doc_id", "name_lc", "term_id").distinct()
 
 
@@ -246,35 +258,42 @@ def annotate_doc_counts(spark, sf):
 
 @query()
 def annotate_ngram(spark, sf):
-    return match.annotate_ngram(_t(spark, sf, "documents").select("doc_id", "text"), _terms(spark, sf))
+    return match.annotate_ngram(_docs(spark, sf), _terms(spark, sf))
 
 
 @query()
 def annotate_dictionary(spark, sf):
-    return match.annotate_dictionary(_t(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), _terms(spark, sf))
+    return match.annotate_dictionary(_docs(spark, sf), _terms(spark, sf))
+
+
+@query()
+def annotate_ensemble(spark, sf):
+    terms, docs = _terms(spark, sf), _docs(spark, sf)
+    items = hash_embed(terms.select(F.col("term_id").alias("node_id"), "name"), "node_id", "name")
+    told = docs.select("doc_id", (F.col("doc_id") % 40).alias("term_id"), F.array_join(F.slice(T.tokenize(F.col("text")), 1, 2), " ").alias("span"), (0.3 + F.col("doc_id") % 7 / 10).alias("confidence"))
+    return ensemble.annotate_ensemble(docs, terms, items, lambda df, k, t: hash_embed(df, k, t), told, fusion.PRESETS["recall"]).select("doc_id", "term_id", "span", "start", "end", "match_type", "source", "score")
 
 
 @query()
 def normalize_terms(spark, sf):
     terms = _terms(spark, sf)
-    mentions = _t(spark, sf, "conversations").where("role = 'user'").select(F.array_join(F.slice(T.tokenize(F.col("text")), 1, 2), " ").alias("mention")).unionByName(terms.select(F.concat("name", F.lit("s")).alias("mention")))
+    turns = _t(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    mentions = match.phrase_windows(turns, 3, T.DICT_STOPWORDS).select(F.array_join("words", " ").alias("mention")).distinct().unionByName(terms.select(F.concat("name", F.lit("s")).alias("mention")))
     named = terms.select("term_id", "name")
     alias = sources.term_alias(terms).withColumn("any_id", F.col("any_id").cast("string"))
     return match.score_normalized(match.normalize_terms(mentions, terms, alias=alias).join(named, "term_id", "left")).select("mention", "term_id", "how", "match_type", F.round("confidence", 4).alias("confidence"))
 
 
-@query("""WITH h AS (SELECT doc_id, 0 AS s, length(text) // 3 AS e FROM documents) SELECT doc_id, count(*) AS n FROM (
- SELECT d.doc_id, i, b + length(x) - length(ltrim(x)) AS st, b + length(x) - length(ltrim(x)) + length(trim(x)) AS en FROM (
-  SELECT doc_id, i, parts[i] AS x, coalesce(list_sum([length(p) + 1 for p in parts[1:i-1]]), 0)::BIGINT AS b FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[.;\n]') AS parts FROM documents))) d WHERE length(trim(x)) >= 6) q
- JOIN h USING (doc_id) WHERE greatest(0, least(en, e) - greatest(st, s)) <= 0.6 * (en - st) GROUP BY doc_id""")
+@query(f"""WITH {_PARTS}, h AS (SELECT doc_id, 0 AS s, length(text) // 3 AS e FROM documents)
+SELECT doc_id, count(*) AS n, sum(st)::BIGINT AS starts FROM sents JOIN h USING (doc_id) WHERE greatest(0, least(en, e) - greatest(st, s)) <= 0.6 * (en - st) GROUP BY doc_id""")
 def uncovered_sentences(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text")
     hits = docs.select("doc_id", F.lit(0).alias("start"), F.expr("length(text) div 3").alias("end"))
-    return match.uncovered_sentences(docs, hits).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return match.uncovered_sentences(docs, hits).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
 @query(f"""WITH {SQL_CAND}, c AS (SELECT doc_id, term_id, max(score) AS score FROM cand WHERE source = 'dict' GROUP BY ALL),
-m AS (SELECT doc_id, term_id, arg_min(score, pos) AS confidence FROM cand WHERE source = 'llm' GROUP BY ALL)
+m AS (SELECT doc_id, term_id, arg_min(score, pos * 1000 - score) AS confidence FROM cand WHERE source = 'llm' GROUP BY ALL)
 SELECT doc_id, term_id, greatest(0.0, least(1.0, confidence)) AS confidence FROM m JOIN c USING (doc_id, term_id)""")
 def gate_to_candidates(spark, sf):
     c = _candidates(spark, sf)
@@ -422,22 +441,39 @@ def retrieve_candidates(spark, sf):
     return fusion.retrieve_candidates(c.where("source = 'dict'"), c.where("source = 'vector'"))
 
 
-@query()
+def _sql_preset(name: str, p: fusion.Preset) -> str:
+    w = (("d", p.weight_dict), ("v", p.weight_vector), ("l", p.weight_llm))
+    top = " + ".join(f"coalesce({c} * {x}::DOUBLE, 0)" for c, x in w)
+    low = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {x}::DOUBLE END" for c, x in w)
+    n = " + ".join(f"({c} IS NOT NULL)::INT" for c, _ in w)
+    return f"""SELECT '{name}' AS preset, count(*) AS n FROM (SELECT d, ex, {n} AS k, least(1.0, ({top}) / greatest({low}, 1e-8) + greatest({n} - 1, 0) * {p.consensus_bonus}::DOUBLE) AS fused FROM (
+ SELECT doc_id, term_id, max(CASE WHEN source = 'dict' THEN score END) AS d, max(CASE WHEN source = 'vector' THEN score END) AS v, max(CASE WHEN source = 'llm' THEN score END) AS l, bool_or(match_type = 'exact') AS ex FROM cand
+ WHERE source = 'dict' OR (source = 'vector' AND score >= {p.vector_threshold}) OR (source = 'llm' AND score >= {p.llm_threshold}) GROUP BY ALL)) WHERE (ex AND coalesce(d, 0) >= 0.95) OR (fused >= {p.final_threshold} AND k >= {p.min_consensus})"""
+
+
+@query(f"WITH {SQL_CAND} " + " UNION ALL ".join(_sql_preset(k, v) for k, v in fusion.PRESETS.items()))
 def preset_sweep(spark, sf):
     return fusion.preset_sweep(_candidates(spark, sf)).groupBy("preset").agg(F.count("*").alias("n"))
 
 
 def _merge_input(spark, sf) -> tuple[DataFrame, DataFrame]:
     docs = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws(" ", "o_orderpriority", F.lit("dna repair and translation")).alias("text"))
-    n = _nodes(spark, sf)
-    c = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term_id"), F.round(1 - F.col("l_discount") * 5, 4).alias("score"), F.lit("").alias("span")).join(n, "term_id")
+    k = F.col("term_id")
+    n = _nodes(spark, sf).withColumn("namespace", F.when(k % 3 == 0, "molecular_function").when(k % 3 == 1, "cellular_component").otherwise("biological_process"))
+    c = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term_id"), F.col("l_linenumber").alias("pos"), F.round(1 - F.col("l_discount") * 5, 4).alias("score"), F.lit("").alias("span")).join(n, "term_id")
     return docs, c
 
 
 @query()
 def merge_terms(spark, sf):
     docs, c = _merge_input(spark, sf)
-    return merge.merge_terms(docs, c, _closure(spark, sf), _depths(spark, sf), limits={})
+    return merge.merge_terms(docs, c, _closure(spark, sf), _depths(spark, sf))
+
+
+@query()
+def merge_ids(spark, sf):
+    docs, c = _merge_input(spark, sf)
+    return merge.merge_ids(docs, c.select("doc_id", "term_id"), c.select("term_id", "name", "namespace").distinct(), _closure(spark, sf), _depths(spark, sf))
 
 
 @query(f"WITH {SQL_CAND}, b AS (SELECT doc_id, term_id, CASE term_id % 2 WHEN 0 THEN 'biological_process' ELSE 'molecular_function' END AS namespace, max(score) AS final FROM cand GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, namespace ORDER BY final DESC, term_id) AS k FROM b) SELECT doc_id, namespace, term_id, final FROM r WHERE k <= CASE namespace WHEN 'biological_process' THEN 2 ELSE 1 END")
@@ -476,7 +512,11 @@ def _reps(spark, sf) -> tuple[DataFrame, DataFrame]:
     return reps.select("rep_id"), v.join(reps, "label").where("vec_id <> rep_id").select("rep_id", F.col("vec_id").alias("member_id"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, reps AS (SELECT min(vec_id) AS rep_id, label FROM embeddings GROUP BY label),
+c AS (SELECT q.vec_id AS query_id, rep_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.e, i.e) ^ 2, 6), rep_id) AS k FROM v q, reps JOIN v i ON i.vec_id = rep_id WHERE q.vec_id % 20 = 0),
+pool AS (SELECT DISTINCT query_id, m.vec_id AS node_id FROM c JOIN reps r USING (rep_id) JOIN embeddings m ON m.label = r.label WHERE k <= 15),
+s AS (SELECT query_id, node_id, list_distance(q.e, i.e) ^ 2 AS s FROM pool JOIN v q ON q.vec_id = query_id JOIN v i ON i.vec_id = node_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6), node_id)::INT AS rank FROM s) SELECT query_id, node_id, round(1 / (1 + s), 4) AS score, rank FROM r WHERE rank <= 5""")
 def topk_two_stage(spark, sf):
     reps, members = _reps(spark, sf)
     return vectors.topk_two_stage(_questions(spark, sf), _items(spark, sf), reps, members, 5)
@@ -530,17 +570,29 @@ def seeds_from_papers(spark, sf):
     return graph.seeds_from_papers(papers, _graph_edges(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_DAG}, {SQL_EDGES}, {SQL_SEEDS}, e AS (SELECT src, dst, relationship FROM ge WHERE src_type = 'GO_Term' AND dst_type = 'GO_Term' AND src <> dst),
+b AS (SELECT *, src AS a, dst AS m FROM e UNION ALL SELECT *, dst, src FROM e), near AS (SELECT query_id, b.* FROM b JOIN seeds ON a = term_id),
+direct AS (SELECT near.* FROM near JOIN seeds s ON s.query_id = near.query_id AND s.term_id = m), mids AS (SELECT query_id, m FROM near GROUP BY ALL HAVING count(DISTINCT a) > 1),
+f AS (SELECT DISTINCT query_id, src, dst, relationship FROM (SELECT query_id, src, dst, relationship FROM direct UNION ALL SELECT query_id, src, dst, relationship FROM near JOIN mids USING (query_id, m) WHERE query_id NOT IN (SELECT query_id FROM direct))),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, dst, relationship) AS k FROM f) SELECT query_id, src, dst, relationship FROM r WHERE k <= 120""")
 def two_hop_edges(spark, sf):
     return graph.two_hop_edges(_seeds(spark, sf), _graph_edges(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {SQL_DAG}, {SQL_EDGES}, n AS (SELECT DISTINCT term_id::VARCHAR AS node_id FROM nodes ORDER BY 1 LIMIT 200),
-i AS (SELECT DISTINCT ge.* FROM ge SEMI JOIN n ON src = node_id), j AS (SELECT i.* FROM i SEMI JOIN n ON dst = node_id), k AS (SELECT *, row_number() OVER (PARTITION BY src, dst, relationship) AS x FROM j WHERE src_type = 'GO_Term' AND dst_type = 'GO_Term')
-SELECT src, src_type, dst, dst_type, relationship FROM k WHERE x = 1 ORDER BY src, dst, relationship LIMIT 400""")
+@query(f"""WITH RECURSIVE {SQL_DAG}, n AS (SELECT lpad(term_id::VARCHAR, 9, '0') AS node_id FROM nodes ORDER BY 1 LIMIT 200),
+i AS (SELECT lpad(child::VARCHAR, 9, '0') AS src, lpad(parent::VARCHAR, 9, '0') AS dst FROM edges)
+SELECT src, 'GO_Term' AS src_type, dst, 'GO_Term' AS dst_type, 'is_a' AS relationship FROM i WHERE src IN (SELECT node_id FROM n) AND dst IN (SELECT node_id FROM n) ORDER BY src, dst LIMIT 400""")
 def limit_graph(spark, sf):
-    nodes = _nodes(spark, sf).select(F.col("term_id").cast("string").alias("node_id"))
-    return graph.limit_graph(nodes, _graph_edges(spark, sf).where("src_type = 'GO_Term' and dst_type = 'GO_Term'"))[1]
+    padded = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
+    nodes = _nodes(spark, sf).select(padded("term_id").alias("node_id"))
+    edges = _graph_edges(spark, sf).where("relationship = 'is_a'").withColumn("src", padded("src")).withColumn("dst", padded("dst"))
+    return graph.limit_graph(nodes, edges)[1]
+
+
+@query()
+def question_graph(spark, sf):
+    papers = _t(spark, sf, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("pmid"))
+    return graph.question_graph(papers, _graph_edges(spark, sf))
 
 
 @query("""WITH h AS (SELECT o_orderkey AS query_id, string_agg(t, ' ; ' ORDER BY r) AS hints FROM (SELECT o_orderkey, l_partkey || ' ' || p_name AS t, row_number() OVER (PARTITION BY o_orderkey ORDER BY min(l_linenumber), l_partkey || ' ' || p_name) AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) WHERE r <= 6 GROUP BY o_orderkey)
@@ -563,7 +615,13 @@ def build_context(spark, sf):
     return prompts.build_context(_ranked_nodes(spark, sf))
 
 
-@query()
+_CHOOSE = {k: "'" + v.replace("\n", "' || chr(10) || '").replace("{text}", "' || text || '").replace("{list}", "' || block || '") + "'" for k, v in prompts.CHOOSE.items()}
+
+
+@query(f"""WITH {SQL_CAND}, u AS (SELECT doc_id, term_id, score, source FROM cand WHERE source = 'dict' OR (source = 'vector' AND score >= 0.7)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term_id ORDER BY score DESC, source) AS k FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term_id)::INT AS rank FROM b WHERE k = 1),
+l AS (SELECT doc_id, string_agg(rank || '. ' || term_id || ' | ' || p_name || ' | ' || p_type || ' | source=' || source || ' | score=' || printf('%.3f', score) || ' | def=' || CASE WHEN length(trim(repeat(p_name || ' ', 20))) > 160 THEN trim(repeat(p_name || ' ', 20))[1:160] || '...' ELSE trim(repeat(p_name || ' ', 20)) END, chr(10) ORDER BY rank) AS block FROM r JOIN part ON p_partkey = term_id WHERE rank <= 12 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_CHOOSE['zh']} ELSE {_CHOOSE['en']} END AS prompt FROM l JOIN (SELECT o_orderkey AS doc_id, o_orderpriority AS text FROM orders) USING (doc_id)""")
 def build_prompts(spark, sf):
     docs = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("text"), F.when(F.col("o_orderkey") % 2 == 0, "zh").otherwise("en").alias("lang"))
     c = fusion.retrieve_candidates(_candidates(spark, sf).where("source = 'dict'"), _candidates(spark, sf).where("source = 'vector'"))
@@ -571,7 +629,10 @@ def build_prompts(spark, sf):
     return prompts.build_prompts(docs, c.join(n, "term_id"))
 
 
-@query()
+@query("""SELECT 'GO_Term' AS node_type, p_partkey::VARCHAR AS node_id, concat_ws(chr(10), 'Name: ' || p_name, 'GO ID: ' || p_partkey, 'Namespace: ' || p_type, 'Description: ' || p_brand) AS text, 256 AS dim FROM part
+UNION ALL SELECT 'Gene', 'Gene:' || s_suppkey, concat_ws(chr(10), 'Gene Name: ' || s_name, 'EntrezID: ' || s_suppkey), 256 FROM supplier
+UNION ALL SELECT 'PMID', 'PMID:' || o_orderkey, concat_ws(chr(10), 'Title: ' || o_orderpriority, 'Journal: ' || o_orderstatus, 'Year: 1998'), 256 FROM orders
+UNION ALL SELECT 'RTO_Term', 'RTO:' || c_custkey, concat_ws(chr(10), 'RTO Term: ' || c_name, 'RTO ID: RTO:' || c_custkey, 'Description: ' || c_mktsegment), 256 FROM customer""")
 def build_node_index(spark, sf):
     p = _t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("go_id"), F.col("p_name").alias("name"), F.col("p_type").alias("namespace"), F.lit("").alias("synonyms"), F.col("p_brand").alias("description"), F.lit(None).cast("string").alias("comment"))
     s = _t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("gene_id"), F.col("s_name").alias("name"), F.col("s_suppkey").cast("string").alias("entrez_id"))
@@ -638,7 +699,10 @@ def latency_stats(spark, sf):
     return metrics.latency_stats(_t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_quantity").alias("elapsed_s")))
 
 
-@query()
+_SQL_BOTH = f"a AS ({_SQL_RANK}), b AS ({_SQL_RANK.replace('l_linenumber <= 3', 'l_linenumber <= 3 AND l_linenumber % 2 = 1')})"
+
+
+@query(f"WITH {_SQL_BOTH} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, a.{m}::DOUBLE AS base, b.{m}::DOUBLE AS other, round(b.{m} - a.{m}, 4)::DOUBLE AS delta FROM a, b" for m in ("hit", "recall", "precision", "mrr", "ndcg")))
 def ablation_delta(spark, sf):
     gold, cases = _gold(spark, sf), _cases(spark, sf)
     a = metrics.retrieval_metrics(_ranked(spark, sf), gold, cases, 3)
@@ -649,3 +713,16 @@ def ablation_delta(spark, sf):
 @query("SELECT o_orderstatus AS lang, o_orderpriority AS difficulty, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM orders), 2) AS percent, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY ALL")
 def case_distribution(spark, sf):
     return metrics.case_distribution(_cases(spark, sf))
+
+
+@query(f"""WITH {SQL_SCORED.strip()}, k AS (SELECT method, case_id, term_id, max(p) AS p, max(g) AS g FROM (SELECT method, case_id, term_id, 1 AS p, 0 AS g FROM pred
+ UNION ALL SELECT method, case_id, term_id, 0, 1 FROM gold, (VALUES ('odd'), ('cheap')) m(method)) GROUP BY ALL)
+SELECT method, case_id, coalesce(list_sort(list(term_id) FILTER (p = 1 AND g = 1)), []) AS tp_ids, coalesce(list_sort(list(term_id) FILTER (p = 1 AND g = 0)), []) AS fp_ids, coalesce(list_sort(list(term_id) FILTER (p = 0)), []) AS fn_ids FROM k GROUP BY ALL""")
+def score_case_ids(spark, sf):
+    return metrics.case_ids(_predictions(spark, sf), _gold(spark, sf))
+
+
+@query("""WITH s AS (SELECT l_returnflag AS m, round(avg(l_quantity * 1000), 3) AS ms FROM lineitem GROUP BY 1), x AS (SELECT max(ms) FILTER (m = 'A') AS base_ms, max(ms) FILTER (m = 'R') AS other_ms FROM s)
+SELECT base_ms, other_ms, round(other_ms - base_ms, 3) AS delta_ms, round((other_ms - base_ms) / base_ms, 4) AS relative FROM x""")
+def latency_delta(spark, sf):
+    return metrics.latency_delta(latency_stats(spark, sf), "A", "R")

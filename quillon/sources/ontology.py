@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import BLANK
+from ..plans.shared import small_enough
+
+#: Rows of a report table that are written as one file.
+SMALL_REPORT = 10_000
+
 
 def _stanzas(spark: SparkSession, path: str) -> DataFrame:
     """(ord, lines) of each term stanza, in file order."""
@@ -67,9 +73,9 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def clean_cases(cases: DataFrame) -> DataFrame:
     """Stripped texts, none empty; gold ids upper-cased, those of the ontology only."""
-    gold = F.filter(F.transform(F.coalesce("gold", F.array().cast("array<string>")), lambda g: F.upper(F.trim(g))), lambda g: g.startswith("GO:"))
+    gold = F.filter(F.transform(F.coalesce("gold", F.array().cast("array<string>")), lambda g: F.upper(F.trim(g, F.lit(BLANK)))), lambda g: g.startswith("GO:"))
     unknown = lambda c: F.coalesce(c, F.lit("unknown"))
-    out = cases.select("case_id", F.trim("text").alias("text"), gold.alias("gold"), unknown(F.col("lang")).alias("lang"), unknown(F.col("difficulty")).alias("difficulty"))
+    out = cases.select("case_id", F.trim("text", F.lit(BLANK)).alias("text"), gold.alias("gold"), unknown(F.col("lang")).alias("lang"), unknown(F.col("difficulty")).alias("difficulty"))
     return out.where("text <> ''")
 
 
@@ -121,9 +127,9 @@ def write_node_index(nodes: DataFrame, path: str, dim: int) -> None:
 
 
 def write_report(path: str, **tables: DataFrame) -> None:
-    """Write each named result as JSON below ``path``."""
+    """Write each named result as JSON below ``path``, small ones as one file."""
     for name, table in tables.items():
-        table.coalesce(1).write.json(f"{path}/{name}")
+        (table.coalesce(1) if small_enough(table, SMALL_REPORT) else table).write.json(f"{path}/{name}")
 
 
 def delta_markdown(deltas: DataFrame) -> str:
