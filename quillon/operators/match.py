@@ -176,7 +176,8 @@ def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85,
     broken = lambda lp: F.col("ln") * (2 - 1.5 * t) + F.col(lp) * (1 - 1.5 * t)
     n = n.withColumn("broken", F.floor(F.greatest(broken("low"), broken("high")) + 1e-9))
     reach = n.agg(F.min("low"), F.max("high")).first()
-    p = phrases.select("phrase").withColumn("lp", F.length("phrase")).where(F.col("lp").between(reach[0] or 0, reach[1] or 0)).distinct()
+    # Read twice below, so the windows of all documents are made and made distinct once.
+    p = write_shared(phrases.select("phrase").withColumn("lp", F.length("phrase")).where(F.col("lp").between(reach[0] or 0, reach[1] or 0)).distinct(), "phrases")
     pieces = n.where("ln > 1").select("name_lc", "broken", F.explode(_pairs_of_letters(F.col("name_lc"))).alias("g")).distinct()
     pieces = pieces.withColumn("often", F.count("*").over(Window.partitionBy("g"))).withColumn("pieces", F.count("*").over(Window.partitionBy("name_lc"))).where("pieces > broken")
     rarest = Window.partitionBy("name_lc").orderBy("often", "g")
