@@ -8,13 +8,15 @@ document and item is contaminated if it shares ``min_windows`` distinct windows
 (or all that the item has) and its slots are consistent: along one of its alignments
 each item value stands for one document value and the other way round. All alignments
 with ``min_windows`` windows (or all that the item has) are tried, and those of the
-most windows where none has so many.
+most windows where none has so many. Items meet documents through those of their
+windows that the fewest items hold, as many as any contaminated pair must share one of.
 
 Defined cases: null, empty and short texts have no windows; items of fewer than
 ``window`` canonical words are looked for by one window of their own length, from 3
 words on, and shorter ones never match; rows equal in doc_id and text are one
 document; an empty table gives no pairs; extra columns are not read. Of a window
-that an item repeats, its first place counts.
+that an item repeats, its first place counts. A text is one row throughout, however
+long; its windows are spread over rows.
 """
 
 from __future__ import annotations
@@ -58,14 +60,18 @@ def slot_values(text: Column) -> Column:
     return F.struct(numbers.alias("numbers"), names.alias("names"))
 
 
-def windows(words: Column, k: int) -> Column:
+def windows(words: Column, k: Column) -> Column:
     """Hashes of all windows of k words."""
     last = F.size(words) - k
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, k), F.lit(k))))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, k), k)))
 
 
-def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(h, k, uses): each distinct window with the items that hold it and their first place in them."""
+def item_windows(benchmark: DataFrame, window: int, min_windows: int = MIN_WINDOWS) -> DataFrame:
+    """(item_id, h, k, at, n, held, seed): each item's distinct windows, first places, their number and how many items hold one.
+
+    A contaminated pair shares ``min_windows`` of the item's n windows (or all), so at least
+    one of any n - min_windows + 1 of them. ``seed`` marks so many, those that the fewest items hold.
+    """
     items = benchmark.select("item_id", canonical_words(F.col("text")).alias("w")).where(F.size("w") >= SHORTEST)
     k = F.least(F.size("w"), F.lit(window))
     size = F.size("w") - k
@@ -73,7 +79,9 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     rows = items.select("item_id", k.alias("k"), F.posexplode(hashes).alias("at", "h"))
     rows = rows.groupBy("item_id", "k", "h").agg(F.min("at").alias("at"))
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
-    return rows.groupBy("h", "k").agg(F.collect_list(F.struct("item_id", "at", "n")).alias("uses"))
+    rows = rows.join(rows.groupBy("h", "k").agg(F.count("*").alias("held")), ["h", "k"])
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("held", "h", "k"))
+    return rows.withColumn("seed", place <= F.col("n") - F.least(F.lit(min_windows), F.col("n")) + 1)
 
 
 def _between(words: Column, mark: str, start: Column, end: Column) -> tuple[Column, Column]:
@@ -89,6 +97,21 @@ def _consistent(a: Column, b: Column) -> Column:
     return (F.size(a) != F.size(b)) | one
 
 
+def _pair_hits(places: DataFrame, bench: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, item_id, place, h, k, at, n) of all pairs that share a seed window.
+
+    Only seeds are joined through their hash alone; an item's other windows, fewer than
+    ``min_windows`` and those that most items hold, are looked up in the documents that met it.
+    """
+    own, use = ["doc_id", "row_hash"], ["item_id", "h", "k", "at", "n"]
+    seeds = bench.where("seed").select(*use)
+    met = places.join(broadcast_if(seeds, BROADCAST_WINDOWS), ["h", "k"]).select(*own, "place", *use)
+    rest = bench.where("not seed").select(*use)
+    wanted = met.select(*own, "item_id").distinct().join(broadcast_if(rest, BROADCAST_WINDOWS), "item_id").withColumnRenamed("doc_id", "i")
+    others = places.join(wanted, ["row_hash", "h", "k"]).where(F.col("doc_id").eqNullSafe(F.col("i"))).select(*own, "place", *use)
+    return met.unionByName(others)
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_windows: int = MIN_WINDOWS) -> DataFrame:
     """(doc_id, row_hash, item_id, matched, item_windows, kind) for each contaminated pair.
 
@@ -96,26 +119,25 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     one), or edited (the aligned stretch has a different number of slots); of several
     consistent alignments the first kind in this order.
     """
-    bench = write_shared(item_windows(benchmark, window), "item-windows")
-    lengths = [r["k"] for r in bench.select("k").distinct().collect()]  # at most `window` numbers
+    bench = write_shared(item_windows(benchmark, window, min_windows), "item-windows")
+    lengths = [r["k"] for r in bench.select("k").distinct().collect()] or [window]  # at most `window` numbers
     own = ["doc_id", "row_hash"]
     spread = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), canonical_words(F.col("text")).alias("w"))
-    side = broadcast_if(bench, BROADCAST_WINDOWS)
-    hits = None
-    for k in sorted(lengths):
-        rows = spread.select(*own, F.posexplode(windows(F.col("w"), k)).alias("place", "h"))
-        part = rows.join(side.where(F.col("k") == k), "h").select(*own, "place", "h", "k", F.explode("uses").alias("use"))
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = spread.select(*own, F.lit(0).alias("place"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("k"), F.lit(None).cast(bench.schema["uses"].dataType.elementType).alias("use")).where("false")
-    # Both counts below read the hits, so they are written once rather than found twice.
-    hits = write_shared(hits.select(*own, "place", "h", "k", "use.*").withColumn("shift", F.col("place") - F.col("at")), "window-hits")
+    # Every length of window comes out of one pass over the words.
+    spread = spread.select("*", F.lit(lengths[0]).alias("k") if len(lengths) == 1 else F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>")).alias("k"))
+    rows = spread.select(*own, "k", F.posexplode(windows(F.col("w"), F.col("k"))).alias("place", "h"))
+    known = bench.select("h", "k").distinct()
+    # Both counts below and the search for pairs read the places, so they are written once.
+    places = write_shared(rows.join(broadcast_if(known, BROADCAST_WINDOWS), ["h", "k"]).select(*own, "place", "h", "k"), "window-places")
+    hits = write_shared(_pair_hits(places, bench).withColumn("shift", F.col("place") - F.col("at")), "window-hits")
     # Along each alignment, then over all: windows are counted once however often a document repeats them.
     lines = hits.groupBy(*own, "item_id", "n", "k", "shift").agg(F.countDistinct("h").alias("m"), F.min("place").alias("lo"), F.max("place").alias("hi"))
     total = hits.groupBy(*own, "item_id", "n").agg(F.countDistinct("h").alias("matched")).where(F.col("matched") >= F.least(F.lit(min_windows), F.col("n")))
     # One row a pair, its alignments as a list that a document's length bounds.
     tried = lines.groupBy(*own, "item_id").agg(F.max("m").alias("most"), F.collect_list(F.struct("m", "k", "shift", "lo", "hi")).alias("all"))
-    pairs = total.join(tried, [*own, "item_id"]).withColumn("least", F.least(F.lit(min_windows).cast("long"), F.col("n"), F.col("most")))
+    total = total.withColumnsRenamed({"doc_id": "__doc_id", "row_hash": "__row_hash", "item_id": "__item"})
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("row_hash") == F.col("__row_hash"))
+    pairs = tried.join(total, same & (F.col("item_id") == F.col("__item"))).withColumn("least", F.least(F.lit(min_windows).cast("long"), F.col("n"), F.col("most")))
     pairs = write_shared(pairs.select(*own, "item_id", "matched", F.col("n").alias("item_windows"), F.expr("filter(all, x -> x.m >= least)").alias("lines")), "pairs")
     return _checked(pairs, docs, benchmark)
 
