@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import write_shared
 from .ontology import descendant_counts, leaves
 
 
@@ -42,17 +43,18 @@ def ic_annotation(nodes: DataFrame, closure: DataFrame, annotations: DataFrame)
     return c.select("term_id", (-F.log2((F.col("n_genes") + 1) / (F.col("g") + F.col("n")))).alias("ic"))
 
 
-def _cover_pairs(nodes: DataFrame, edges: DataFrame, closure: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(namespace, term_id, .., leaf) with dense leaf numbers, the leaves being of the candidate's namespace."""
-    ends = leaves(nodes, edges).join(nodes.select("term_id", "namespace"), "term_id")
-    number = Window.partitionBy("namespace").orderBy("term_id")
-    ends = ends.select(F.col("term_id").alias("leaf_id"), F.col("namespace").alias("ns"), (F.row_number().over(number) - 1).alias("leaf"))
-    total = ends.groupBy("ns").agg(F.count("*").alias("n_leaves"))
-    below = closure.join(ends, closure["descendant"] == ends["leaf_id"]).select(F.col("ancestor").alias("term_id"), "ns", "leaf")
-    own = ends.select(F.col("leaf_id").alias("term_id"), "ns", F.col("leaf").alias("self"))
-    per = below.groupBy("term_id", "ns").agg(F.collect_list("leaf").alias("below"))
-    c = candidates.join(per.withColumnRenamed("ns", "namespace"), ["term_id", "namespace"], "left").join(own.withColumnRenamed("ns", "namespace"), ["term_id", "namespace"], "left")
-    return c.join(total.withColumnRenamed("ns", "namespace"), "namespace", "left")
+#: Candidates of a namespace that meet in one task of a round.
+ROUND_CANDIDATES = 1024
+
+
+def _cover_pairs(nodes: DataFrame, edges: DataFrame, closure: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates with their namespace's number of leaves and ``is_leaf``, and the (namespace, term_id, leaf) below them."""
+    ends = leaves(nodes, edges).join(nodes.select("term_id", "namespace"), "term_id").select(F.col("term_id").alias("leaf"), "namespace")
+    total = ends.groupBy("namespace").agg(F.count("*").alias("n_leaves"))
+    own = ends.select(F.col("leaf").alias("term_id"), "namespace", F.lit(True).alias("is_leaf"))
+    c = candidates.join(total, "namespace", "left").join(own, ["term_id", "namespace"], "left").fillna({"n_leaves": 0, "is_leaf": False})
+    below = closure.join(ends, closure["descendant"] == ends["leaf"]).select(F.col("ancestor").alias("term_id"), "namespace", "leaf")
+    return c, below.join(candidates.select("namespace", "term_id"), ["namespace", "term_id"], "left_semi")
 
 
 def _bits(numbers) -> int:
@@ -65,62 +67,106 @@ def _bits(numbers) -> int:
     return int.from_bytes(raw, "little")
 
 
-def _lazy_cover(frame: pd.DataFrame, most: int, enough: float) -> list:
-    """Greedy by IC * log2(new leaves + 1). The gain only falls as leaves get covered, so a stale bound that still leads is exact."""
-    rows = frame.sort_values("term_id").reset_index(drop=True)
-    sets, total = [_bits(x) for x in rows["below"]], max(1, int(rows["n_leaves"].fillna(0).max()))
-    gain = lambda i, covered: rows["ic"][i] * math.log2((sets[i] & ~covered).bit_count() + 1)
-    heap = [(-gain(i, 0), i) for i in range(len(rows))]
+def _numbered(lists, own) -> tuple[list[int], list[int]]:
+    """Bit sets of the leaves below and of the candidates that are leaves, under numbers given in this task."""
+    number: dict = {}
+    of = lambda x: number.setdefault(x, len(number))
+    return [_bits([of(x) for x in ([] if below is None else below)]) for below in lists], [0 if x is None else 1 << of(x) for x in own]
+
+
+def _best_gains(frame: pd.DataFrame, room: int, need: float, size: int) -> tuple[list, bool]:
+    """Greedy by IC * log2(new leaves + 1), and whether nothing is left to choose.
+
+    A gain only falls as leaves get covered, so a stale bound that still leads is exact.
+    The last row stands for all candidates outside the round: it stops the round once it leads.
+    """
+    sets, own = _numbered(frame["below"], [t if leaf else None for t, leaf in zip(frame["term_id"], frame["is_leaf"], strict=True)])
+    outside = len(sets) - 1 if len(sets) > size else -1
+    gain = lambda i, covered: frame["ic"][i] * math.log2((sets[i] & ~covered).bit_count() + 1)
+    heap = [(-gain(i, 0), frame["term_id"][i], i) for i in range(len(sets))]
     heapq.heapify(heap)
     chosen, covered = [], 0
-    while heap and len(chosen) < most and covered.bit_count() / total < enough:
-        _, i = heapq.heappop(heap)
-        now = -gain(i, covered)
-        if heap and (now, i) > heap[0]:
-            heapq.heappush(heap, (now, i))
-            continue
-        if now >= 0:
+    while heap and len(chosen) < room and covered.bit_count() < need:
+        _, term, i = heapq.heappop(heap)
+        if i == outside:
+            return chosen, False
+        now = (-gain(i, covered), term, i)
+        if heap and now > heap[0]:
+            heapq.heappush(heap, now)
+        elif now[0] >= 0:
             break
-        chosen.append(rows["term_id"][i])
-        covered |= sets[i]
-        if pd.notna(rows["self"][i]):
-            covered |= 1 << int(rows["self"][i])
-    return chosen
-
-
-def _in_order(frame: pd.DataFrame, most: int, enough: float, ideal: float) -> list:
-    """By leaves covered over a depth penalty; a term that adds no leaf and is none is passed over."""
-    sets, total = [_bits(x) for x in frame["below"]], max(1, int(frame["n_leaves"].fillna(0).max()))
-    worth = [-s.bit_count() / (1 + 0.05 * abs(d - ideal)) for s, d in zip(sets, frame["depth"], strict=True)]
-    chosen, covered, ids, own = [], 0, list(frame["term_id"]), list(frame["self"])
-    for i in sorted(range(len(ids)), key=lambda i: (worth[i], ids[i])):
-        if len(chosen) >= most or covered.bit_count() / total >= enough:
-            break
-        is_leaf = pd.notna(own[i])
-        if sets[i] & ~covered or is_leaf:
-            chosen.append(ids[i])
-            covered |= sets[i] | (1 << int(own[i]) if is_leaf else 0)
-    return chosen
-
+        else:
+            chosen.append(term)
+            covered |= sets[i] | own[i]
+    return chosen, True
 
-def _select(pairs: DataFrame, pick) -> DataFrame:
-    kind = dict(pairs.dtypes)["term_id"]
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ids = pick(frame)
-        return pd.DataFrame({"namespace": [key[0]] * len(ids), "term_id": ids, "rank": range(1, len(ids) + 1)})
-
-    return pairs.groupBy("namespace").applyInPandas(run, f"namespace string, term_id {kind}, rank int")
+def _next_in_order(frame: pd.DataFrame, room: int, need: float, size: int) -> tuple[list, bool]:
+    """In the given order; a term that adds no leaf and is none is passed over."""
+    sets, own = _numbered(frame["below"], [t if leaf else None for t, leaf in zip(frame["term_id"], frame["is_leaf"], strict=True)])
+    chosen, covered = [], 0
+    for i, term in enumerate(frame["term_id"][:size]):
+        if len(chosen) >= room or covered.bit_count() >= need:
+            return chosen, True
+        if sets[i] & ~covered or own[i]:
+            chosen.append(term)
+            covered |= sets[i] | own[i]
+    return chosen, len(sets) <= size
+
+
+def _select(candidates: DataFrame, below: DataFrame, order: list, pick, most: int, enough: float, static: bool, size: int | None = None) -> DataFrame:
+    """(namespace, term_id, rank) by rounds of ``size`` (ROUND_CANDIDATES) leading candidates a namespace.
+
+    Each round counts the leaves that are still open below each candidate over the
+    cluster, hands the leaders of each namespace with their open leaves to ``pick``, and
+    takes the leaves of those chosen away. Only the chosen, at most ``most`` a namespace,
+    and a flag a namespace are kept between rounds. ``order`` may use ``n_open`` and ``ic``;
+    it is fixed from the start if ``static``.
+    """
+    below, candidates = write_shared(below, "cover-leaves"), write_shared(candidates, "cover-candidates")
+    key, kinds, size = ["namespace", "term_id"], dict(candidates.dtypes), size or ROUND_CANDIDATES
+    if static:
+        n_all = below.groupBy(*key).agg(F.count("*").alias("n_all"))
+        candidates = write_shared(candidates.join(n_all, key, "left").fillna({"n_all": 0}), "cover-order")
+    chosen = seen = candidates.select(*key, F.lit(0).alias("rank")).where("false")
+    done, covered = seen.select("namespace"), below.select("namespace", "leaf").where("false")
+    while True:
+        left = candidates.join(done, "namespace", "left_anti").join(seen, key, "left_anti")
+        open_leaves = below.join(covered, ["namespace", "leaf"], "left_anti")
+        counted = open_leaves.groupBy(*key).agg(F.count("*").alias("n_open"))
+        place = F.row_number().over(Window.partitionBy("namespace").orderBy(*order, "term_id"))
+        lead = left.join(counted, key, "left").fillna({"n_open": 0}).withColumn("place", place).where(F.col("place") <= size + 1)
+        lead = lead.join(open_leaves.join(lead.select(*key), key, "left_semi").groupBy(*key).agg(F.collect_list("leaf").alias("below")), key, "left")
+        n_chosen, n_covered = (t.groupBy("namespace").agg(F.count("*").alias(n)) for t, n in ((chosen, "n_chosen"), (covered, "n_covered")))
+        lead = lead.join(n_chosen, "namespace", "left").join(n_covered, "namespace", "left").fillna({"n_chosen": 0, "n_covered": 0})
+
+        def run(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("place").reset_index(drop=True)
+            before = int(frame["n_chosen"][0])
+            need = enough * max(1, int(frame["n_leaves"].max())) - int(frame["n_covered"][0])
+            ids, ended = pick(frame, most - before, need, size)
+            tried = list(frame["term_id"][:size]) if static else ids
+            rank = {t: before + i + 1 for i, t in enumerate(ids)}
+            return pd.DataFrame({"namespace": [group[0]] * (len(tried) + 1), "term_id": pd.Series([*tried, None], dtype=object), "rank": pd.Series([*(rank.get(t) for t in tried), None], dtype=object), "ended": [ended] * (len(tried) + 1)})
+
+        found = write_shared(lead.groupBy("namespace").applyInPandas(run, f"namespace {kinds['namespace']}, term_id {kinds['term_id']}, rank int, ended boolean"), "cover-round")
+        now = found.where("rank is not null").select(*key, "rank")
+        gone = now.select(*key).join(below, key).select("namespace", "leaf").unionByName(now.join(candidates.where("is_leaf"), key).select("namespace", F.col("term_id").alias("leaf")))
+        chosen, seen = chosen.unionByName(now), seen.unionByName(found.where("term_id is not null").select(*key, "rank"))
+        done = done.unionByName(found.where("ended").select("namespace").distinct())
+        covered = write_shared(covered.unionByName(gone).distinct(), "covered")
+        if found.where("not ended").isEmpty():
+            return chosen
 
 
 def select_by_ic(nodes: DataFrame, edges: DataFrame, closure: DataFrame, depths: DataFrame, ic: DataFrame, *, min_depth: int = 2, max_depth: int = 6, min_descendants: int = 5, max_nodes: int = 500, coverage: float = 0.95, ic_min: float = 1.0, ic_max: float = 8.0, min_annotations: int = 0, counts: DataFrame | None = None) -> DataFrame:
-    """(namespace, term_id, rank) chosen in each namespace; one group holds an ontology's candidates, not its documents."""
+    """(namespace, term_id, rank) chosen in each namespace, each time the highest IC * log2(new leaves + 1), ties by id."""
     c = nodes.join(depths, "term_id").join(descendant_counts(nodes, closure), "term_id").join(ic, "term_id")
     c = c.where(F.col("depth").between(min_depth, max_depth) & (F.col("n_descendants") >= min_descendants) & F.col("ic").between(ic_min, ic_max))
     if min_annotations and counts is not None:
         c = c.join(counts, "term_id").where(F.col("n_genes") >= min_annotations)
-    pairs = _cover_pairs(nodes, edges, closure, c.select("namespace", "term_id", "depth", "ic"))
-    return _select(pairs, lambda frame: _lazy_cover(frame, max_nodes, coverage))
+    pairs = _cover_pairs(nodes, edges, closure, c.select("namespace", "term_id", "ic"))
+    return _select(*pairs, [F.desc(F.col("ic") * F.log2(F.col("n_open") + 1))], _best_gains, max_nodes, coverage, False)
 
 
 def select_static(nodes: DataFrame, edges: DataFrame, closure: DataFrame, depths: DataFrame, *, min_depth: int = 2, max_depth: int = 6, min_descendants: int = 10, max_nodes: int = 500, coverage: float = 0.95) -> DataFrame:
@@ -130,7 +176,8 @@ def select_static(nodes: DataFrame, edges: DataFrame, closure: DataFrame, depths
     any_fit = F.max(fits.cast("int")).over(Window.partitionBy("namespace"))
     c = all_terms.withColumn("fit", fits).withColumn("any", any_fit).where((F.col("any") == 0) | F.col("fit"))
     pairs = _cover_pairs(nodes, edges, closure, c.select("namespace", "term_id", "depth"))
-    return _select(pairs, lambda frame: _in_order(frame, max_nodes, coverage, (min_depth + max_depth) / 2))
+    worth = F.col("n_all") / (1 + 0.05 * F.abs(F.col("depth") - (min_depth + max_depth) / 2))
+    return _select(*pairs, [F.desc(worth)], _next_in_order, max_nodes, coverage, True)
 
 
 def compressed_terms(terms: DataFrame, selected: DataFrame) -> DataFrame:
