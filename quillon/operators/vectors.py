@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.shared import small_enough
+from ..plans.shared import small_enough, write_shared
 
 #: Queries of one block, the side that a task holds as a matrix.
 QUERY_BLOCK = 1024
-#: Query blocks that may be broadcast to all item partitions; beyond, blocks are shuffled.
+#: Query blocks that may be broadcast to all item partitions; beyond, blocks are shuffled, as many to a group.
 BROADCAST_BLOCKS = 64
+#: Items of one group of the shuffled layout.
+ITEM_GROUP = 1 << 15
 
 
 def _blocks(queries: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def _blocks(queries: DataFrame) -> DataFrame:
 
 def _topk(queries: DataFrame, items: DataFrame, k: int, measure: str) -> DataFrame:
     """(query_id, node_id, distance) of the k nearest; each (block, partition) pair passes on k rows a query."""
-    blocks = _blocks(queries)
+    blocks = write_shared(_blocks(queries), "query-blocks")
     spark = items.sparkSession
     rows = items.where("embedding is not null").select("node_id", "embedding")
     kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["node_id"]
@@ -61,16 +63,18 @@ def _topk(queries: DataFrame, items: DataFrame, k: int, measure: str) -> DataFra
 
         found = rows.mapInPandas(search, schema)
     else:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.withColumn("p", F.pmod(F.xxhash64("node_id"), F.lit(n)).cast("int"))
-        pairs = blocks.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        # Groups of about ITEM_GROUP items and BROADCAST_BLOCKS blocks, whatever both tables' sizes.
+        n = max(1, -(-rows.count() // ITEM_GROUP))
+        sets = -(-((blocks.agg(F.max("b")).first()[0] or 0) + 1) // BROADCAST_BLOCKS)
+        dealt = rows.withColumn("p", F.pmod(F.xxhash64("node_id"), F.lit(n)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+        pairs = blocks.withColumn("g", F.col("b") % sets).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
         def meet(key: tuple, x: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             vecs = np.array(x["embedding"].tolist(), np.float64)
             parts = [nearest(list(qid), np.frombuffer(v, np.float32).reshape(-1, d).astype(np.float64), x["node_id"].to_numpy(), vecs) for qid, v, d in zip(b["qid"], b["qvec"], b["dim"], strict=True)]
             return pd.concat(parts) if len(x) and parts else pd.DataFrame({"query_id": [], "node_id": [], "near": [], "distance": []})
 
-        found = dealt.groupBy("p").cogroup(pairs.groupBy("p")).applyInPandas(meet, schema)
+        found = dealt.groupBy("p", "g").cogroup(pairs.groupBy("p", "g")).applyInPandas(meet, schema)
     order = Window.partitionBy("query_id").orderBy("near", "node_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -62,9 +62,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.count() == 80
 
 
-@pytest.mark.parametrize("blocks", [64, 0])
+@pytest.mark.parametrize("blocks", [64, 1])
 def test_top_k_in_both_layouts(spark, monkeypatch, blocks):
     monkeypatch.setattr(vectors, "BROADCAST_BLOCKS", blocks)
+    monkeypatch.setattr(vectors, "ITEM_GROUP", 16)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
     rng = np.random.RandomState(4)
     x = rng.randint(-3, 4, (60, 4)).astype(float)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
