@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import write_shared
+from .shared import join_hot, write_shared
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the smallest node around it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = write_shared(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+    return join_hot(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(id, root) for every node of ``edges(a, b)``; root is the smallest id.
 
     Self loops and repeated edges are allowed, null ends are dropped. Each round
-    is written to the shared folder; hubs are split by AQE, as both joins are
-    plain shuffled joins and the minima are combined map-side.
+    is written to the shared folder. Minima are combined map-side; the edges of a hub,
+    which the root of a large component becomes, meet its minimum where they are.
     """
     now = write_shared(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None

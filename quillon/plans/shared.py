@@ -47,18 +47,20 @@ def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 #: Rows that one key may bring into a task of a shuffled join, and keys with more that may be broadcast.
-HOT_ROWS, HOT_KEYS = 4096, 1 << 18
+HOT_ROWS, HOT_KEYS = 1024, 1 << 18
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str = "n") -> DataFrame:
     """Inner join with ``right(on.., count, ..)``, whose keys are unique and counted in ``left``.
 
-    Keys of more than HOT_ROWS rows, of which there are at most rows / HOT_ROWS, are
-    broadcast after their number is checked, so their rows stay where they are; all
-    others are shuffled. ``left`` is read twice and should be a written table.
+    Keys of more than HOT_ROWS rows are broadcast, so their rows stay where they are;
+    all others are shuffled. Where more than HOT_KEYS keys are so hot, only hotter ones
+    count as such: keys of more than n rows are at most rows / n. Both tables are read
+    more than once and should be written ones.
     """
-    many = right.where(F.col(count) > HOT_ROWS)
-    if not small_enough(many, HOT_KEYS):
-        return left.join(right, on)
-    cold = left.join(F.broadcast(many.select(*on)), on, "left_anti").join(right.where(F.col(count) <= HOT_ROWS), on)
+    hot = HOT_ROWS
+    while not small_enough(right.where(F.col(count) > hot), HOT_KEYS):
+        hot *= 4
+    many = right.where(F.col(count) > hot)
+    cold = left.join(F.broadcast(many.select(*on)), on, "left_anti").join(right.where(F.col(count) <= hot), on)
     return left.join(F.broadcast(many), on).unionByName(cold)
