@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Rows in an Arrow batch sent to Python; with long texts, small batches bound memory.
 BATCH_ROWS = 256
+#: Bytes of such a batch; one row may have more.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that are hashed at once (a longer document is taken alone).
 SLICE_BYTES = 1 << 21
 
@@ -26,9 +28,10 @@ _powers = np.cumprod(np.full(1024, _STEP, np.uint64), dtype=np.uint64)
 
 
 def small_batches(spark) -> None:
-    """Arrow batches of at most BATCH_ROWS rows for this session's Python stages."""
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES for this session's Python stages."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def mix(h: np.ndarray) -> np.ndarray:

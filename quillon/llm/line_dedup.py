@@ -53,7 +53,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 def _matches(windows: DataFrame) -> DataFrame:
     """``windows(doc_id, row_hash, w, a, b)`` of which there are two or more, with ``at``, the first place."""
     firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "row_hash", "a")).alias("at"), F.count("*").alias("n")).where("n > 1")
-    return write_shared(join_hot(windows, firsts, ["w"]).select("doc_id", "row_hash", "a", "b", "at"), "matches")
+    return write_shared(join_hot(windows, write_shared(firsts, "firsts"), ["w"]).select("doc_id", "row_hash", "a", "b", "at"), "matches")
 
 
 def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -80,7 +80,7 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     places = lines.groupBy("h").agg(F.count("*").alias("places")).where("places > 1").join(marks, "h", "left_semi")
     held = lines.where("ahead is not null").groupBy("mark").agg(F.count("*").alias("n"))
     places = places.withColumnRenamed("h", "mark").join(held, "mark").select("mark", "n")
-    fore = join_hot(lines.where("ahead is not null"), places, ["mark"])
+    fore = join_hot(lines.where("ahead is not null"), write_shared(places, "places"), ["mark"])
     found = _matches(write_shared(fore.select(*own, F.col("ahead").alias("w"), F.col("line").alias("a"), F.col("last").alias("b")), "fore"))
     # Windows that begin at a match and reach on to each later line.
     starts = found.select(F.col("doc_id").alias("i"), F.col("row_hash").alias("r"), F.col("a").alias("first"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.shared import broadcast_if, write_shared
+from ..plans.shared import broadcast_if, join_hot, write_shared
 from ._text import mix, shingle_hashes, slices, small_batches, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -260,23 +260,24 @@ def jaccard_groups(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRE
     bands = reps.select("rid", F.explode(F.array(*cut)).alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("m > 1")
     buckets = write_shared(buckets.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "buckets")
-    members = bands.join(buckets, "bucket").join(reps.select("rid", "sig"), "rid")
+    members = join_hot(bands, buckets, ["bucket"], "m").join(reps.select("rid", "sig"), "rid")
     units = in_units(members.select("bucket", "rid", "sig", "m"), F.ceil(F.col("m") / CHUNK), "bucket")
     groups = connected_components(candidate_ties(units.drop("m"), threshold)).withColumnsRenamed({"id": "rid"})
-    near = groups.join(reps.select("rid", "doc_id", "row_hash", "copies", "n"), "rid")
-    wide = near.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") * 8 / CHUNK_BYTES)).cast("int").alias("n_chunks"))
-    near = write_shared(near.join(wide, "root").drop("n"), "candidates").withColumnsRenamed({"doc_id": "i", "row_hash": "r"})
+    near = write_shared(groups.join(reps.select("rid", "doc_id", "row_hash", "copies", F.col("n").alias("size")), "rid"), "groups")
+    wide = near.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") * 8 / CHUNK_BYTES)).cast("int").alias("n_chunks"), F.count("*").alias("n"))
+    near = write_shared(join_hot(near, write_shared(wide, "group-sizes"), ["root"]).drop("n", "size"), "candidates").withColumnsRenamed({"doc_id": "i", "row_hash": "r"})
     texts = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
     texts = texts.join(broadcast_if(near, BROADCAST_KEYS), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_hash") == F.col("r")))
     sets = _shingled(texts, k)
     found = write_shared(verified(in_units(sets, F.col("n_chunks"), "root").drop("n_chunks"), threshold), "links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"), F.sum("copies_linked").alias("more"))
     tied = connected_components(found.where("rid <> low").select(F.col("rid").alias("a"), F.col("low").alias("b")))
-    tied = tied.withColumnsRenamed({"id": "rid"}).join(reps.select("rid", "doc_id"), "rid")
-    least = tied.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("head"))
-    heads = tied.join(least, "root").select("rid", F.col("head.doc_id").alias("group_id"), F.col("head.rid").alias("head"))
-    whole = classes.join(links, "rid", "left").join(heads, "rid", "left").withColumnRenamed("rid", "rep")
-    out = rows.select("rid", "doc_id", "row_hash", "k1", "k2").join(whole, ["k1", "k2"], "left")
+    tied = write_shared(tied.withColumnsRenamed({"id": "rid"}).join(reps.select("rid", "doc_id"), "rid"), "tied")
+    least = write_shared(tied.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("head"), F.count("*").alias("n")), "heads")
+    heads = join_hot(tied, least, ["root"]).select("rid", F.col("head.doc_id").alias("group_id"), F.col("head.rid").alias("head"))
+    whole = write_shared(classes.join(links, "rid", "left").join(heads, "rid", "left").withColumnRenamed("rid", "rep"), "whole-classes")
+    own = rows.select("rid", "doc_id", "row_hash", "k1", "k2")
+    out = join_hot(own.where("k1 is not null"), whole, ["k1", "k2"], "copies").unionByName(own.where("k1 is null"), allowMissingColumns=True)
     found = F.col("rep").isNotNull()
     return out.select(
         "doc_id",
