@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import write_shared
 from .fusion import Preset, accept_fused, fuse_sources
 from .match import annotate_dictionary, uncovered_sentences
 from .vectors import topk_cosine
@@ -22,8 +23,9 @@ def annotate_ensemble(docs: DataFrame, terms: DataFrame, items: DataFrame, encod
     confidence)`` are located in the text. All hits are fused by document and term.
     """
     columns = ["doc_id", "term_id", "source", "score", "match_type", "span", "start", "end"]
-    literal = annotate_dictionary(docs, terms, alias=alias)
-    sentences = uncovered_sentences(docs, literal, most=most_covered).withColumn("query_id", F.xxhash64("sentence"))
+    # Read twice, as are the open sentences.
+    literal = write_shared(annotate_dictionary(docs, terms, alias=alias), "literal-hits")
+    sentences = write_shared(uncovered_sentences(docs, literal, most=most_covered).withColumn("query_id", F.xxhash64("sentence")), "open-sentences")
     near = topk_cosine(encoder(sentences.select("query_id", "sentence").dropDuplicates(["query_id"]), "query_id", "sentence"), items, 1)
     near = near.where(F.col("similarity") >= preset.vector_threshold).select("query_id", F.col("node_id").alias("term_id"), F.col("similarity").alias("score"))
     vector = sentences.join(near, "query_id").select("doc_id", "term_id", "score", F.lit("vector").alias("match_type"), F.col("sentence").alias("span"), "start", "end")

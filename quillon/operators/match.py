@@ -163,8 +163,9 @@ def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85,
     one of the phrase breaks one; all others stand in the phrase too. So one more of a
     name's pairs than can be broken hold one that the phrase has, whichever they are:
     phrases meet names through so many of each name's rarest pairs. Names with too few
-    pairs for this meet phrases by length. Only pairs of texts whose lengths and
-    characters allow the threshold are scored.
+    pairs for this meet phrases by length. Of those that meet, only texts that share all
+    but so many of the name's pairs, and whose lengths and characters allow the
+    threshold, are scored.
     """
     t = threshold
     n = names.select("name_lc", "term_id", "ord").withColumn("ln", F.length("name_lc")).where("ln > 0")
@@ -183,7 +184,10 @@ def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85,
     rarest = Window.partitionBy("name_lc").orderBy("often", "g")
     pieces = write_shared(pieces.withColumn("k", F.row_number().over(rarest)).where("k <= broken + 1").select("g", "name_lc"), "letter-pairs")
     met = p.where("lp > 1").select("phrase", "lp", F.explode(_pairs_of_letters(F.col("phrase"))).alias("g")).join(broadcast_if(pieces, BROADCAST_NAMES), "g")
-    by_piece = met.join(broadcast_if(n, BROADCAST_NAMES), "name_lc").where("lp between low and high").select("phrase", "name_lc", "term_id", "ord").distinct()
+    own = n.where("ln > 1").withColumn("own", _pairs_of_letters(F.col("name_lc")))
+    both = met.join(broadcast_if(own, BROADCAST_NAMES), "name_lc").where("lp between low and high")
+    shared = F.size(F.array_intersect("own", _pairs_of_letters(F.col("phrase"))))
+    by_piece = both.where(shared >= F.size("own") - F.floor(broken("lp") + 1e-9)).select("phrase", "name_lc", "term_id", "ord").distinct()
     short = n.join(broadcast_if(pieces.select("name_lc").distinct(), BROADCAST_NAMES), "name_lc", "left_anti").withColumn("lp", F.explode(F.when(F.col("low") <= F.col("high"), F.sequence("low", "high"))))
     by_length = p.join(broadcast_if(short, BROADCAST_NAMES), "lp").select("phrase", "name_lc", "term_id", "ord")
     pairs = by_piece.unionByName(by_length).where(ratio_bound(F.col("phrase"), F.col("name_lc")) >= t)
@@ -198,20 +202,31 @@ def ordered_names(terms: DataFrame) -> DataFrame:
     return rows.select(F.lower("name").alias("name_lc"), "term_id", (F.col("ord") * 1000 + F.col("pos")).alias("ord"))
 
 
-def match_fuzzy(docs: DataFrame, terms: DataFrame, *, max_ngram: int, stopwords: Sequence[str], threshold: float = 0.85) -> DataFrame:
-    """Windows of two or more words close to a name but equal to none.
+def _near_names(docs: DataFrame, terms: DataFrame, max_ngram: int, stopwords: Sequence[str], threshold: float) -> DataFrame:
+    """(name_lc, term_id, is_primary, closeness): phrases of two or more words of ``docs`` close to a name but equal to none.
 
     A window's trimmed phrase is a window without stopwords at its ends, so those are
-    scored, each distinct phrase once; the windows around them are found as for names.
+    scored, each distinct phrase once.
     """
     rows = token_rows(docs, max_ngram - 1).where(~F.lower("t").isin(*stopwords)).select(_words(F.concat("t", "ahead"), T.TOKEN_CHARS).alias("words")).where(F.size("words") > 1)
     rows = rows.withColumn("m", F.explode(F.sequence(F.lit(2), F.size("words")))).where(~F.element_at("words", F.col("m")).isin(*stopwords))
     exact = name_index(terms).select(F.col("name_lc").alias("phrase"))
     phrases = rows.select(F.array_join(F.slice("words", F.lit(1), F.col("m")), " ").alias("phrase")).join(broadcast_if(exact, BROADCAST_NAMES), "phrase", "left_anti")
     best = best_fuzzy(phrases, ordered_names(terms), threshold=threshold)
-    near = write_shared(best.select(F.col("phrase").alias("name_lc"), "term_id", F.lit(False).alias("is_primary"), F.round("score", 3).alias("score")), "near-names")
-    out = _with_spans(_windows_of_names(docs, near, max_ngram, stopwords), pad=False)
-    return out.withColumn("match_type", F.lit("fuzzy")).withColumn("rank", F.lit(1))
+    return write_shared(best.select(F.col("phrase").alias("name_lc"), "term_id", F.lit(False).alias("is_primary"), F.round("score", 3).alias("closeness")), "near-names")
+
+
+def match_fuzzy(docs: DataFrame, terms: DataFrame, *, max_ngram: int, stopwords: Sequence[str], threshold: float = 0.85) -> DataFrame:
+    """Windows of two or more words close to a name but equal to none; found around near phrases as around names."""
+    near = _near_names(docs, terms, max_ngram, stopwords, threshold)
+    return _graded(_with_spans(_windows_of_names(docs, near, max_ngram, stopwords), pad=False))
+
+
+def _graded(found: DataFrame) -> DataFrame:
+    """Windows of names and near names with match_type, score and rank; names have no ``closeness``."""
+    near = F.col("closeness").isNotNull()
+    out = _literal(found).withColumn("match_type", F.when(near, "fuzzy").otherwise(F.col("match_type")))
+    return out.withColumn("score", F.coalesce("closeness", "score")).withColumn("rank", near.cast("int")).drop("closeness")
 
 
 def id_hits(docs: DataFrame, alias: DataFrame) -> DataFrame:
@@ -230,10 +245,11 @@ def _first_by(hits: DataFrame, *key: str) -> DataFrame:
 
 def annotate_dictionary(docs: DataFrame, terms: DataFrame, *, alias: DataFrame | None = None, max_ngram: int = 8, fuzzy_threshold: float = 0.85, use_fuzzy: bool = True, stopwords: Sequence[str] = T.DICT_STOPWORDS) -> DataFrame:
     """Ids, names and near names of each document, overlaps resolved; one hit for each (start, end)."""
-    hits = match_exact(docs, name_index(terms), max_ngram=max_ngram, stopwords=stopwords, pad=False)
+    names = name_index(terms).drop("n_tokens").withColumn("closeness", F.lit(None).cast("double"))
     if use_fuzzy:
-        hits = hits.unionByName(match_fuzzy(docs, terms, max_ngram=max_ngram, stopwords=stopwords, threshold=fuzzy_threshold))
-    out = resolve_overlaps(hits)
+        names = names.unionByName(_near_names(docs, terms, max_ngram, stopwords, fuzzy_threshold))
+    # Near phrases are no names, so one pass over the documents finds both.
+    out = resolve_overlaps(_graded(_with_spans(_windows_of_names(docs, names, max_ngram, stopwords), pad=False)))
     if alias is not None:
         out = out.unionByName(id_hits(docs, alias))
     return _first_by(out, "doc_id", "start", "end")
