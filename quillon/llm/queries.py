@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, lm_scoring, mixing, ngram_join, token_files, topk_search, toxicity, url_filter
+from . import decontaminate, fill_middle, lexical_search, license_scan, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, token_files, topk_search, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "class_id", "copy_id", "n_copies", "n_links", "n_classes")
 
 
-_ALL = (op1_mix_sources, op2_token_files, op3_line_dedup, op4_license_scan, op5_lm_scoring, op6_url_filter, op7_decontaminate, op8_exact_top_k, op9_toxicity, op10_ngram_jaccard)
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.cascade(_table(spark, sf_dir, "documents")))
+
+
+_ALL = (op1_mix_sources, op2_token_files, op3_line_dedup, op4_license_scan, op5_lm_scoring, op6_url_filter, op7_decontaminate, op8_exact_top_k, op9_toxicity, op10_ngram_jaccard, op11_fill_middle, op12_lexical_search, op13_quality_rules)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_exact_top_k": topk_search.ORACLE}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_exact_top_k": topk_search.ORACLE, "op11_fill_middle": fill_middle.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_quality_rules": quality_rules.ORACLE}
