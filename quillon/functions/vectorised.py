@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
@@ -43,9 +47,79 @@ def free_spans(win_start: pd.Series, win_end: pd.Series, start: pd.Series, end:
     return pd.Series(out)
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """A lossless upper bound of ``sequence_ratio`` from lengths alone."""
-    return 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+def letters(texts: list[str], width: int) -> np.ndarray:
+    """Code points, a row for each text; shorter texts are filled up with 0."""
+    return np.array(texts, dtype=f"<U{max(width, 1)}").view(np.uint32).reshape(len(texts), -1)
+
+
+def common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each row of ``a`` and of ``b``, of which fill-ups differ."""
+    best = np.zeros((len(a), b.shape[1] + 1), np.int16 if b.shape[1] < 1 << 14 else np.int32)
+    for x in a.T:
+        # A cell is the best of those to its left, each without or with the letters' match.
+        best[:, 1:] = np.maximum.accumulate(np.maximum(best[:, 1:], best[:, :-1] + (b == x[:, None])), axis=1)
+    return best[:, -1]
+
+
+class PartIndex:
+    """Names by the parts of phrases that may be close to them; see match.best_fuzzy."""
+
+    def __init__(self, rows: pd.DataFrame, threshold: float):
+        self.names, number = np.unique(rows["name_lc"].to_numpy(str), return_inverse=True)
+        self.sizes = np.char.str_len(self.names)
+        self.letters = letters(self.names.tolist(), int(self.sizes.max(initial=1)))
+        self.letters[np.arange(self.letters.shape[1]) >= self.sizes[:, None]] = 0xFFFFFFFF
+        self.threshold = threshold
+        self.parts: dict[int, list] = {}
+        table = rows.assign(number=number, size=rows["part"].str.len())
+        for (lp, at, size), own in table.groupby(["lp", "at", "size"]):
+            key = self.hashes(letters(own["part"].tolist(), size)[:, :size])
+            order = np.argsort(key, kind="stable")
+            self.parts.setdefault(lp, []).append((at, size, key[order], own["number"].to_numpy()[order]))
+
+    @staticmethod
+    def hashes(part: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(part), np.uint64)
+        for x in part.T:
+            h = (h + x) * np.uint64(0x9E3779B97F4A7C15)
+        return h
+
+    def near(self, phrases: list[str], lp: int) -> tuple[list[str], list[str]]:
+        """The phrases (all of ``lp`` letters) and names that share a part and enough letters in order."""
+        a, found = letters(phrases, lp), []
+        for at, size, keys, numbers in self.parts.get(lp, ()):
+            h = self.hashes(a[:, at : at + size])
+            low = np.searchsorted(keys, h)
+            n = np.searchsorted(keys, h, side="right") - low
+            row = np.repeat(np.arange(len(a)), n)
+            found.append(row * len(self.names) + numbers[np.arange(len(row)) - np.repeat(np.cumsum(n) - n - low, n)])
+        row, name = np.divmod(np.unique(np.concatenate(found)), len(self.names)) if found else (np.zeros(0, int),) * 2
+        close, step = np.zeros(len(row), bool), max(1, (1 << 22) // self.letters.shape[1])
+        for i in range(0, len(row), step):
+            own = name[i : i + step]
+            close[i : i + step] = 2.0 * common_letters(a[row[i : i + step]], self.letters[own]) >= (self.threshold - 1e-9) * (lp + self.sizes[own])
+        return [phrases[i] for i in row[close]], self.names[name[close]].tolist()
+
+
+def near_pairs(phrases: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
+    """(phrase, name_lc) of ``phrases(phrase, lp)`` that may reach the ratio; ``index`` is broadcast and must be of a checked size."""
+    shared = phrases.sparkSession.sparkContext.broadcast(index.toPandas())
+    kept = [("phrase", pa.string()), ("name_lc", pa.string())]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, waiting, rows = PartIndex(shared.value, threshold), [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                waiting.append(batch)
+                rows += batch.num_rows
+            if waiting and (batch is None or rows >= 1 << 15):
+                table = pa.Table.from_batches(waiting)
+                waiting, rows = [], 0
+                for lp, own in table.to_pandas().groupby("lp")["phrase"]:
+                    a, b = known.near(own.tolist(), lp)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], schema=pa.schema(kept))
+
+    return phrases.select("phrase", "lp").mapInArrow(probe, "phrase string, name_lc string")
 
 
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectorised import free_spans, ratio_bound, sequence_ratio
-from ..plans.shared import broadcast_if, write_shared
+from ..functions.vectorised import free_spans, near_pairs, sequence_ratio
+from ..plans.shared import broadcast_if, small_enough, write_shared
 
 #: Dictionary names that may be broadcast; beyond, the joins are shuffled.
 BROADCAST_NAMES = 1 << 20
+#: Rows of a part index that is probed where the phrases are.
+PROBED_PARTS = 1 << 22
 
 
 def explode_names(terms: DataFrame) -> DataFrame:
@@ -155,43 +158,73 @@ def _pairs_of_letters(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2))))
 
 
+def _unmatched(total: Column, t: float) -> Column:
+    """The most letters of two texts of ``total`` letters that may be left unmatched at a ratio of at least ``t``."""
+    return total - 2 * F.ceil(t * total / 2 - 1e-9).cast("int")
+
+
+def _parts(length: Column, most: int, t: float, band: int | None) -> Column:
+    """Into how many parts a phrase is cut: one more than letters may be unmatched with any name of up to ``most`` letters."""
+    ends = [F.floor(length * (2 - t) / t + 1e-9).cast("int"), F.lit(most)] + ([] if band is None else [length + band])
+    total = length + F.least(*ends)
+    return F.greatest(_unmatched(total, t), _unmatched(total - 1, t), F.lit(0)) + 1
+
+
+def name_parts(names: DataFrame, *, threshold: float, band: int | None, most: int) -> DataFrame:
+    """(lp, i, at, part, name_lc): what the i-th part of a phrase of ``lp`` letters, ``at`` its start, may be if it is close to the name.
+
+    See best_fuzzy. ``most`` is the length of the longest name.
+    """
+    t, ln, lp, i, e = threshold, F.col("ln"), F.col("lp"), F.col("i"), F.col("e")
+    low, high = F.ceil(ln * t / (2 - t) - 1e-9).cast("int"), F.floor(ln * (2 - t) / t + 1e-9).cast("int")
+    if band is not None:
+        low, high = F.greatest(low, ln - band), F.least(high, ln + band)
+    n = names.withColumn("ln", F.length("name_lc")).withColumn("lp", F.explode(F.sequence(low, F.greatest(low, high))))
+    n = n.withColumn("spare", _unmatched(ln + lp, t)).withColumn("k", _parts(lp, most, t, band)).where("spare >= abs(ln - lp)")
+    n = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.least("spare", F.col("k") - 1))))
+    n = n.withColumn("e", F.explode(F.sequence(-i, i, F.when(i > 0, 2).otherwise(1)))).where(F.abs(ln - lp - e) <= F.col("spare") - i)
+    n = n.withColumn("from", F.expr("i * lp div k")).withColumn("size", F.expr("(i + 1) * lp div k - i * lp div k"))
+    n = n.where((F.col("from") + e >= 0) & (F.col("from") + e + F.col("size") <= ln))
+    return n.select("lp", "i", F.substring("name_lc", F.col("from") + e + 1, F.col("size")).alias("part"), "name_lc", F.col("from").alias("at")).distinct()
+
+
 def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85, band: int | None = 10) -> DataFrame:
     """(phrase, term_id, score, name_lc): the first best name of each distinct phrase, by sequence ratio.
 
-    A ratio of the threshold t matches at least t * (la + lb) / 2 letters of both texts.
-    Of a name's pairs of letters an unmatched letter of its own breaks two at most, and
-    one of the phrase breaks one; all others stand in the phrase too. So one more of a
-    name's pairs than can be broken hold one that the phrase has, whichever they are:
-    phrases meet names through so many of each name's rarest pairs. Names with too few
-    pairs for this meet phrases by length. Of those that meet, only texts that share all
-    but so many of the name's pairs, and whose lengths and characters allow the
-    threshold, are scored.
+    A ratio of the threshold aligns two texts so that of their la + lb letters at most
+    so many, say u, are left unmatched, each of them in one text only. A phrase is cut
+    into more parts than that for any name that it may be close to. Give every unmatched
+    letter to the part it stands in or before. Then for some i the parts up to part i
+    hold i of them, and part i none: it stands unchanged in the name, moved by a sum of i
+    steps to either side, and the rest of both texts makes up for the rest of u. So a
+    name is entered for each length of phrase, part and such move, and a phrase meets
+    names by equal parts, which loses none. An index of at most PROBED_PARTS rows is
+    broadcast and probed by whole batches, and of the pairs that meet those go on whose
+    longest common subsequence allows the threshold; a larger one is joined by shuffle,
+    and those go on that share enough pairs of letters.
+
+    Phrases are cut as they come; only what is scored is made distinct.
     """
     t = threshold
-    n = names.select("name_lc", "term_id", "ord").withColumn("ln", F.length("name_lc")).where("ln > 0")
-    low, high = F.ceil(F.col("ln") * t / (2 - t) - 1e-9), F.floor(F.col("ln") * (2 - t) / t + 1e-9)
+    n = write_shared(names.where("name_lc <> ''").groupBy("name_lc").agg(F.min_by("term_id", "ord").alias("term_id"), F.min("ord").alias("ord")), "fuzzy-names")
+    shortest, most = n.agg(F.min(F.length("name_lc")), F.max(F.length("name_lc"))).first()
+    index = write_shared(name_parts(n.select("name_lc"), threshold=t, band=band, most=most or 1), "name-parts")
+    ends = (math.ceil((shortest or 1) * t / (2 - t) - 1e-9), math.floor((most or 0) * (2 - t) / t + 1e-9))
     if band is not None:
-        low, high = F.greatest(low, F.col("ln") - band), F.least(high, F.col("ln") + band)
-    n = n.withColumn("low", low.cast("int")).withColumn("high", high.cast("int"))
-    # Pairs of letters that may be broken: linear in the phrase's length, so most at one end of its range.
-    broken = lambda lp: F.col("ln") * (2 - 1.5 * t) + F.col(lp) * (1 - 1.5 * t)
-    n = n.withColumn("broken", F.floor(F.greatest(broken("low"), broken("high")) + 1e-9))
-    reach = n.agg(F.min("low"), F.max("high")).first()
-    # Read twice below, so the windows of all documents are made and made distinct once.
-    p = write_shared(phrases.select("phrase").withColumn("lp", F.length("phrase")).where(F.col("lp").between(reach[0] or 0, reach[1] or 0)).distinct(), "phrases")
-    pieces = n.where("ln > 1").select("name_lc", "broken", F.explode(_pairs_of_letters(F.col("name_lc"))).alias("g")).distinct()
-    pieces = pieces.withColumn("often", F.count("*").over(Window.partitionBy("g"))).withColumn("pieces", F.count("*").over(Window.partitionBy("name_lc"))).where("pieces > broken")
-    rarest = Window.partitionBy("name_lc").orderBy("often", "g")
-    pieces = write_shared(pieces.withColumn("k", F.row_number().over(rarest)).where("k <= broken + 1").select("g", "name_lc"), "letter-pairs")
-    met = p.where("lp > 1").select("phrase", "lp", F.explode(_pairs_of_letters(F.col("phrase"))).alias("g")).join(broadcast_if(pieces, BROADCAST_NAMES), "g")
-    own = n.where("ln > 1").withColumn("own", _pairs_of_letters(F.col("name_lc")))
-    both = met.join(broadcast_if(own, BROADCAST_NAMES), "name_lc").where("lp between low and high")
-    shared = F.size(F.array_intersect("own", _pairs_of_letters(F.col("phrase"))))
-    by_piece = both.where(shared >= F.size("own") - F.floor(broken("lp") + 1e-9)).select("phrase", "name_lc", "term_id", "ord").distinct()
-    short = n.join(broadcast_if(pieces.select("name_lc").distinct(), BROADCAST_NAMES), "name_lc", "left_anti").withColumn("lp", F.explode(F.when(F.col("low") <= F.col("high"), F.sequence("low", "high"))))
-    by_length = p.join(broadcast_if(short, BROADCAST_NAMES), "lp").select("phrase", "name_lc", "term_id", "ord")
-    pairs = by_piece.unionByName(by_length).where(ratio_bound(F.col("phrase"), F.col("name_lc")) >= t)
-    scored = pairs.withColumn("score", sequence_ratio("phrase", "name_lc", F.lit(t))).where(F.col("score") >= t)
+        ends = (max(ends[0], (shortest or 1) - band), min(ends[1], (most or 0) + band))
+    p = phrases.select("phrase").withColumn("lp", F.length("phrase")).where(F.col("lp").between(*ends))
+    if small_enough(index, PROBED_PARTS):
+        pairs = near_pairs(p, index, t).distinct()
+    else:
+        k, lp, ln = _parts(F.col("lp"), most or 1, t, band), F.col("lp"), F.length("name_lc")
+        cut = lambda i: F.floor(i * F.col("lp") / F.col("k")).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.substring(F.col("phrase"), cut(i) + 1, cut(i + 1) - cut(i)))
+        met = p.withColumn("k", k).select("phrase", "lp", F.posexplode(parts).alias("i", "part")).join(index.drop("at"), ["lp", "i", "part"])
+        # Of a name's pairs of letters an unmatched letter of its own breaks two at most, one of the phrase breaks one.
+        own, broken = _pairs_of_letters(F.col("name_lc")), ln * (2 - 1.5 * t) + lp * (1 - 1.5 * t)
+        alike = (lp < 2) | (ln < 2) | (F.size(F.array_intersect(own, _pairs_of_letters(F.col("phrase")))) >= F.size(own) - F.floor(broken + 1e-9))
+        pairs = met.where(alike).select("phrase", "name_lc").distinct()
+    scored = pairs.withColumn("score", sequence_ratio("phrase", "name_lc", F.lit(t))).where(F.col("score") >= t).join(broadcast_if(n, BROADCAST_NAMES), "name_lc")
     best = scored.groupBy("phrase").agg(F.max_by(F.struct("term_id", "score", "name_lc"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("phrase", F.col("b.term_id").alias("term_id"), F.col("b.score").alias("score"), F.col("b.name_lc").alias("name_lc"))
 
@@ -210,9 +243,9 @@ def _near_names(docs: DataFrame, terms: DataFrame, max_ngram: int, stopwords: Se
     """
     rows = token_rows(docs, max_ngram - 1).where(~F.lower("t").isin(*stopwords)).select(_words(F.concat("t", "ahead"), T.TOKEN_CHARS).alias("words")).where(F.size("words") > 1)
     rows = rows.withColumn("m", F.explode(F.sequence(F.lit(2), F.size("words")))).where(~F.element_at("words", F.col("m")).isin(*stopwords))
+    phrases = rows.select(F.array_join(F.slice("words", F.lit(1), F.col("m")), " ").alias("phrase"))
     exact = name_index(terms).select(F.col("name_lc").alias("phrase"))
-    phrases = rows.select(F.array_join(F.slice("words", F.lit(1), F.col("m")), " ").alias("phrase")).join(broadcast_if(exact, BROADCAST_NAMES), "phrase", "left_anti")
-    best = best_fuzzy(phrases, ordered_names(terms), threshold=threshold)
+    best = best_fuzzy(phrases, ordered_names(terms), threshold=threshold).join(broadcast_if(exact, BROADCAST_NAMES), "phrase", "left_anti")
     return write_shared(best.select(F.col("phrase").alias("name_lc"), "term_id", F.lit(False).alias("is_primary"), F.round("score", 3).alias("closeness")), "near-names")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,18 +32,33 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Bytes of values that a broadcast side may hold; in memory it takes a small multiple of them.
+BROADCAST_BYTES = 1 << 27
 
 
-def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only for a side whose size has been checked.
+def value_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row's values."""
+    sizes = []
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        nested = kind in ("array", "map", "struct", "variant")
+        sizes.append(F.octet_length(F.to_json(F.struct(c))) if nested else F.octet_length(c) if kind in ("string", "binary") else F.lit(8))
+    return sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(0))
+
+
+def small_enough(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and about ``max_bytes`` of values; reads no more rows than that."""
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(value_bytes(df))).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
+
+
+def broadcast_if(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only for a side whose rows and bytes have been checked.
 
     Larger sides are returned as they are and take the shuffled join, with the
     same result.
     """
-    return F.broadcast(df) if small_enough(df, max_rows) else df
+    return F.broadcast(df) if small_enough(df, max_rows, max_bytes) else df
 
 
 #: Rows that one key may bring into a task of a shuffled join, and keys with more that may be broadcast.

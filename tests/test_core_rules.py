@@ -13,7 +13,10 @@ from quillon.operators import ensemble, fusion, graph, match, merge, ontology, v
 HIT = "doc_id long, term_id string, source string, score double, match_type string, span string, start int, end int"
 
 
-def test_fuzzy_names_equal_all_pairs(spark):
+@pytest.mark.parametrize("probed", [1 << 22, 0])
+def test_fuzzy_names_equal_all_pairs(spark, monkeypatch, probed):
+    """Both by probing a broadcast index and by joining it."""
+    monkeypatch.setattr(match, "PROBED_PARTS", probed)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeinst") for _ in range(rng.randint(1, 7)))
     names = [" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(60)]
@@ -35,6 +38,8 @@ def test_fuzzy_names_equal_all_pairs(spark):
             if scored and -min(scored)[0] >= least:
                 want[x] = min(scored)[1]
         assert got == want
+        few = match.name_parts(table.select("name_lc"), threshold=least, band=band, most=max(map(len, names)))
+        assert few.where("length(part) = 0").count() == 0 or least < 0.85
 
 
 def test_windows_carry_their_places(spark):
