@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import chain
@@ -11,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, StructField, StructType
 
 
 @F.pandas_udf(DoubleType())
@@ -122,21 +123,37 @@ def near_pairs(phrases: DataFrame, index: DataFrame, threshold: float) -> DataFr
     return phrases.select("phrase", "lp").mapInArrow(probe, "phrase string, name_lc string")
 
 
+#: Tokens whose slot a task remembers.
+KNOWN_TOKENS = 1 << 18
+
+
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
-    """(key, embedding): signed hashing of a text's tokens, L2-normalised; zeros without tokens.
+    """(key, embedding): signed hashing of a text's tokens, L2-normalised; zeros without tokens. One row for each row.
 
     A token's number is the first 32 bits of its MD5; its slot is that modulo
-    ``dim``, its sign the number's second-lowest bit.
+    ``dim``, its sign the number's second-lowest bit. A batch is added up as one array.
     """
-    tokens = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n", " "), " "), lambda t: t != "")
-    number = F.conv(F.substring(F.md5(F.col("t")), 1, 8), 16, 10).cast("long")
-    hits = rows.select(key, F.explode(tokens).alias("t")).select(key, (number % dim).cast("int").alias("slot"), (1 - 2 * (F.shiftright(number, 1) % 2)).alias("sign"))
-    slots = hits.groupBy(key, "slot").agg(F.sum("sign").alias("v"))
-    # At most dim entries; the norm is a column, so it is not summed again for each entry.
-    packed = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    length = F.when(F.coalesce("norm", F.lit(0.0)) == 0, 1.0).otherwise(F.col("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: (F.coalesce(F.try_element_at("m", s), F.lit(0)) / F.col("length")).cast("float"))
-    return rows.select(key).join(packed, key, "left").withColumn("length", length).select(key, dense.alias("embedding"))
+    plain = F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n", " ")
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            tokens = [[t for t in x.split(" ") if t] for x in batch["text"].to_pylist()]
+            for t in {t for own in tokens for t in own} - known.keys():
+                number = int.from_bytes(hashlib.md5(t.encode()).digest()[:4])
+                known[t] = number % dim, 1 - 2 * (number >> 1 & 1)
+            row = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            hits = np.array([known[t] for own in tokens for t in own], np.int64).reshape(-1, 2)
+            v = np.bincount(row * dim + hits[:, 0], hits[:, 1], len(tokens) * dim).reshape(-1, dim)
+            norm = np.sqrt((v * v).sum(1))
+            flat = (v / np.where(norm == 0, 1.0, norm)[:, None]).astype(np.float32).reshape(-1)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch["key"], vectors], [key, "embedding"])
+            if len(known) > KNOWN_TOKENS:
+                known.clear()
+
+    schema = StructType([rows.select(key).schema[0], StructField("embedding", ArrayType(FloatType()))])
+    return rows.select(F.col(key).alias("key"), plain.alias("text")).mapInArrow(embed, schema)
 
 
 def l2_normalize(vector: Column) -> Column:

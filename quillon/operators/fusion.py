@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,25 +37,36 @@ def best_per_term(hits: DataFrame) -> DataFrame:
     return hits.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
+SOURCES = ("dict", "vector", "llm")
+
+
+def _weighted(scores: list[Column], weights: list[Column], bonus: Column) -> tuple[Column, Column]:
+    """(sources that are there, their weighted mean with a bonus for each further one)."""
+    parts = list(zip(scores, weights, strict=True))
+    total = sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0))
+    mean = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in parts), F.lit(0.0)) / F.greatest(total, F.lit(1e-8))
+    n = sum((c.isNotNull().cast("int") for c in scores), F.lit(0))
+    return n, F.least(F.lit(1.0), mean + F.greatest(n - 1, F.lit(0)) * bonus)
+
+
+def _order() -> tuple[Column, ...]:
+    """Hits count in the order of their sources, then of their places, the better score first."""
+    return F.when(F.col("source") == "dict", 0).when(F.col("source") == "vector", 1).otherwise(2), F.when(F.col("start") >= 0, F.col("start")), -F.col("score")
+
+
 def fuse_sources(hits: DataFrame, preset: Preset) -> DataFrame:
     """Scores by source and their weighted mean with a bonus for each further source.
 
-    ``hits(doc_id, term_id, source, score, match_type, span, start, end)``. Hits count in
-    the order of their sources (dict, vector, llm), then of their places, the better
-    score first: the span is the first that has a place, the match type exact if any
-    is, else that of the first hit.
+    ``hits(doc_id, term_id, source, score, match_type, span, start, end)``. The span is
+    the first that has a place, the match type exact if any is, else that of the first
+    hit, in the order of _order.
     """
     by = lambda s: F.max(F.when(F.col("source") == s, F.col("score"))).alias(s)
-    first = F.when(F.col("source") == "dict", 0).when(F.col("source") == "vector", 1).otherwise(2), F.when(F.col("start") >= 0, F.col("start")), -F.col("score")
-    place = F.min_by(F.struct("span", "start", "end"), F.struct(F.when(F.col("start") >= 0, 0).otherwise(1), *first))
-    kind = F.min_by("match_type", F.struct(F.when(F.col("match_type") == "exact", 0).otherwise(1), *first, F.col("match_type")))
-    g = hits.groupBy("doc_id", "term_id").agg(by("dict"), by("vector"), by("llm"), place.alias("p"), kind.alias("match_type"))
-    parts = [(F.col(s), w) for s, w in (("dict", preset.weight_dict), ("vector", preset.weight_vector), ("llm", preset.weight_llm))]
-    total = sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts), F.lit(0.0))
-    mean = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in parts), F.lit(0.0)) / F.greatest(total, F.lit(1e-8))
-    n = sum((c.isNotNull().cast("int") for c, _ in parts), F.lit(0))
-    fused = F.least(F.lit(1.0), mean + F.greatest(n - 1, F.lit(0)) * preset.consensus_bonus)
-    return g.withColumn("n_sources", n).withColumn("fused", fused).select("doc_id", "term_id", "p.*", "match_type", "dict", "vector", "llm", "n_sources", "fused")
+    place = F.min_by(F.struct("span", "start", "end"), F.struct(F.when(F.col("start") >= 0, 0).otherwise(1), *_order()))
+    kind = F.min_by("match_type", F.struct(F.when(F.col("match_type") == "exact", 0).otherwise(1), *_order(), F.col("match_type")))
+    g = hits.groupBy("doc_id", "term_id").agg(*map(by, SOURCES), place.alias("p"), kind.alias("match_type"))
+    n, fused = _weighted([F.col(s) for s in SOURCES], [F.lit(w) for w in (preset.weight_dict, preset.weight_vector, preset.weight_llm)], F.lit(preset.consensus_bonus))
+    return g.withColumn("n_sources", n).withColumn("fused", fused).select("doc_id", "term_id", "p.*", "match_type", *SOURCES, "n_sources", "fused")
 
 
 def accept_fused(fused: DataFrame, preset: Preset) -> DataFrame:
@@ -84,10 +95,24 @@ def retrieve_candidates(dict_hits: DataFrame, vector_hits: DataFrame, *, k: int
 
 
 def preset_sweep(hits: DataFrame, presets: dict[str, Preset] = PRESETS) -> DataFrame:
-    """(preset, doc_id, term_id) accepted under each preset."""
-    out = None
-    for name, p in presets.items():
-        near = hits.where(F.when(F.col("source") == "vector", F.col("score") >= p.vector_threshold).when(F.col("source") == "llm", F.col("score") >= p.llm_threshold).otherwise(True))
-        part = accept_fused(fuse_sources(near, p), p).select(F.lit(name).alias("preset"), "doc_id", "term_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(preset, doc_id, term_id) accepted under each preset.
+
+    Hits are grouped once, without a preset: a source's best score passes a preset's
+    threshold if any of its scores does, so the presets, one row each, meet the groups
+    and not the hits. Of match types only those beside a dictionary hit decide, so the
+    first of these is kept, and the best score of an exact hit of each source.
+    """
+    best = lambda s, name, cond=F.lit(True): F.max(F.when((F.col("source") == s) & cond, F.col("score"))).alias(name)
+    literal = F.struct(*_order(), F.col("match_type"))
+    g = hits.groupBy("doc_id", "term_id").agg(
+        *[best(s, s) for s in SOURCES], *[best(s, f"exact_{s}", F.col("match_type") == "exact") for s in SOURCES],
+        F.min_by("match_type", F.when(F.col("source") == "dict", literal)).alias("kind"),
+    )
+    table = F.array(*[F.struct(F.lit(name).alias("preset"), *[F.lit(v).alias(k) for k, v in asdict(p).items()]) for name, p in presets.items()])
+    g = g.withColumn("p", F.explode(table)).select("*", "p.*")
+    passed = lambda c, s: F.when(F.col(c) >= F.col(f"{s}_threshold"), F.col(c)) if s != "dict" else F.col(c)
+    n, fused = _weighted([passed(s, s) for s in SOURCES], [F.col(f"weight_{s}") for s in SOURCES], F.col("consensus_bonus"))
+    exact = F.coalesce(*[passed(f"exact_{s}", s) for s in SOURCES]).isNotNull()
+    strong = (exact | F.col("kind").isin("synonym", "go_id")) & (F.col("dict") >= 0.95)
+    enough = (n > 0) & (fused >= F.col("final_threshold")) & (n >= F.col("min_consensus"))
+    return g.where(F.coalesce(strong, F.lit(False)) | enough).select("preset", "doc_id", "term_id")

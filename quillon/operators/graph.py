@@ -12,22 +12,32 @@ def _limited(edges: DataFrame, by: str, n: int) -> DataFrame:
     return edges.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")
 
 
+def _first_edges(edges: DataFrame, seeds: DataFrame, side: str, n: int) -> DataFrame:
+    """(query_id, edge): each seed's first n distinct edges by its ``side``.
+
+    An edge among a query's first n is among the first n of its seed, as all are in one
+    total order, so a node's edges are cut before they meet the queries: a hub brings
+    each of its queries n edges, and the cut begins where the edges are read.
+    """
+    nodes = seeds.select(F.col("term_id").alias(side)).distinct()
+    near = edges.join(nodes, side, "left_semi").distinct()
+    return _limited(near, side, n).join(seeds.withColumnRenamed("term_id", side), side).select("query_id", *edges.columns)
+
+
 def graph_neighbourhood(seeds: DataFrame, edges: DataFrame, *, term_limit: int = 80, gene_limit: int = 30, paper_limit: int = 20, trait_limit: int = 20) -> DataFrame:
     """Edges around each query's terms: ``seeds(query_id, term_id)``."""
-    s = seeds.distinct()
-    col = [*edges.columns]
-    by_src = edges.join(s.withColumnRenamed("term_id", "src"), "src").select("query_id", *col)
-    by_dst = edges.join(s.withColumnRenamed("term_id", "dst"), "dst").select("query_id", *col)
-    terms = by_src.unionByName(by_dst).where("src_type = 'GO_Term' and dst_type = 'GO_Term'").distinct()
+    s = seeds.select("query_id", "term_id").where("term_id is not null").distinct()
+    terms = edges.where("src_type = 'GO_Term' and dst_type = 'GO_Term'")
     parts = [
-        _limited(terms, "query_id", term_limit),
-        _limited(by_dst.where("src_type = 'Gene'").distinct(), "query_id", gene_limit),
-        _limited(by_src.where("dst_type = 'PMID'").distinct(), "query_id", paper_limit),
-        _limited(by_dst.where("src_type = 'RTO_Term'").distinct(), "query_id", trait_limit),
+        (_first_edges(terms, s, "src", term_limit).unionByName(_first_edges(terms, s, "dst", term_limit)), term_limit),
+        (_first_edges(edges.where("src_type = 'Gene'"), s, "dst", gene_limit), gene_limit),
+        (_first_edges(edges.where("dst_type = 'PMID'"), s, "src", paper_limit), paper_limit),
+        (_first_edges(edges.where("src_type = 'RTO_Term'"), s, "dst", trait_limit), trait_limit),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for found, n in parts:
+        cut = _limited(found.distinct(), "query_id", n)
+        out = cut if out is None else out.unionByName(cut)
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectorised import free_spans, near_pairs, sequence_ratio
-from ..plans.shared import broadcast_if, small_enough, write_shared
+from ..plans.shared import BROADCAST_BYTES, broadcast_if, small_enough, write_shared
 
 #: Dictionary names that may be broadcast; beyond, the joins are shuffled.
 BROADCAST_NAMES = 1 << 20
@@ -18,6 +18,11 @@ BROADCAST_NAMES = 1 << 20
 PROBED_PARTS = 1 << 22
 
 
+def _held(names: DataFrame) -> DataFrame:
+    """Names for a join, broadcast if they are few and small."""
+    return broadcast_if(names, BROADCAST_NAMES, BROADCAST_BYTES)
+
+
 def explode_names(terms: DataFrame) -> DataFrame:
     """(term_id, term_name, name, pos, ord): the name, then the synonyms."""
     return terms.select("term_id", F.col("name").alias("term_name"), F.posexplode(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("pos", "name"), "ord")
@@ -104,11 +109,11 @@ def _windows_of_names(docs: DataFrame, names: DataFrame, max_n: int, stopwords:
     """
     rows = token_rows(docs, max_n - 1).withColumn("head", F.lower("t"))
     heads = names.select(F.substring_index("name_lc", " ", 1).alias("head")).distinct()
-    rows = rows.where(~F.col("head").isin(*stopwords)).join(broadcast_if(heads, BROADCAST_NAMES), "head", "left_semi")
+    rows = rows.where(~F.col("head").isin(*stopwords)).join(_held(heads), "head", "left_semi")
     rows = rows.withColumn("near", F.concat("t", "ahead")).withColumn("words", _words(F.col("near"), T.TOKEN_CHARS))
     rows = rows.withColumn("m", F.explode(F.sequence(F.lit(1), F.size("words"))))
     rows = rows.withColumn("name_lc", F.array_join(F.slice("words", F.lit(1), F.col("m")), " "))
-    hit = rows.join(broadcast_if(names, BROADCAST_NAMES), "name_lc").where(~F.element_at("words", F.col("m")).isin(*stopwords))
+    hit = rows.join(_held(names), "name_lc").where(~F.element_at("words", F.col("m")).isin(*stopwords))
     hit = hit.withColumn("back", F.transform(_words(F.col("behind"), T.TOKEN_CHARS), lambda x: F.reverse(x)))
     run = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & x.isin(*stopwords), 1).otherwise(0)).alias("n"), (a["on"] & x.isin(*stopwords)).alias("on")))["n"]
     hit = hit.withColumn("left", run(F.col("back"))).withColumn("right", run(F.slice("words", F.col("m") + 1, F.greatest(F.size("words") - F.col("m"), F.lit(0)))))
@@ -213,7 +218,7 @@ def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85,
     if band is not None:
         ends = (max(ends[0], (shortest or 1) - band), min(ends[1], (most or 0) + band))
     p = phrases.select("phrase").withColumn("lp", F.length("phrase")).where(F.col("lp").between(*ends))
-    if small_enough(index, PROBED_PARTS):
+    if small_enough(index, PROBED_PARTS, BROADCAST_BYTES):
         pairs = near_pairs(p, index, t).distinct()
     else:
         k, lp, ln = _parts(F.col("lp"), most or 1, t, band), F.col("lp"), F.length("name_lc")
@@ -224,7 +229,7 @@ def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85,
         own, broken = _pairs_of_letters(F.col("name_lc")), ln * (2 - 1.5 * t) + lp * (1 - 1.5 * t)
         alike = (lp < 2) | (ln < 2) | (F.size(F.array_intersect(own, _pairs_of_letters(F.col("phrase")))) >= F.size(own) - F.floor(broken + 1e-9))
         pairs = met.where(alike).select("phrase", "name_lc").distinct()
-    scored = pairs.withColumn("score", sequence_ratio("phrase", "name_lc", F.lit(t))).where(F.col("score") >= t).join(broadcast_if(n, BROADCAST_NAMES), "name_lc")
+    scored = pairs.withColumn("score", sequence_ratio("phrase", "name_lc", F.lit(t))).where(F.col("score") >= t).join(_held(n), "name_lc")
     best = scored.groupBy("phrase").agg(F.max_by(F.struct("term_id", "score", "name_lc"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("phrase", F.col("b.term_id").alias("term_id"), F.col("b.score").alias("score"), F.col("b.name_lc").alias("name_lc"))
 
@@ -245,7 +250,7 @@ def _near_names(docs: DataFrame, terms: DataFrame, max_ngram: int, stopwords: Se
     rows = rows.withColumn("m", F.explode(F.sequence(F.lit(2), F.size("words")))).where(~F.element_at("words", F.col("m")).isin(*stopwords))
     phrases = rows.select(F.array_join(F.slice("words", F.lit(1), F.col("m")), " ").alias("phrase"))
     exact = name_index(terms).select(F.col("name_lc").alias("phrase"))
-    best = best_fuzzy(phrases, ordered_names(terms), threshold=threshold).join(broadcast_if(exact, BROADCAST_NAMES), "phrase", "left_anti")
+    best = best_fuzzy(phrases, ordered_names(terms), threshold=threshold).join(_held(exact), "phrase", "left_anti")
     return write_shared(best.select(F.col("phrase").alias("name_lc"), "term_id", F.lit(False).alias("is_primary"), F.round("score", 3).alias("closeness")), "near-names")
 
 
@@ -265,7 +270,7 @@ def _graded(found: DataFrame) -> DataFrame:
 def id_hits(docs: DataFrame, alias: DataFrame) -> DataFrame:
     """(doc_id, start, end, term_id, span, match_type, score) of ids written out in the text."""
     rows = docs.select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"({T.TERM_ID})"), F.lit(1))).alias("k", "span"))
-    rows = rows.withColumn("any_id", F.upper("span")).join(broadcast_if(alias, BROADCAST_NAMES), "any_id")
+    rows = rows.withColumn("any_id", F.upper("span")).join(_held(alias), "any_id")
     start = T.token_start(F.col("text"), F.col("k"), T.TERM_ID)
     return rows.select("doc_id", start.alias("start"), (start + F.length("span")).alias("end"), "term_id", "span", F.lit("go_id").alias("match_type"), F.lit(1.0).alias("score"))
 
@@ -315,9 +320,9 @@ def normalize_terms(mentions: DataFrame, terms: DataFrame, *, alias: DataFrame,
     """(mention, term_id, how): by exact name, else by a leading id, else by the closest name."""
     m = mentions.select("mention").distinct().withColumn("phrase", F.lower(F.trim("mention")))
     names = name_index(terms).select(F.col("name_lc").alias("phrase"), F.col("term_id").alias("by_name"))
-    m = m.join(broadcast_if(names, BROADCAST_NAMES), "phrase", "left")
+    m = m.join(_held(names), "phrase", "left")
     ids = alias.select(F.col("any_id").alias("lead"), F.col("term_id").alias("by_id"))
-    m = m.withColumn("lead", F.upper(F.regexp_extract(F.trim("mention"), r"(?iU)^GO:\d{7}\b", 0))).join(broadcast_if(ids, BROADCAST_NAMES), "lead", "left")
+    m = m.withColumn("lead", F.upper(F.regexp_extract(F.trim("mention"), r"(?iU)^GO:\d{7}\b", 0))).join(_held(ids), "lead", "left")
     rest = m.where("by_name is null and by_id is null and lead = ''")
     near = best_fuzzy(rest, ordered_names(terms), threshold=fuzzy_threshold, band=None).select("phrase", F.col("term_id").alias("by_near"))
     out = m.join(near, "phrase", "left")
@@ -372,10 +377,28 @@ def sentence_table(docs: DataFrame, least: int = 6) -> DataFrame:
     return rows.where(F.length("sentence") >= least).withColumn("end", F.col("start") + F.length("sentence"))
 
 
+#: Characters of a bin in which sentences and hits meet.
+BIN = 256
+
+
+def overlaps(spans: DataFrame, hits: DataFrame, width: int = BIN) -> DataFrame:
+    """``spans(doc_id, start, end, ..)`` with ``covered``: the sum of what each hit of the document shares with it.
+
+    Both sides are dealt to the bins that they touch and meet there; a pair counts in
+    the first bin that both touch. So a span meets what lies near it and not all hits
+    of its document, and the parts of a long document are worked on apart. Spans without
+    a hit have 0; empty spans and hits touch nothing.
+    """
+    bins = lambda a, b: F.explode_outer(F.when(b > a, F.sequence((a / width).cast("int"), ((b - 1) / width).cast("int"))))
+    s = spans.withColumn("bin", bins(F.col("start"), F.col("end")))
+    h = hits.select(F.col("doc_id").alias("hid"), F.col("start").alias("hs"), F.col("end").alias("he")).where("he > hs")
+    h = h.withColumn("hbin", bins(F.col("hs"), F.col("he")))
+    both = s.join(h, (F.col("doc_id") == F.col("hid")) & (F.col("bin") == F.col("hbin")) & (F.col("hs") < F.col("end")) & (F.col("he") > F.col("start")), "left")
+    counts = F.col("hid").isNotNull() & (F.col("bin") == (F.greatest("start", "hs") / width).cast("int"))
+    cover = F.sum(F.when(counts, F.least("end", "he") - F.greatest("start", "hs")).otherwise(0))
+    return both.groupBy(*spans.columns).agg(cover.alias("covered"))
+
+
 def uncovered_sentences(docs: DataFrame, hits: DataFrame, *, most: float = 0.6) -> DataFrame:
     """(doc_id, sentence, start, end) of sentences of which hits cover at most ``most``."""
-    s = sentence_table(docs)
-    h = hits.select(F.col("doc_id").alias("hid"), F.col("start").alias("hs"), F.col("end").alias("he"))
-    both = s.join(h, (F.col("doc_id") == F.col("hid")) & (F.col("hs") < F.col("end")) & (F.col("he") > F.col("start")), "left")
-    cover = F.sum(F.when(F.col("hid").isNotNull(), F.least("end", "he") - F.greatest("start", "hs")).otherwise(0))
-    return both.groupBy("doc_id", "sentence", "start", "end").agg(cover.alias("covered")).where(F.col("covered") <= most * (F.col("end") - F.col("start")))
+    return overlaps(sentence_table(docs), hits).where(F.col("covered") <= most * (F.col("end") - F.col("start")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .match import word_overlap
+from .ontology import above
 
 #: Terms kept of a namespace.
 LIMITS = {"biological_process": 2, "molecular_function": 1, "cellular_component": 1}
@@ -48,14 +49,13 @@ def _best(rows: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
-def drop_hierarchy_conflicts(rows: DataFrame, closure: DataFrame) -> DataFrame:
-    """By document and namespace, in score order: terms without an ancestor or descendant among those kept."""
-    above = closure.groupBy(F.col("descendant").alias("term_id")).agg(F.collect_set("ancestor").alias("above"))
-    r = rows.join(above, "term_id", "left").withColumn("above", F.coalesce("above", F.array().cast("array<bigint>" if dict(rows.dtypes)["term_id"] == "bigint" else "array<string>")))
-    item = F.struct((-F.col("final")).alias("k"), "term_id", "above")
-    lists = r.groupBy("doc_id", "namespace").agg(F.array_sort(F.collect_list(item)).alias("all"))
+def drop_hierarchy_conflicts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """By document and namespace, in score order: terms without an ancestor or descendant among those kept; ``labels`` from reach_labels."""
+    label = labels.select("term_id", F.struct("pre", "last", "more").alias("label"))
+    item = F.struct((-F.col("final")).alias("k"), "term_id", "label")
+    lists = rows.join(label, "term_id", "left").groupBy("doc_id", "namespace").agg(F.array_sort(F.collect_list(item)).alias("all"))
     kind = lists.schema["all"].dataType.simpleString()
-    tied = lambda acc, x: F.exists(acc, lambda y: F.array_contains(x["above"], y["term_id"]) | F.array_contains(y["above"], x["term_id"]))
+    tied = lambda acc, x: F.exists(acc, lambda y: above(x["label"], y["label"]) | above(y["label"], x["label"]))
     kept = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when(tied(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
     keys = lists.select("doc_id", "namespace", F.explode(kept).alias("x")).select("doc_id", "namespace", "x.term_id")
     return rows.join(keys, ["doc_id", "namespace", "term_id"], "left_semi")
@@ -77,17 +77,17 @@ def limit_per_namespace(rows: DataFrame, limits: dict[str, int] = LIMITS) -> Dat
     return rows.withColumn("k", F.row_number().over(order)).where(most.isNull() | (F.col("k") <= most)).drop("k")
 
 
-def merge_terms(docs: DataFrame, candidates: DataFrame, closure: DataFrame, depths: DataFrame, *, limits: dict[str, int] = LIMITS, clusters: dict[str, tuple[str, ...]] = CLUSTERS) -> DataFrame:
+def merge_terms(docs: DataFrame, candidates: DataFrame, labels: DataFrame, depths: DataFrame, *, limits: dict[str, int] = LIMITS, clusters: dict[str, tuple[str, ...]] = CLUSTERS) -> DataFrame:
     """(doc_id, kept, dropped): the terms that stay, by namespace and score, and those that go."""
     scored = _best(merge_score(candidates, docs, depths))
-    kept = limit_per_namespace(drop_cluster_conflicts(cluster_of(drop_hierarchy_conflicts(scored, closure), clusters)), limits)
+    kept = limit_per_namespace(drop_cluster_conflicts(cluster_of(drop_hierarchy_conflicts(scored, labels), clusters)), limits)
     every = scored.groupBy("doc_id").agg(F.array_sort(F.collect_set("term_id")).alias("all"))
     order = F.transform(F.array_sort(F.collect_list(F.struct("namespace", (-F.col("final")).alias("k"), "term_id"))), lambda x: x["term_id"])
     left = kept.groupBy("doc_id").agg(order.alias("kept"))
     return every.join(left, "doc_id", "left").select("doc_id", "kept", F.array_except("all", "kept").alias("dropped"))
 
 
-def merge_ids(docs: DataFrame, ids: DataFrame, terms: DataFrame, closure: DataFrame, depths: DataFrame, *, score: float = 1.0, **options) -> DataFrame:
+def merge_ids(docs: DataFrame, ids: DataFrame, terms: DataFrame, labels: DataFrame, depths: DataFrame, *, score: float = 1.0, **options) -> DataFrame:
     """``merge_terms`` of plain ``ids(doc_id, term_id)``: known terms stand for themselves by name, all with one score."""
     known = ids.distinct().join(terms.select("term_id", "name", "namespace"), "term_id")
-    return merge_terms(docs, known.withColumn("span", F.col("name")).withColumn("score", F.lit(score)), closure, depths, **options)
+    return merge_terms(docs, known.withColumn("span", F.col("name")).withColumn("score", F.lit(score)), labels, depths, **options)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,13 @@ def prf_by_group(scored: DataFrame) -> DataFrame:
     return s.select("method", kind.alias("grouping"), value.alias("value"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f, 4).alias("f1"))
 
 
+def prf_wide(scored: DataFrame, langs: Sequence[str], difficulties: Sequence[str], metric: str = "f1") -> DataFrame:
+    """A row for each method: its ``metric`` over all, by language and by difficulty, in a column each; null where it has no case."""
+    columns = ["all", *[f"lang_{x}" for x in langs], *[f"difficulty_{x}" for x in difficulties]]
+    name = F.when(F.col("grouping") == "all", "all").otherwise(F.concat_ws("_", "grouping", "value"))
+    return prf_by_group(scored).withColumn("column", name).groupBy("method").pivot("column", columns).agg(F.first(metric))
+
+
 def negative_fp_rate(scored: DataFrame) -> DataFrame:
     """Percent of cases without gold for which anything is predicted."""
     return scored.where("tp + fn = 0").groupBy("method").agg(F.count("*").alias("n"), F.round(100 * F.avg((F.col("fp") > 0).cast("int")), 2).alias("negative_fp"))

@@ -2,47 +2,108 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import write_shared
 
 
-def closure(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
-    """All (ancestor, descendant) pairs with the least distance.
+def closure(edges: DataFrame) -> DataFrame:
+    """All (ancestor, descendant) pairs with the least distance, in rounds that double the ways.
 
-    Semi-naive: each round extends only the pairs found in the round before; pairs
-    already known are dropped, so cycles end it too. A pair's first round is its
-    least distance.
+    Once all pairs up to a distance d are known, a pair of up to 2 d is one of exactly
+    d followed by a known one, and the least sum is its distance. So a graph of depth h
+    takes log2(h) rounds, however deep, and each of them reads a table a round. Pairs of
+    a node with itself are dropped, so cycles end too.
     """
-    step = write_shared(edges.where("child <> parent").select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct(), "closure")
-    e = edges.select(F.col("parent").alias("descendant"), F.col("child").alias("next")).distinct()
-    known, dist = step.withColumn("dist", F.lit(1)), 1
-    while dist < max_rounds:
-        more = step.join(e, "descendant").select("ancestor", F.col("next").alias("descendant")).where("ancestor <> descendant").distinct()
+    known = write_shared(edges.where("child <> parent").select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("dist")).distinct(), "closure")
+    reach = 1
+    while True:
+        first = known.where(F.col("dist") == reach).select("ancestor", F.col("descendant").alias("middle"))
+        rest = known.select(F.col("ancestor").alias("middle"), "descendant", (F.col("dist") + reach).alias("dist"))
+        more = first.join(rest, "middle").where("ancestor <> descendant").groupBy("ancestor", "descendant").agg(F.min("dist").alias("dist"))
         step = write_shared(more.join(known, ["ancestor", "descendant"], "left_anti"), "closure")
         if step.isEmpty():
             return known
-        dist += 1
-        known = known.unionByName(step.withColumn("dist", F.lit(dist)))
-    raise RuntimeError(f"closure did not end in {max_rounds} rounds")
+        known, reach = known.unionByName(step), 2 * reach
 
 
-def node_depths(nodes: DataFrame, edges: DataFrame, roots: list, *, max_rounds: int = 64) -> DataFrame:
-    """(term_id, depth): shortest way down from any root; 0 where there is none. Ways of ``max_rounds`` steps or more raise an error."""
+#: Rounds after which what was found so far is written as one table.
+JOINED_ROUNDS = 16
+
+
+def node_depths(nodes: DataFrame, edges: DataFrame, roots: list) -> DataFrame:
+    """(term_id, depth): shortest way down from any root; 0 where there is none. One round a level."""
     level = write_shared(nodes.where(F.col("term_id").isin(roots)).select("term_id"), "depths")
-    found = level.withColumn("depth", F.lit(0))
-    for depth in range(1, max_rounds):
+    found, depth = level.withColumn("depth", F.lit(0)), 0
+    while True:
+        depth += 1
         below = edges.join(level, edges["parent"] == level["term_id"]).select(F.col("child").alias("term_id")).distinct()
         level = write_shared(below.join(found, "term_id", "left_anti"), "depths")
         if level.isEmpty():
             break
         found = found.unionByName(level.withColumn("depth", F.lit(depth)))
-    else:
-        raise RuntimeError(f"depths did not end in {max_rounds} rounds")
+        if depth % JOINED_ROUNDS == 0:
+            found = write_shared(found, "depths")
     return nodes.select("term_id").join(found, "term_id", "left").select("term_id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
+#: Siblings that are numbered in one task.
+SIBLINGS = 1 << 14
+
+
+def reach_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(term_id, pre, last, more): numbers by which two terms tell whether one is above the other; see ``above``.
+
+    Each term keeps one parent, which makes a forest. ``pre`` numbers it from the roots
+    down, a term before all below it, and ``last`` is the highest number below a term: it
+    is 1 more than its earlier siblings' trees hold, added up from the root. What a term
+    reaches by the other edges are whole subtrees of the forest; those outside its own
+    are listed in ``more``, without those inside another of the list. Siblings are summed
+    in groups by a hash and then over the groups, so no parent's children meet in one
+    task. Edges with a cycle raise an error.
+    """
+    n = nodes.select("term_id").distinct()
+    e = edges.where("child <> parent").select("child", "parent").distinct()
+    e = write_shared(e.join(n.withColumnRenamed("term_id", "child"), "child", "left_semi").join(n.withColumnRenamed("term_id", "parent"), "parent", "left_semi"), "edges")
+    tree = e.groupBy("child").agg(F.min("parent").alias("parent"))
+    down, reach = closure(tree), closure(e)
+    if not reach.join(reach.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("descendant")), ["ancestor", "descendant"], "left_semi").isEmpty():
+        raise ValueError("the edges have a cycle")
+    size = down.groupBy(F.col("ancestor").alias("term_id")).agg((F.count("*") + 1).alias("size"))
+    groups = n.count() // SIBLINGS + 1
+    t = n.join(size, "term_id", "left").join(tree.withColumnRenamed("child", "term_id"), "term_id", "left")
+    t = t.select("term_id", "parent", F.coalesce("size", F.lit(1)).alias("size"), F.pmod(F.xxhash64("term_id"), F.lit(groups)).alias("g"))
+    earlier = lambda *by: F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy("term_id" if "g" in by else "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = t.groupBy("parent", "g").agg(F.sum("size").alias("size"))
+    sums = sums.select(F.col("parent").alias("p"), F.col("g").alias("pg"), earlier("parent").alias("base"))
+    t = t.withColumn("inside", earlier("parent", "g")).join(sums, F.col("parent").eqNullSafe(F.col("p")) & (F.col("g") == F.col("pg")))
+    t = write_shared(t.select("term_id", "size", (F.col("base") + F.col("inside") + 1).alias("own")), "labels")
+    above = down.join(t.select(F.col("term_id").alias("ancestor"), F.col("own").alias("up")), "ancestor").groupBy(F.col("descendant").alias("term_id")).agg(F.sum("up").alias("up"))
+    pre = F.col("own") + F.coalesce("up", F.lit(0))
+    label = write_shared(t.join(above, "term_id", "left").select("term_id", pre.alias("pre"), (pre + F.col("size") - 1).alias("last")), "labels")
+    other = e.join(tree, ["child", "parent"], "left_anti").withColumnRenamed("parent", "term_id")
+    from_above = other.join(reach.select(F.col("descendant").alias("term_id"), "ancestor"), "term_id").select(F.col("ancestor").alias("term_id"), "child")
+    far = other.unionByName(from_above).distinct().join(label.select(F.col("term_id").alias("child"), F.col("pre").alias("a"), F.col("last").alias("b")), "child").join(label, "term_id")
+    far = far.where((F.col("a") < F.col("pre")) | (F.col("a") > F.col("last")))
+    before = Window.partitionBy("term_id").orderBy("a", F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    far = far.withColumn("reached", F.max("b").over(before)).where("reached is null or b > reached")
+    more = far.groupBy("term_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("more"))
+    return label.join(more, "term_id", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<a: bigint, b: bigint>>")))
+
+
+def above(a: Column, b: Column) -> Column:
+    """Whether the term labelled ``a`` is a strict ancestor of the one labelled ``b`` (structs of pre, last and more)."""
+    inside = (a["pre"] < b["pre"]) & (b["pre"] <= a["last"])
+    return F.coalesce(inside | F.exists(a["more"], lambda i: (i["a"] <= b["pre"]) & (b["pre"] <= i["b"])), F.lit(False))
+
+
+def label_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (a, b) in which a is a strict ancestor of b, by labels."""
+    label = lambda c: labels.select(F.col("term_id").alias(c), F.struct("pre", "last", "more").alias(f"__{c}"))
+    return rows.join(label("a"), "a").join(label("b"), "b").where(above(F.col("__a"), F.col("__b"))).select(*rows.columns)
+
+
 def descendant_counts(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     n = pairs.groupBy(F.col("ancestor").alias("term_id")).agg(F.count("*").alias("n_descendants"))
     return nodes.select("term_id").join(n, "term_id", "left").select("term_id", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))

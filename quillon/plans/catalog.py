@@ -90,6 +90,10 @@ def _closure(spark, sf) -> DataFrame:
     return write_shared(ontology.closure(_edges(spark, sf)), "closure")
 
 
+def _labels(spark, sf) -> DataFrame:
+    return write_shared(ontology.reach_labels(_nodes(spark, sf), _edges(spark, sf)), "labels")
+
+
 def _depths(spark, sf) -> DataFrame:
     return ontology.node_depths(_nodes(spark, sf), _edges(spark, sf), [0, 1, 2])
 
@@ -335,6 +339,12 @@ def dag_ancestor_pairs(spark, sf):
     return ontology.ancestor_pairs(rows, _closure(spark, sf))
 
 
+@query(f"WITH RECURSIVE {SQL_DAG} SELECT l_orderkey % 500 AS a, l_partkey AS b FROM lineitem SEMI JOIN clo ON ancestor = l_orderkey % 500 AND descendant = l_partkey")
+def dag_label_pairs(spark, sf):
+    rows = _t(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("a"), F.col("l_partkey").alias("b"))
+    return ontology.label_pairs(rows, _labels(spark, sf))
+
+
 @query(f"WITH RECURSIVE {SQL_DAG}, up AS (SELECT descendant, arg_min(ancestor, dist * 1000000 + ancestor) AS near FROM clo JOIN dep ON dep.term_id = ancestor WHERE depth <= 3 GROUP BY descendant) SELECT dep.term_id, CASE WHEN depth <= 3 THEN dep.term_id ELSE coalesce(near, dep.term_id) END AS best FROM dep LEFT JOIN up ON descendant = dep.term_id")
 def dag_best_ancestor(spark, sf):
     return ontology.best_ancestor(_nodes(spark, sf).select("term_id"), _closure(spark, sf), _depths(spark, sf), max_depth=3)
@@ -467,13 +477,13 @@ def _merge_input(spark, sf) -> tuple[DataFrame, DataFrame]:
 @query()
 def merge_terms(spark, sf):
     docs, c = _merge_input(spark, sf)
-    return merge.merge_terms(docs, c, _closure(spark, sf), _depths(spark, sf))
+    return merge.merge_terms(docs, c, _labels(spark, sf), _depths(spark, sf))
 
 
 @query()
 def merge_ids(spark, sf):
     docs, c = _merge_input(spark, sf)
-    return merge.merge_ids(docs, c.select("doc_id", "term_id"), c.select("term_id", "name", "namespace").distinct(), _closure(spark, sf), _depths(spark, sf))
+    return merge.merge_ids(docs, c.select("doc_id", "term_id"), c.select("term_id", "name", "namespace").distinct(), _labels(spark, sf), _depths(spark, sf))
 
 
 @query(f"WITH {SQL_CAND}, b AS (SELECT doc_id, term_id, CASE term_id % 2 WHEN 0 THEN 'biological_process' ELSE 'molecular_function' END AS namespace, max(score) AS final FROM cand GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, namespace ORDER BY final DESC, term_id) AS k FROM b) SELECT doc_id, namespace, term_id, final FROM r WHERE k <= CASE namespace WHEN 'biological_process' THEN 2 ELSE 1 END")
@@ -666,6 +676,17 @@ def prf_by_group(spark, sf):
     return metrics.prf_by_group(_scored(spark, sf))
 
 
+#: The tables' order states and priorities, which stand for languages and difficulties.
+_LANGS, _LEVELS = ("F", "O", "P"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query(f"""WITH {SQL_SCORED}, s AS (SELECT method, lang, difficulty, grouping(lang) AS gl, grouping(difficulty) AS gd, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM scored GROUP BY GROUPING SETS ((method), (method, lang), (method, difficulty))),
+x AS (SELECT method, CASE WHEN gl = 1 AND gd = 1 THEN 'all' WHEN gl = 0 THEN 'lang_' || lang ELSE 'difficulty_' || difficulty END AS c, {SQL_PRF} FROM s)
+SELECT method, {', '.join(f"max(CASE WHEN c = '{c}' THEN f1 END) AS " + chr(34) + c + chr(34) for c in ('all', *('lang_' + x for x in _LANGS), *('difficulty_' + x for x in _LEVELS)))} FROM x GROUP BY method""")
+def prf_wide(spark, sf):
+    return metrics.prf_wide(_scored(spark, sf), _LANGS, _LEVELS)
+
+
 @query(f"WITH {SQL_SCORED} SELECT method, count(*) AS n, round(100 * avg((fp > 0)::INT), 2) AS negative_fp FROM scored WHERE tp + fn = 0 GROUP BY method")
 def negative_fp_rate(spark, sf):
     return metrics.negative_fp_rate(_scored(spark, sf))

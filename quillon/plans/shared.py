@@ -46,14 +46,16 @@ def value_bytes(df: DataFrame) -> Column:
     return sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(0))
 
 
-def small_enough(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows and about ``max_bytes`` of values; reads no more rows than that."""
+def small_enough(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and, where asked, about ``max_bytes`` of values; reads no more rows than that."""
+    if max_bytes is None:
+        return df.limit(max_rows + 1).count() <= max_rows
     rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(value_bytes(df))).first()
     return rows <= max_rows and (size or 0) <= max_bytes
 
 
-def broadcast_if(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only for a side whose rows and bytes have been checked.
+def broadcast_if(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> DataFrame:
+    """Hint a broadcast only for a side whose rows, and bytes where asked, have been checked.
 
     Larger sides are returned as they are and take the shuffled join, with the
     same result.

@@ -120,10 +120,32 @@ def nodes_from_metadata(raw: DataFrame, column: str = "value") -> DataFrame:
     return m.select("idx", kind.alias("node_type"), F.col("go_id").alias("node_id"), "name", "namespace", "synonyms", "description", "comment", F.when(kind == "Gene", part("EntrezID")).alias("entrez_id"), F.when(kind == "PMID", part("Journal")).alias("journal"), F.when(kind == "PMID", part("Year")).alias("year"))
 
 
-def write_node_index(nodes: DataFrame, path: str, dim: int) -> None:
-    """Write nodes with vectors, by type; a vector of another length stops the job."""
+#: The measures by which an index may be searched.
+METRICS = ("l2", "cosine")
+
+
+def write_node_index(nodes: DataFrame, path: str, dim: int, *, metric: str = "l2", encoder: str = "hash") -> None:
+    """Write nodes with vectors, by type; a vector of another length stops the job.
+
+    Length, metric and the encoder's name are stored with the vectors' column, in the files themselves.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"an index's metric is one of {', '.join(METRICS)}, not {metric}")
     right = F.assert_true(F.size("embedding") == dim, F.lit(f"embedding length is not {dim}"))
-    nodes.withColumn("__ok", right).where("__ok is null").drop("__ok").write.partitionBy("node_type").parquet(path)
+    kind = {"dim": dim, "metric": metric, "encoder": encoder}
+    checked = nodes.withColumn("__ok", right).where("__ok is null").drop("__ok")
+    checked.withColumn("embedding", F.col("embedding").alias("embedding", metadata=kind)).write.partitionBy("node_type").parquet(path)
+
+
+def read_node_index(spark: SparkSession, path: str, *, metric: str = "l2", encoder: str = "hash", dim: int | None = None) -> DataFrame:
+    """The index at ``path``; one of another metric, encoder or length, or of none, is refused."""
+    index = spark.read.parquet(path)
+    found = index.schema["embedding"].metadata
+    wanted = {"metric": metric, "encoder": encoder} | ({} if dim is None else {"dim": dim})
+    wrong = [f"{k} is {found.get(k)}, not {v}" for k, v in wanted.items() if found.get(k) != v]
+    if wrong:
+        raise ValueError(f"the index at {path} does not fit: {'; '.join(wrong)}")
+    return index
 
 
 def write_report(path: str, **tables: DataFrame) -> None:
