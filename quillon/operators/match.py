@@ -244,11 +244,13 @@ def _near_names(docs: DataFrame, terms: DataFrame, max_ngram: int, stopwords: Se
     """(name_lc, term_id, is_primary, closeness): phrases of two or more words of ``docs`` close to a name but equal to none.
 
     A window's trimmed phrase is a window without stopwords at its ends, so those are
-    scored, each distinct phrase once.
+    scored. A window's phrase is the first words of the longest one at its place.
     """
-    rows = token_rows(docs, max_ngram - 1).where(~F.lower("t").isin(*stopwords)).select(_words(F.concat("t", "ahead"), T.TOKEN_CHARS).alias("words")).where(F.size("words") > 1)
-    rows = rows.withColumn("m", F.explode(F.sequence(F.lit(2), F.size("words")))).where(~F.element_at("words", F.col("m")).isin(*stopwords))
-    phrases = rows.select(F.array_join(F.slice("words", F.lit(1), F.col("m")), " ").alias("phrase"))
+    words, most = docs.select(_words(F.col("text"), T.TOKEN_CHARS).alias("words")), F.lit(max_ngram)
+    longest = lambda x, j: F.when(~x.isin(*stopwords), F.struct(F.array_join(F.slice("words", j + 1, most), " ").alias("long"), F.least(most, F.size("words") - j).alias("n")))
+    places = words.select(F.explode(F.transform("words", longest)).alias("x")).where("x is not null and x.n > 1").select("x.*")
+    first = lambda m: F.call_function("substring_index", F.col("long"), F.lit(" "), m)
+    phrases = places.select(F.explode(F.transform(F.sequence(F.lit(2), F.col("n")), first)).alias("phrase")).where(~F.substring_index("phrase", " ", -1).isin(*stopwords))
     exact = name_index(terms).select(F.col("name_lc").alias("phrase"))
     best = best_fuzzy(phrases, ordered_names(terms), threshold=threshold).join(_held(exact), "phrase", "left_anti")
     return write_shared(best.select(F.col("phrase").alias("name_lc"), "term_id", F.lit(False).alias("is_primary"), F.round("score", 3).alias("closeness")), "near-names")
