@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,17 +13,96 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.shared import small_enough, write_shared
 
-#: Queries of one block, the side that a task holds as a matrix.
-QUERY_BLOCK = 1024
+#: Queries of one block, the side that a task holds as a matrix; fewer where vectors are long.
+QUERY_BLOCK, QUERY_BYTES = 1024, 1 << 22
 #: Query blocks that may be broadcast to all item partitions; beyond, blocks are shuffled, as many to a group.
-BROADCAST_BLOCKS = 64
-#: Items of one group of the shuffled layout.
-ITEM_GROUP = 1 << 15
+BROADCAST_BLOCKS = 32
+#: Items that are searched together, by rows and by bytes, and those of one group of the shuffled layout.
+ITEM_ROWS, ITEM_BYTES, ITEM_GROUP = 1 << 15, 1 << 26, 1 << 15
+#: Items around which the others are gathered; they also bound each query's distance from the start.
+PIVOTS = 64
 
 
-def _blocks(queries: DataFrame) -> DataFrame:
-    """(b, qid, qvec): queries packed by a hash of their id."""
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
+def _rounded(near: np.ndarray) -> np.ndarray:
+    return np.copysign(np.floor(np.abs(near) * 1e6 + 0.5) / 1e6, near) + 0.0
+
+
+def _distances(q: np.ndarray, x: np.ndarray, measure: str) -> np.ndarray:
+    return -(q @ x.T) if measure == "cosine" else ((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T)
+
+
+class PrunedSearch:
+    """The k nearest of each query of a block among all items shown to it, exactly.
+
+    Items are gathered around their nearest pivot. No item of such a group is nearer to
+    a query than the group's centre less the group's radius allows, so a group is met
+    only by the queries for which that is within their k-th distance so far; this starts
+    as the k-th among the pivots, which are items themselves. ``met`` and ``skipped``
+    count pairs of query and item.
+    """
+
+    def __init__(self, qid: list, q: np.ndarray, pivots: np.ndarray, k: int, measure: str):
+        self.qid, self.q, self.k, self.measure = qid, q, k, measure
+        self.norm = np.sqrt((q * q).sum(1))
+        self.best = np.full((len(q), k), np.inf)
+        if len(pivots) >= k:
+            self.best = np.partition(_rounded(_distances(q, pivots, measure)), k - 1, 1)[:, :k]
+        self.start, self.seen = self.best.max(1), np.full((len(q), k), np.inf)
+        self.kept: list[tuple] = []
+        self.met = self.skipped = 0
+
+    def least(self, centre: np.ndarray, radius: float) -> np.ndarray:
+        """The least distance that each query can have to an item of a group."""
+        if self.measure == "cosine":
+            return -(self.q @ centre + self.norm * radius)
+        return np.maximum(0.0, np.sqrt(((self.q - centre) ** 2).sum(1)) - radius) ** 2
+
+    def show(self, groups: list[tuple]) -> None:
+        """``groups`` of (ids, vectors, centre, radius)."""
+        for ids, x, centre, radius in groups:
+            worst = np.minimum(self.start, self.seen.max(1))
+            own = np.flatnonzero(self.least(centre, radius) <= worst + 1e-6)
+            self.met += len(own) * len(x)
+            self.skipped += (len(self.q) - len(own)) * len(x)
+            if len(own):
+                exact = _distances(self.q[own], x, self.measure)
+                near = _rounded(exact)
+                self.seen[own] = np.partition(np.concatenate((self.seen[own], near), 1), self.k - 1, 1)[:, : self.k]
+                row, at = np.nonzero(near <= np.minimum(self.start[own], self.seen[own].max(1))[:, None])
+                self.kept.append((own[row], ids[at], near[row, at], exact[row, at]))
+        self.cut()
+
+    def cut(self) -> None:
+        """Keep k rows a query, by rounded distance and then by id."""
+        if self.kept:
+            row, ids, near, exact = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+            order = np.lexsort((np.unique(ids, return_inverse=True)[1], near, row))
+            first = np.searchsorted(row[order], np.arange(len(self.q)))
+            order = order[np.arange(len(order)) - first[row[order]] < self.k]
+            self.kept = [(row[order], ids[order], near[order], exact[order])]
+
+    def rows(self) -> pd.DataFrame:
+        row, ids, near, exact = self.kept[0] if self.kept else ([], [], [], [])
+        return pd.DataFrame({"query_id": np.array(self.qid, object)[np.asarray(row, np.int64)], "node_id": ids, "near": np.asarray(near, np.float64), "distance": np.asarray(exact, np.float64)})
+
+
+def gathered(ids: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> list[tuple]:
+    """(ids, vectors, centre, radius) of the items nearest to each pivot."""
+    if not len(pivots):
+        own = np.zeros(len(x), int)
+    else:
+        own = np.argmin(_distances(x, pivots, "l2"), 1)
+    out = []
+    for p in np.unique(own):
+        part = x[own == p]
+        centre = part.mean(0)
+        out.append((ids[own == p], part, centre, float(np.sqrt(((part - centre) ** 2).sum(1).max())) * (1 + 1e-9)))
+    return out
+
+
+def _blocks(queries: DataFrame, dim: int) -> DataFrame:
+    """(b, qid, qvec, dim): queries packed by a hash of their id, a block's vectors within QUERY_BYTES."""
+    n = max(1, -(-queries.count() // max(1, min(QUERY_BLOCK, QUERY_BYTES // (4 * dim)))))
 
     def pack(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         vecs = np.array(f["embedding"].tolist(), np.float32)
@@ -34,45 +114,50 @@ def _blocks(queries: DataFrame) -> DataFrame:
 
 
 def _topk(queries: DataFrame, items: DataFrame, k: int, measure: str) -> DataFrame:
-    """(query_id, node_id, distance) of the k nearest; each (block, partition) pair passes on k rows a query."""
-    blocks = write_shared(_blocks(queries), "query-blocks")
-    spark = items.sparkSession
+    """(query_id, node_id, distance) of the k nearest; a task passes on k rows a query."""
     rows = items.where("embedding is not null").select("node_id", "embedding")
+    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    blocks = write_shared(_blocks(queries, max(dim, 1)), "query-blocks")
+    spark = items.sparkSession
     kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["node_id"]
+    some = rows.orderBy(F.xxhash64("node_id"), "node_id").limit(max(PIVOTS, k)).collect()  # PIVOTS vectors
+    pivots = np.array([r["embedding"] for r in some], np.float64)
+    together = max(1, min(ITEM_ROWS, ITEM_BYTES // (8 * max(dim, 1))))
 
-    def nearest(qid: list, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        near = -(q @ x.T) if measure == "cosine" else ((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T)
-        order = np.argsort(ids, kind="stable")
-        near, ids = near[:, order], ids[order]
-        # Cut in the final order, by rounded distance and then by id.
-        rounded = np.copysign(np.floor(np.abs(near) * 1e6 + 0.5) / 1e6, near) + 0.0
-        best = np.argsort(rounded, axis=1, kind="stable")[:, :k]
-        who = np.repeat(np.arange(len(qid)), best.shape[1])
-        return pd.DataFrame({"query_id": np.array(qid, object)[who], "node_id": ids[best.ravel()], "near": rounded[who, best.ravel()], "distance": near[who, best.ravel()].astype(np.float64)})
+    def searches(held: list[tuple]) -> list[PrunedSearch]:
+        return [PrunedSearch(qid, np.frombuffer(v, np.float32).reshape(-1, d).astype(np.float64), pivots, k, measure) for qid, v, d in held]
 
     schema = f"query_id {kinds[0]}, node_id {kinds[1]}, near double, distance double"
     if small_enough(blocks, BROADCAST_BLOCKS):
-        held = spark.sparkContext.broadcast([(list(r["qid"]), np.frombuffer(bytes(r["qvec"]), np.float32).reshape(-1, r["dim"]).astype(np.float64)) for r in blocks.collect()])  # at most BROADCAST_BLOCKS blocks
+        held = spark.sparkContext.broadcast([(list(r["qid"]), bytes(r["qvec"]), r["dim"]) for r in blocks.collect()])  # at most BROADCAST_BLOCKS blocks of QUERY_BYTES
 
         def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if len(f):
-                    x = np.array(f["embedding"].tolist(), np.float64)
-                    for qid, q in held.value:
-                        yield nearest(qid, q, f["node_id"].to_numpy(), x)
+            own, waiting, n = searches(held.value), [], 0
+            for f in chain(frames, [None]):
+                if f is not None and len(f):
+                    waiting.append((f["node_id"].to_numpy(), np.array(f["embedding"].tolist(), np.float64)))
+                    n += len(f)
+                if waiting and (f is None or n >= together):
+                    groups = gathered(*(np.concatenate(x) for x in zip(*waiting, strict=True)), pivots)
+                    waiting, n = [], 0
+                    for s in own:
+                        s.show(groups)
+            yield from (s.rows() for s in own)
 
         found = rows.mapInPandas(search, schema)
     else:
         # Groups of about ITEM_GROUP items and BROADCAST_BLOCKS blocks, whatever both tables' sizes.
-        n = max(1, -(-rows.count() // ITEM_GROUP))
+        n = max(1, -(-rows.count() // min(ITEM_GROUP, together)))
         sets = -(-((blocks.agg(F.max("b")).first()[0] or 0) + 1) // BROADCAST_BLOCKS)
         dealt = rows.withColumn("p", F.pmod(F.xxhash64("node_id"), F.lit(n)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
         pairs = blocks.withColumn("g", F.col("b") % sets).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
         def meet(key: tuple, x: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            vecs = np.array(x["embedding"].tolist(), np.float64)
-            parts = [nearest(list(qid), np.frombuffer(v, np.float32).reshape(-1, d).astype(np.float64), x["node_id"].to_numpy(), vecs) for qid, v, d in zip(b["qid"], b["qvec"], b["dim"], strict=True)]
-            return pd.concat(parts) if len(x) and parts else pd.DataFrame({"query_id": [], "node_id": [], "near": [], "distance": []})
+            own = searches([(list(q), v, d) for q, v, d in zip(b["qid"], b["qvec"], b["dim"], strict=True)]) if len(x) else []
+            groups = gathered(x["node_id"].to_numpy(), np.array(x["embedding"].tolist(), np.float64), pivots) if own else []
+            for s in own:
+                s.show(groups)
+            return pd.concat([s.rows() for s in own]) if own else pd.DataFrame({"query_id": [], "node_id": [], "near": [], "distance": []})
 
         found = dealt.groupBy("p", "g").cogroup(pairs.groupBy("p", "g")).applyInPandas(meet, schema)
     order = Window.partitionBy("query_id").orderBy("near", "node_id")

@@ -226,3 +226,20 @@ def test_wide_scores(spark):
     wide = metrics.prf_wide(scored, ("en", "zh"), ("easy", "hard"), "precision").orderBy("method").collect()
     assert [tuple(r) for r in wide] == [("m", 0.5, 0.5, 0.0, 0.5, 0.0), ("n", 1.0, 1.0, None, 1.0, None)]
     assert np.isclose(metrics.prf_wide(scored, (), ()).where("method = 'm'").first()["all"], 0.4)
+
+
+@pytest.mark.parametrize("measure", ["cosine", "l2"])
+def test_pruned_search_skips_groups_and_loses_none(measure):
+    rng = np.random.RandomState(12)
+    centres = rng.normal(size=(8, 16)) * 9
+    x = np.concatenate([c + rng.normal(size=(50, 16)) / 9 for c in centres]).round(2)
+    x = np.concatenate((x, x[::7]))  # ties
+    ids, q = np.arange(len(x))[::-1].copy(), np.concatenate((x[:40:5], rng.normal(size=(3, 16))))
+    pivots = x[rng.choice(len(x), 24, replace=False)]
+    s = vectors.PrunedSearch(list(range(len(q))), q, pivots, 5, measure)
+    for a in range(0, len(x), 180):
+        s.show(vectors.gathered(ids[a : a + 180], x[a : a + 180], pivots))
+    near = vectors._rounded(vectors._distances(q, x, measure))
+    want = {(i, int(ids[j])) for i in range(len(q)) for j in np.lexsort((ids, near[i]))[:5]}
+    assert {(r.query_id, r.node_id) for r in s.rows().itertuples()} == want
+    assert s.met + s.skipped == len(q) * len(x) and s.skipped > s.met
