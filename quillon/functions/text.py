@@ -28,14 +28,6 @@ def tokenize(text: Column, pattern: str = TOKEN) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1))
 
 
-def token_start(text: Column, index: Column, pattern: str = TOKEN) -> Column:
-    """Code-point offset of the token of the given index."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda x: F.length(x))
-    add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    return add(F.slice(gaps, F.lit(1), index + 1)) + add(F.slice(sizes, F.lit(1), index))
-
-
 def trim_stopwords(words: Column, stopwords: Sequence[str]) -> Column:
     """Words without stopwords at either end."""
     kept = F.transform(words, lambda w, i: F.when(~w.isin(*stopwords), i))

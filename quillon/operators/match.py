@@ -270,11 +270,14 @@ def _graded(found: DataFrame) -> DataFrame:
 
 
 def id_hits(docs: DataFrame, alias: DataFrame) -> DataFrame:
-    """(doc_id, start, end, term_id, span, match_type, score) of ids written out in the text."""
-    rows = docs.select("doc_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"({T.TERM_ID})"), F.lit(1))).alias("k", "span"))
+    """(doc_id, start, end, term_id, span, match_type, score) of ids written out in the text, whose places come from one pass over it."""
+    rows = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"({T.TERM_ID})"), F.lit(1)).alias("t"), F.transform(F.split("text", T.TERM_ID, -1), F.length).alias("gaps")).where(F.size("t") > 0)
+    rows = rows.select("*", F.zip_with(F.slice("gaps", F.lit(1), F.size("t")), "t", lambda g, t: g + F.length(t)).alias("lengths"))
+    before, inside = _ends("lengths")
+    rows = rows.select("*", before.alias("before")).select("doc_id", F.arrays_zip(inside.alias("at"), F.slice("gaps", F.lit(1), F.size("t")).alias("gap"), F.col("t").alias("span")).alias("all"))
+    rows = rows.select("doc_id", F.explode_outer("all").alias("x")).where("x is not null").select("doc_id", (F.col("x.at") + F.col("x.gap")).alias("start"), "x.span")
     rows = rows.withColumn("any_id", F.upper("span")).join(_held(alias), "any_id")
-    start = T.token_start(F.col("text"), F.col("k"), T.TERM_ID)
-    return rows.select("doc_id", start.alias("start"), (start + F.length("span")).alias("end"), "term_id", "span", F.lit("go_id").alias("match_type"), F.lit(1.0).alias("score"))
+    return rows.select("doc_id", "start", (F.col("start") + F.length("span")).alias("end"), "term_id", "span", F.lit("go_id").alias("match_type"), F.lit(1.0).alias("score"))
 
 
 def _first_by(hits: DataFrame, *key: str) -> DataFrame:

@@ -226,7 +226,15 @@ def text_node_and_term(spark, sf):
     return p.select("p_partkey", T.node_text(("Name", F.col("p_name")), ("GO ID", F.col("p_partkey").cast("string")), ("Namespace", F.col("p_type")), ("Synonyms", F.lit(""))).alias("node_text"), T.term_text(F.col("p_name"), F.array("p_brand", F.lit(" ")), F.col("p_type")).alias("term_text"))
 
 
-@query()
+_NGRAM_STOP, _GENERAL = ("['" + "','".join(x) + "']" for x in (T.NGRAM_STOPWORDS, T.GENERIC_WORDS))
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD.replace("/", "")}') AS w FROM documents),
+s AS (SELECT doc_id, w, [NOT list_contains({_NGRAM_STOP}, y) for y in w] AS ok FROM t),
+x AS ({" UNION ALL ".join(f"SELECT doc_id, {m} AS n, unnest([array_to_string(w[i:i + {m - 1}], ' ') for i in range(1, len(w) - {m - 2}) if ok[i] AND ok[i + {m - 1}]]) AS phrase FROM s" for m in range(1, 6))}),
+d AS (SELECT DISTINCT doc_id, n, phrase FROM x WHERE length(phrase) >= 3 AND NOT list_contains({_GENERAL}, phrase)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(phrase) DESC, phrase)::INT AS rank FROM d)
+SELECT doc_id, rank, phrase FROM r WHERE rank <= 80""")
 def text_candidate_phrases(spark, sf):
     return match.candidate_phrases(_docs(spark, sf))
 
@@ -599,7 +607,21 @@ def limit_graph(spark, sf):
     return graph.limit_graph(nodes, edges)[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_DAG}, {SQL_EDGES},
+papers AS (SELECT DISTINCT o_custkey AS query_id, o_orderkey::VARCHAR AS k FROM orders WHERE o_orderpriority LIKE '1%'),
+mentions AS (SELECT DISTINCT query_id, l_partkey::VARCHAR AS term_id FROM papers JOIN lineitem ON l_orderkey::VARCHAR = k),
+seeds AS (SELECT query_id, term_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY term_id) AS k FROM mentions) WHERE k <= 20),
+e AS (SELECT src, dst, relationship FROM ge WHERE src_type = 'GO_Term' AND dst_type = 'GO_Term' AND src <> dst),
+b AS (SELECT *, src AS a, dst AS m FROM e UNION ALL SELECT *, dst, src FROM e), near AS (SELECT query_id, b.* FROM b JOIN seeds ON a = term_id),
+direct AS (SELECT near.* FROM near JOIN seeds s ON s.query_id = near.query_id AND s.term_id = m), mids AS (SELECT query_id, m FROM near GROUP BY ALL HAVING count(DISTINCT a) > 1),
+f AS (SELECT DISTINCT query_id, src, dst, relationship FROM (SELECT query_id, src, dst, relationship FROM direct UNION ALL SELECT query_id, src, dst, relationship FROM near JOIN mids USING (query_id, m) WHERE query_id NOT IN (SELECT query_id FROM direct))),
+ways AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, dst, relationship) AS k FROM f),
+s AS (SELECT query_id, ge.* FROM ge JOIN seeds ON src = term_id), d AS (SELECT query_id, ge.* FROM ge JOIN seeds ON dst = term_id),
+u AS (SELECT DISTINCT *, 80 AS lim, 1 AS p FROM (SELECT * FROM s UNION ALL SELECT * FROM d) WHERE src_type = 'GO_Term' AND dst_type = 'GO_Term'
+  UNION ALL SELECT DISTINCT *, 30, 2 FROM d WHERE src_type = 'Gene' UNION ALL SELECT DISTINCT *, 20, 3 FROM s WHERE dst_type = 'PMID' UNION ALL SELECT DISTINCT *, 20, 4 FROM d WHERE src_type = 'RTO_Term'),
+around AS (SELECT *, row_number() OVER (PARTITION BY query_id, p ORDER BY src, dst, relationship) AS k FROM u)
+SELECT query_id, src, 'GO_Term' AS src_type, dst, 'GO_Term' AS dst_type, relationship FROM ways WHERE k <= 120
+UNION SELECT query_id, src, src_type, dst, dst_type, relationship FROM around WHERE k <= lim""")
 def question_graph(spark, sf):
     papers = _t(spark, sf, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("pmid"))
     return graph.question_graph(papers, _graph_edges(spark, sf))
