@@ -10,7 +10,9 @@ license from another.
 
 Defined cases: null and empty texts have no words and no matches; equal rows are
 scanned alike; ties between matches at one place go to fewer edits, then to the
-notice listed first; extra columns are passed through unread.
+notice listed first; a table without rows gives none; extra columns, of whatever
+name, are not read. A text is scanned whole in one task, in time that grows with its
+length and the places found: word numbers are counted on from place to place.
 """
 
 from __future__ import annotations
@@ -92,9 +94,10 @@ class Scanner:
         """(word, label) of each exact phrase, overlapping ones too."""
         found = []
         for phrase, label in self.phrases:
-            at = padded.find(phrase)
+            at, before, word = padded.find(phrase), 0, 0
             while at >= 0:
-                found.append((padded.count(b" ", 0, at), label))
+                word, before = word + padded.count(b" ", before, at), at
+                found.append((word, label))
                 at = padded.find(phrase, at + 1)
         return found
 
@@ -113,8 +116,12 @@ class Scanner:
                 a, b, edits = low + m.start(), low + m.end(), sum(m.fuzzy_counts)
                 found[(i, a)] = min(found.get((i, a), (edits, b)), (edits, b))
         best: dict[tuple[str, int], tuple] = {}
+        last, before, word = None, 0, 0
         for (i, a), (edits, b) in sorted(found.items()):
-            key = (self.notices[i].label, text.count(" ", 0, a))
+            if i != last:
+                last, before, word = i, 0, 0
+            word, before = word + text.count(" ", before, a), a
+            key = (self.notices[i].label, word)
             if key not in best or edits < best[key][0]:
                 best[key] = (edits, text[a:b])
         return [{"label": label, "word": word, "n_words": span.count(" ") + 1, "edits": e, "span": span} for (label, word), (e, span) in sorted(best.items(), key=lambda x: (x[0][1], x[0][0]))]

@@ -32,3 +32,10 @@ def test_bounded_errors_and_spans():
     assert {m["label"] for m in scan("GNU General Public Lisense, version 3")[5]} == {"gpl-3"}
     assert scan("licensed under nothing that anyone has heard of")[5] == []
     assert scan("an all rights reserved")[5][0]["span"] == "all rights reserved"
+
+
+def test_word_numbers_of_many_places():
+    scan = license_scan.Scanner(license_scan.NOTICES, license_scan.PHRASES)
+    n_words, n_base, first, last, labels, matches = scan("it is licensed under the MIT License here " * 2000)
+    assert (n_words, n_base, first, last, labels) == (16000, 2000, 3, 15995, ["mit"])
+    assert [m["word"] for m in matches] == [8 * i + 2 for i in range(2000)]
