@@ -15,8 +15,11 @@ query, and the final rank is a window over these.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components
 take no part, nor do rows without an id; ties go to the smaller id; a query meets
-only vectors of its own length; rows of equal id are candidates each on its own but
-never answers to a query of that id; extra columns are not read.
+only vectors of its own length; rows of equal id are queries and candidates each on
+its own, so only the query's own row is left out of its answers and each query row
+has its own list; a table without rows gives none; extra columns, of whatever name,
+are not read. Scores are exact; where length * largest query component * largest
+component could reach 2**63 the search fails instead of wrapping.
 """
 
 from __future__ import annotations
@@ -73,6 +76,7 @@ class ImpactIndex:
         self.ids = [np.sort(ids[by[a:b]])[: k + 1] for a, b in zip(cuts, cuts[1:], strict=False)]
         n, d = self.vecs.shape
         self.low, self.high = self.vecs.min(0), self.vecs.max(0)
+        self.most = float(np.abs(self.vecs.astype(np.float64)).max())
         step = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
         level = (self.vecs - self.low) // step
         self.postings, self.values, seg_dim, seg_min, seg_max = [], [], [], [], []
@@ -90,8 +94,11 @@ class ImpactIndex:
         self.seg_dim, self.seg_min, self.seg_max = np.array(seg_dim), np.array(seg_min), np.array(seg_max)
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(vec_id, score) of the block's k best, best first; ``own`` is no answer."""
+        """(vec_id, score) of the block's k best, best first, without one row of ``own``'s id and the query's vector."""
         q = query.astype(np.float64)
+        reach = len(q) * float(np.abs(q).max()) * self.most
+        if reach >= 2.0**63:
+            raise ValueError(f"inner products may reach {reach:.3g}, beyond 64 bits")
         base = np.minimum(q * self.low, q * self.high)
         ends = q[self.seg_dim] * self.seg_min, q[self.seg_dim] * self.seg_max
         impact = np.maximum(*ends) - base[self.seg_dim]
@@ -115,13 +122,17 @@ class ImpactIndex:
             if left <= 0 or np.count_nonzero(scores + left >= kth) <= 4 * need:
                 break
         kth = np.partition(scores, n - need)[n - need]
-        members = np.flatnonzero(scores + left >= kth - 1e-6 * (1 + abs(kth)))
+        # Sums of doubles err by far less than this share of the largest sum.
+        members = np.flatnonzero(scores + left >= kth - 1e-6 * (1 + abs(kth)) - reach * 2.0**-40)
         exact = self.vecs[members] @ query
         best = []
         for at in np.argsort(-exact, kind="stable"):
             if len(best) >= k and exact[at] < best[k - 1][1]:
                 break
-            best += [(int(i), int(exact[at])) for i in self.ids[members[at]] if i != own]
+            ids = self.ids[members[at]].tolist()
+            if own in ids and np.array_equal(self.vecs[members[at]], query):
+                ids.remove(own)
+            best += [(i, int(exact[at])) for i in ids]
             best.sort(key=lambda x: (-x[1], x[0]))
         return best[:k]
 
@@ -129,7 +140,7 @@ class ImpactIndex:
 def top_k(vectors: DataFrame, *, k: int = 5, query: Column | None = None, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) over ``vectors(vec_id, embedding)``; queries are the rows where ``query`` holds."""
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", quantised(F.col("embedding"), scale).alias("v"))
-    asked = rows.where(query if query is not None else F.col("vec_id") % 50 == 0).dropDuplicates(["vec_id", "v"])
+    asked = rows.where(query if query is not None else F.col("vec_id") % 50 == 0)
     blocks = write_shared(_pack(rows, BLOCK_ROWS, "block"), "vector-blocks")
     queries = write_shared(_pack(asked, QUERY_ROWS, "qblock").withColumnsRenamed({"ids": "qids", "vecs": "qvecs"}), "query-blocks")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -144,11 +155,14 @@ def top_k(vectors: DataFrame, *, k: int = 5, query: Column | None = None, scale:
                     last = row["dim"], row["block"]
                     index = ImpactIndex(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vecs"], np.int64).reshape(-1, row["dim"]), k)
                 asked = zip(np.frombuffer(row["qids"], np.int64).tolist(), np.frombuffer(row["qvecs"], np.int64).reshape(-1, row["dim"]), strict=True)
-                found = [(own, vec, score) for own, q in asked for vec, score in index.search(q, own, k)]
-                yield pa.RecordBatch.from_pydict({"query_id": [x[0] for x in found], "vec_id": [x[1] for x in found], "score": [x[2] for x in found]}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                found = [(row["dim"], row["qblock"], at, own, vec, score) for at, (own, q) in enumerate(asked) for vec, score in index.search(q, own, k)]
+                columns = list(zip(*found, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    kinds = {"dim": pa.int32(), "qblock": pa.int32(), "at": pa.int32(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+    found = pairs.mapInArrow(search, "dim int, qblock int, at int, query_id long, vec_id long, score long")
+    # A query row is known by its place in its block, as ids may repeat.
+    best = Window.partitionBy("dim", "qblock", "at").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
