@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Rows in an Arrow batch sent to Python; with long texts, small batches bound memory.
 BATCH_ROWS = 256
@@ -94,3 +95,11 @@ def shingle_hashes(words: np.ndarray, per_text: np.ndarray, k: int) -> tuple[np.
         part = padded[start + t] * _ORDER[t]
         h += np.where(inside > t, part, np.uint64(0)) if short else part
     return mix(h + inside.astype(np.uint64)), number
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with a lead that no column of ``df`` has, whatever its case."""
+    lead = "__"
+    while any(c.lower().startswith(lead) for c in df.columns):
+        lead += "_"
+    return [lead + n for n in names]

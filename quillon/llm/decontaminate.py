@@ -13,7 +13,9 @@ windows that the fewest items hold, as many as any contaminated pair must share
 
 Defined cases: null, empty and short texts have no windows; items of fewer than
 ``window`` canonical words are looked for by one window of their own length, from 3
-words on, and shorter ones never match; rows equal in doc_id and text are one
+words on, and shorter ones never match; an item is told by its id, null or not, and
+its text, so items that share an id are judged each by its own windows and listed
+each for itself; rows equal in both are one item, and rows equal in doc_id and text one
 document; an empty table gives no pairs; extra columns are not read. Of a window
 that an item repeats, its first place counts. A text is one row throughout, however
 long; its windows are spread over rows.
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import broadcast_if, write_shared
+from ._text import spare_names
 
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 MARKS = "\ue000-\ue002"
@@ -119,6 +122,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     one), or edited (the aligned stretch has a different number of slots); of several
     consistent alignments the first kind in this order.
     """
+    # A struct, unlike a null id, equals itself in joins.
+    benchmark = benchmark.select(F.struct("item_id", F.xxhash64("text").alias("item_hash")).alias("item_id"), "text")
+    benchmark = write_shared(benchmark.dropDuplicates(["item_id"]), "items")
     bench = write_shared(item_windows(benchmark, window, min_windows), "item-windows")
     lengths = [r["k"] for r in bench.select("k").distinct().collect()] or [window]  # at most `window` numbers
     own = ["doc_id", "row_hash"]
@@ -139,7 +145,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("row_hash") == F.col("__row_hash"))
     pairs = tried.join(total, same & (F.col("item_id") == F.col("__item"))).withColumn("least", F.least(F.lit(min_windows).cast("long"), F.col("n"), F.col("most")))
     pairs = write_shared(pairs.select(*own, "item_id", "matched", F.col("n").alias("item_windows"), F.expr("filter(all, x -> x.m >= least)").alias("lines")), "pairs")
-    return _checked(pairs, docs, benchmark)
+    return _checked(pairs, docs, benchmark).withColumn("item_id", F.col("item_id.item_id"))
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -169,6 +175,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFra
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that are contaminated by any item."""
-    bad = contaminated_pairs(docs, benchmark, **options).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__own", F.xxhash64("text"))
-    return own.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_anti").select(*docs.columns)
+    own, key, row = spare_names(docs, "own", "key", "row")
+    bad = contaminated_pairs(docs, benchmark, **options).select(F.col("doc_id").alias(key), F.col("row_hash").alias(row)).distinct()
+    kept = docs.withColumn(own, F.xxhash64("text"))
+    return kept.join(bad, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(row)), "left_anti").select(*docs.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import write_shared
+from ._text import spare_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits of the key that name a range: 16**3 ranges of each source.
@@ -92,20 +93,20 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     falls, the last copy holds the words before the cut, single-spaced. Rows
     without words carry none of the mix and are left out.
     """
-    keep = docs.columns
+    own, key, source, row, size, taken, copy = spare_names(docs, "own", "key", "source", "row", "size", "taken", "copy")
     plan = mix_plan(docs, **options).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("row_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken")
+        F.col("doc_id").alias(key), F.col("source").alias(source), F.col("row_hash").alias(row), F.col("size").alias(size), F.col("taken").alias(taken)
     )
     # Equal rows meet one row of the plan, which carries the words of all of them.
-    plan = plan.groupBy("__id", "__source", "__hash", "__size").agg(F.sum("__taken").alias("__taken"))
-    one = docs.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__key"]) if _repeats(docs) else docs.withColumn("__key", F.xxhash64("text"))
-    hit = one.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__key") == F.col("__hash")))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
-    hit = hit.withColumn("__copy", F.explode(copies))
-    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")).cast("int")
+    plan = plan.groupBy(key, source, row, size).agg(F.sum(taken).alias(taken))
+    one = docs.withColumn(own, F.xxhash64("text"))
+    one = one.dropDuplicates(["doc_id", "source", own]) if _repeats(docs) else one
+    hit = one.join(plan, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(row)))
+    hit = hit.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
+    words = F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size)).cast("int")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words), " ")
-    text = F.when(words < F.col("__size"), part).otherwise(F.col("text"))
-    return hit.withColumn("text", text).select(*keep)
+    text = F.when(words < F.col(size), part).otherwise(F.col("text"))
+    return hit.withColumn("text", text).select(*docs.columns)
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.shared import broadcast_if, write_shared
-from ._text import mix, shingle_hashes, slices, small_batches, word_hashes
+from ._text import mix, shingle_hashes, slices, small_batches, spare_names, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 24
@@ -292,14 +292,13 @@ def jaccard_groups(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRE
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest id; rows equal in id and text count as one."""
+    own, key, row, twice = spare_names(docs, "own", "key", "row", "twice")
     gone = jaccard_groups(docs, **options).groupBy("doc_id", "row_hash").agg(F.max("keeps").alias("keeps")).where("not keeps")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
-    own = docs.withColumn("__own", F.xxhash64("text"))
-    kept = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_anti")
+    gone = gone.select(F.col("doc_id").alias(key), F.col("row_hash").alias(row))
+    kept = docs.withColumn(own, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(row)), "left_anti")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         worded = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")) > 0
-        twice = F.when(worded, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
-        kept = kept.withColumn("__twice", twice).dropDuplicates(["doc_id", "__own", "__twice"])
+        kept = kept.withColumn(twice, F.when(worded, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())).dropDuplicates(["doc_id", own, twice])
     return kept.select(*docs.columns)
 
 
