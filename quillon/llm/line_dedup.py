@@ -10,12 +10,15 @@ of (doc_id, row hash, line). Steps:
    long hold an equal window, so they share a fingerprint.
 2. The places of fingerprints are joined: a window goes on only if the line of its
    fingerprint stands at two places or more.
-3. Windows of equal hashes are matches with the first place that holds them. Each is
+3. Windows of equal lines are matches with the first place that holds them. Each is
    extended: the windows that begin at a matched place and end at each later line are
    compared in the same way, which carries a match to the last line of its run (its
    first line begins a window of its own).
 4. Lines under a match are merged into runs and deleted, but at the first place.
 
+No match rests on a hash: all texts of a line hash are compared, those that share one
+are numbered, and windows are compared as lists of at most ``min_words`` such lines.
+
 Lines, fingerprints and windows that stand at very many places are counted before
 they are joined, and joined by broadcast, so no task holds all places of one.
 
@@ -28,59 +31,82 @@ by place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import join_hot, write_shared
+from ..plans.shared import BROADCAST_BYTES, HOT_KEYS, broadcast_if, join_hot, write_shared
 
 WORD = r"[^\x20\x09-\x0D]+"
 TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 MIN_WORDS = 50
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, line, n, h, q, p): lines with words, with the words before and up to each."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
+def split_lines(docs: DataFrame, line_hash: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, row_hash, line, n, h, body): lines with words, trimmed, their words and hash."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).where(F.col("s").rlike(WORD))
     body = F.regexp_replace("s", TRIM, "")
-    rows = rows.select("doc_id", "row_hash", "line", F.regexp_count("s", F.lit(WORD)).alias("n"), F.xxhash64(body).alias("h")).where("n > 0")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "doc_id", "row_hash").dropDuplicates(["doc_id", "row_hash", "line"])
+    return rows.select("doc_id", "row_hash", "line", F.regexp_count("s", F.lit(WORD)).alias("n"), line_hash(body).alias("h"), body.alias("body"))
+
+
+def line_places(rows: DataFrame) -> DataFrame:
+    """(h, places, texts): hashes of lines that stand at two places or more, and how many texts have them."""
+    texts = rows.groupBy("h", "body").agg(F.count("*").alias("places"))
+    return write_shared(texts.groupBy("h").agg(F.sum("places").alias("places"), F.count("*").alias("texts")).where("places > 1"), "places")
+
+
+def with_line_id(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``rows`` with ``id``, which is equal just where the lines' texts are: the hash, and where texts share one, their number in it too."""
+    shared = places.where("texts > 1").select("h")
+    if not shared.take(1):
+        return rows.withColumn("id", F.col("h"))
+    texts = rows.join(broadcast_if(shared, HOT_KEYS), "h", "left_semi").select("h", "body").distinct()
+    texts = write_shared(texts.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("body"))), "clashes")
+    rows = rows.join(broadcast_if(texts, HOT_KEYS, BROADCAST_BYTES), ["h", "body"], "left")
+    return rows.withColumn("id", F.struct("h", F.coalesce("k", F.lit(0)).alias("k")))
+
+
+def line_table(rows: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, line, n, h, id, q, p): each place once, with the words before and up to each."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("doc_id", "row_hash", "line", "n", "h", "id").repartition(n, "doc_id", "row_hash").dropDuplicates(["doc_id", "row_hash", "line"])
     order = Window.partitionBy("doc_id", "row_hash").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("p", F.sum("n").over(order))
     return rows.withColumn("q", F.col("p") - F.col("n"))
 
 
 def _matches(windows: DataFrame) -> DataFrame:
-    """``windows(doc_id, row_hash, w, a, b)`` of which there are two or more, with ``at``, the first place."""
+    """``windows(doc_id, row_hash, w, a, b)`` of which there are two or more, with ``at``, the first place; ``w`` lists the lines."""
     firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "row_hash", "a")).alias("at"), F.count("*").alias("n")).where("n > 1")
-    return write_shared(join_hot(windows, firsts, ["w"]).select("doc_id", "row_hash", "a", "b", "at"), "matches")
+    return write_shared(join_hot(windows, write_shared(firsts, "firsts"), ["w"]).select("doc_id", "row_hash", "a", "b", "at"), "matches")
 
 
-def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, line_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, row_hash, runs): the lines to delete, as (first, last) pairs in order."""
     own = ["doc_id", "row_hash"]
     ahead = Window.partitionBy(*own).orderBy("q").rangeBetween(0, min_words - 1)
     behind = Window.partitionBy(*own).orderBy("p").rangeBetween(-(min_words - 1), 0)
-    lines = line_table(docs)
+    rows = split_lines(docs, line_hash)
+    places = line_places(rows)
+    lines = line_table(with_line_id(rows, places))
     lines = (
         lines.withColumn("to", F.max(F.struct("q", "line", "p")).over(ahead))
-        .withColumn("mark", F.min(F.struct("h", "q")).over(ahead))
-        .withColumn("ahead", F.xxhash64(F.collect_list("h").over(ahead), F.lit(1)))
+        .withColumn("mark", F.min("h").over(ahead))
+        .withColumn("ahead", F.collect_list("id").over(ahead))
         .withColumn("frm", F.min(F.struct("p", "line", "q")).over(behind))
-        .withColumn("behind", F.xxhash64(F.collect_list("h").over(behind), F.lit(1)))
+        .withColumn("behind", F.collect_list("id").over(behind))
         .withColumn("is_ahead", F.col("to.p") - F.col("q") >= min_words)
         .withColumn("is_behind", F.col("p") - F.col("frm.q") >= min_words)
     )
     lines = write_shared(
-        lines.select(*own, "line", "h", "q", "p", F.when(F.col("is_ahead"), F.col("mark.h")).alias("mark"), F.when(F.col("is_ahead"), F.col("to.line")).alias("last"), F.when(F.col("is_ahead"), F.col("ahead")).alias("ahead"), F.when(F.col("is_behind"), F.col("frm.line")).alias("first"), F.when(F.col("is_behind"), F.col("behind")).alias("behind")),
+        lines.select(*own, "line", F.when(F.col("is_ahead"), F.col("mark")).alias("mark"), F.when(F.col("is_ahead"), F.col("to.line")).alias("last"), F.when(F.col("is_ahead"), F.col("ahead")).alias("ahead"), F.when(F.col("is_behind"), F.col("frm.line")).alias("first"), F.when(F.col("is_behind"), F.col("behind")).alias("behind")),
         "lines",
     )
     # Fingerprints whose line stands at two places or more.
-    marks = lines.where("mark is not null").select(F.col("mark").alias("h")).distinct()
-    places = lines.groupBy("h").agg(F.count("*").alias("places")).where("places > 1").join(marks, "h", "left_semi")
     held = lines.where("ahead is not null").groupBy("mark").agg(F.count("*").alias("n"))
-    places = places.withColumnRenamed("h", "mark").join(held, "mark").select("mark", "n")
-    fore = join_hot(lines.where("ahead is not null"), places, ["mark"])
+    marks = write_shared(held.join(places.select(F.col("h").alias("mark")), "mark"), "marks")
+    fore = join_hot(lines.where("ahead is not null"), marks, ["mark"])
     found = _matches(write_shared(fore.select(*own, F.col("ahead").alias("w"), F.col("line").alias("a"), F.col("last").alias("b")), "fore"))
     # Windows that begin at a match and reach on to each later line.
     starts = found.select(F.col("doc_id").alias("i"), F.col("row_hash").alias("r"), F.col("a").alias("first"))
@@ -96,10 +122,10 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, line_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from its texts, and ``deleted_runs``."""
     docs = docs.drop("deleted_runs")
-    runs = repeated_runs(docs, min_words=min_words).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), F.col("runs").alias("deleted_runs"))
+    runs = repeated_runs(docs, min_words=min_words, line_hash=line_hash).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), F.col("runs").alias("deleted_runs"))
     hit = docs.withColumn("__own", F.xxhash64("text")).join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("deleted_runs", lambda r: (r["a"] <= i) & (r["b"] >= i)))

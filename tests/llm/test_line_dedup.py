@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from quillon.llm import line_dedup
 
 
@@ -34,6 +36,17 @@ def test_equals_all_pairs_of_places(spark, small):
         assert deleted(line_dedup.dedup_lines(docs, min_words=least)) == brute(rows, least)
 
 
+def test_lines_of_one_hash_are_told_by_their_text(spark):
+    """With a hash of three values every line meets others of its hash; only equal texts are deleted."""
+    words = [f"line {i} of a passage that counts" for i in range(9)]
+    other = [f"line {i} of a passage that counted" for i in range(9)]
+    texts = ["\n".join(words), "\n".join(other), "\n".join(words[1:]), "\n".join(other[:8] + words[:1]), "\n".join(words[:4] + other[4:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weak = lambda c: F.length(c).cast("long") % 3
+    for least in (20, 50):
+        assert deleted(line_dedup.dedup_lines(docs, min_words=least, line_hash=weak)) == brute(list(enumerate(texts)), least)
+
+
 def test_odd_rows(odd, none, spark):
     out = line_dedup.dedup_lines(odd).collect()
     assert len(out) == odd.count()
