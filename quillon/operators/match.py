@@ -247,7 +247,7 @@ def _near_names(docs: DataFrame, terms: DataFrame, max_ngram: int, stopwords: Se
     scored. A window's phrase is the first words of the longest one at its place.
     """
     words, most = docs.select(_words(F.col("text"), T.TOKEN_CHARS).alias("words")), F.lit(max_ngram)
-    longest = lambda x, j: F.when(~x.isin(*stopwords), F.struct(F.array_join(F.slice("words", j + 1, most), " ").alias("long"), F.least(most, F.size("words") - j).alias("n")))
+    longest = lambda x, j: F.when(~x.isin(*stopwords), F.struct(F.concat_ws(" ", *[F.get("words", j + k) for k in range(max_ngram)]).alias("long"), F.least(most, F.size("words") - j).alias("n")))
     places = words.select(F.explode(F.transform("words", longest)).alias("x")).where("x is not null and x.n > 1").select("x.*")
     first = lambda m: F.call_function("substring_index", F.col("long"), F.lit(" "), m)
     phrases = places.select(F.explode(F.transform(F.sequence(F.lit(2), F.col("n")), first)).alias("phrase")).where(~F.substring_index("phrase", " ", -1).isin(*stopwords))
@@ -308,10 +308,32 @@ def annotate_ngram(docs: DataFrame, terms: DataFrame, *, alias: DataFrame | None
 
 
 def candidate_phrases(docs: DataFrame, *, max_ngram: int = 5, limit: int = 80) -> DataFrame:
-    """(doc_id, rank, phrase): distinct phrases, longest first, not general ones."""
-    w = phrase_windows(docs, max_ngram, T.NGRAM_STOPWORDS, T.TOKEN_CHARS_NO_SLASH).withColumn("phrase", F.array_join("words", " "))
-    w = w.where((F.length("phrase") >= 3) & ~T.is_generic(F.col("phrase"))).select("doc_id", "phrase", F.size("words").alias("n")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc(F.length("phrase")), "phrase")
+    """(doc_id, rank, phrase): distinct phrases, longest first, not general ones.
+
+    A document's windows are cut, told apart and ranked in its own row, so no window is
+    shuffled.
+    Texts of one id, where there are any, are ranked together from their rows' phrases.
+    """
+    words = _words(F.col("text"), T.TOKEN_CHARS_NO_SLASH)
+    rows = docs.select("doc_id", words.alias("w")).withColumn("ok", F.transform("w", lambda x: ~x.isin(*T.NGRAM_STOPWORDS)))
+    kind = "array<struct<n: int, size: int, phrase: string>>"
+
+    def best(n: int) -> Column:
+        # A slice inside a lambda would copy the whole array for each window.
+        cut = lambda i: F.when(F.get("ok", i) & F.get("ok", i + (n - 1)), F.concat_ws(" ", *[F.get("w", i + k) for k in range(n)]))
+        windows = F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)), cut)
+        kept = F.filter(F.array_distinct(windows), lambda x: (F.length(x) >= 3) & ~T.is_generic(x))
+        ranked = F.array_sort(F.transform(kept, lambda x: F.struct(F.lit(-n).alias("n"), (-F.length(x)).alias("size"), x.alias("phrase"))))
+        return F.coalesce(F.slice(ranked, 1, limit), F.array().cast(kind))
+
+    ranked = [best(n) for n in range(max_ngram, 0, -1)]
+    rows = rows.withColumn("found", F.slice(F.concat(*ranked), 1, limit))
+    rows = rows.select("doc_id", "found")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # Outer, as in token_rows: a filter on the array's size would make it anew with its parts inlined.
+        return rows.select("doc_id", F.posexplode_outer("found").alias("rank", "x")).where("x is not null").select("doc_id", (F.col("rank") + 1).alias("rank"), "x.phrase")
+    order = Window.partitionBy("doc_id").orderBy("n", "size", "phrase")
+    w = rows.select("doc_id", F.explode_outer("found").alias("x")).where("x is not null").select("doc_id", "x.*").distinct()
     return w.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("doc_id", "rank", "phrase")
 
 
