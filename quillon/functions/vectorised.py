@@ -62,14 +62,51 @@ def common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best[:, -1]
 
 
+#: Kinds into which letters are folded: for counts, and for masks of places.
+COUNTED, MASKED = 32, 64
+#: Pairs that are judged at once, few enough for their arrays to stay in the processor's cache.
+JUDGED = 1 << 14
+
+
+def letter_counts(a: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many letters of each of COUNTED kinds stand in each row of ``a`` where ``own``; folded, so two rows share at least as many as their texts."""
+    row, column = np.nonzero(own)
+    counts = np.bincount(row * COUNTED + a[row, column] % COUNTED, minlength=len(a) * COUNTED)
+    return counts.reshape(-1, COUNTED).astype(np.uint8 if a.shape[1] < 256 else np.int32)
+
+
+def letter_masks(a: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The places of each of MASKED kinds of letters in each row of ``a`` where ``own``, as bits; rows of up to 64 letters."""
+    masks = np.zeros((len(a), MASKED), np.uint64)
+    for place in range(min(a.shape[1], 64)):
+        row = np.nonzero(own[:, place])[0]
+        masks[row, a[row, place] % MASKED] |= np.uint64(1 << place)
+    return masks
+
+
+def common_kinds(a: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """common_letters of each row of ``a`` and the text of its ``masks``, by kinds of letters and so never less; a cell of its table is a bit."""
+    flat, base, left = masks.reshape(-1), np.arange(len(a)) * MASKED, np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for x in a.T:
+        met = flat[base + x % MASKED] & left
+        left = (left + met) | (left - met)
+    return np.bitwise_count(~left).astype(np.int64)
+
+
 class PartIndex:
-    """Names by the parts of phrases that may be close to them; see match.best_fuzzy."""
+    """Names by the parts of phrases that may be close to them; see match.best_fuzzy.
+
+    A pair of equal parts is judged by the letters in common, then by a longest common
+    subsequence; both may say too much, never too little.
+    """
 
     def __init__(self, rows: pd.DataFrame, threshold: float):
         self.names, number = np.unique(rows["name_lc"].to_numpy(str), return_inverse=True)
         self.sizes = np.char.str_len(self.names)
         self.letters = letters(self.names.tolist(), int(self.sizes.max(initial=1)))
-        self.letters[np.arange(self.letters.shape[1]) >= self.sizes[:, None]] = 0xFFFFFFFF
+        own = np.arange(self.letters.shape[1]) < self.sizes[:, None]
+        self.letters[~own] = 0xFFFFFFFF
+        self.counts, self.masks = letter_counts(self.letters, own), letter_masks(self.letters, own)
         self.threshold = threshold
         self.parts: dict[int, list] = {}
         table = rows.assign(number=number, size=rows["part"].str.len())
@@ -94,12 +131,28 @@ class PartIndex:
             n = np.searchsorted(keys, h, side="right") - low
             row = np.repeat(np.arange(len(a)), n)
             found.append(row * len(self.names) + numbers[np.arange(len(row)) - np.repeat(np.cumsum(n) - n - low, n)])
-        row, name = np.divmod(np.unique(np.concatenate(found)), len(self.names)) if found else (np.zeros(0, int),) * 2
-        close, step = np.zeros(len(row), bool), max(1, (1 << 22) // self.letters.shape[1])
-        for i in range(0, len(row), step):
-            own = name[i : i + step]
-            close[i : i + step] = 2.0 * common_letters(a[row[i : i + step]], self.letters[own]) >= (self.threshold - 1e-9) * (lp + self.sizes[own])
-        return [phrases[i] for i in row[close]], self.names[name[close]].tolist()
+        met, counts, close = np.concatenate(found) if found else np.zeros(0, int), letter_counts(a, np.ones(a.shape, bool)), []
+        for i in range(0, len(met), JUDGED):
+            row, name = np.divmod(met[i : i + JUDGED], len(self.names))
+            shared = np.minimum(counts[row], self.counts[name]).sum(1, dtype=np.int64)
+            likely = shared >= self.needed(lp, name)
+            close.append(met[i : i + JUDGED][likely])
+        row, name = np.divmod(np.unique(np.concatenate(close)), len(self.names)) if close else (np.zeros(0, int),) * 2
+        likely = np.zeros(len(row), bool)
+        for i in range(0, len(row), JUDGED):
+            part = slice(i, i + JUDGED)
+            likely[part] = self.common(a[row[part]], name[part]) >= self.needed(lp, name[part])
+        return [phrases[i] for i in row[likely]], self.names[name[likely]].tolist()
+
+    def needed(self, lp: int, name: np.ndarray) -> np.ndarray:
+        """Letters that a phrase of ``lp`` letters must have in common with each name."""
+        return (self.threshold - 1e-9) * (lp + self.sizes[name]) / 2
+
+    def common(self, a: np.ndarray, name: np.ndarray) -> np.ndarray:
+        n, long = common_kinds(a, self.masks[name]), self.sizes[name] > 64
+        if long.any():
+            n[long] = common_letters(a[long], self.letters[name[long]])
+        return n
 
 
 def near_pairs(phrases: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
