@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import parts_for
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.nullif(b, F.lit(0))).otherwise(0.0)
@@ -18,15 +20,22 @@ def _prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
 
 
 def score_cases(predictions: DataFrame, gold: DataFrame, cases: DataFrame, methods: DataFrame) -> DataFrame:
-    """(method, case_id, lang, difficulty, tp, fp, fn) for every method and case."""
-    grid = cases.select("case_id", "lang", "difficulty").join(F.broadcast(methods.select("method").distinct()))  # a few rows
-    p = predictions.select("method", "case_id", "term_id").distinct().withColumn("p", F.lit(1))
-    g = gold.select("case_id", "term_id").distinct().join(F.broadcast(methods.select("method").distinct())).withColumn("g", F.lit(1))
-    both = p.join(g, ["method", "case_id", "term_id"], "full_outer")
+    """(method, case_id, lang, difficulty, tp, fp, fn) for every method and case.
+
+    Predictions and gold ids are rows of one table, which is dealt by method and case
+    into as many partitions as its rows ask for, so a task's share does not grow with
+    the input. Ids that are null match none.
+    """
+    few = F.broadcast(methods.select("method").distinct())  # a few rows
+    p = predictions.join(few, "method", "left_semi").select("method", "case_id", "term_id", F.lit(True).alias("p"), F.lit(False).alias("g"))
+    g = gold.join(few).select("method", "case_id", "term_id", F.lit(False).alias("p"), F.lit(True).alias("g"))
+    parts = max(parts_for(p.count() + g.count()), predictions.sparkSession.sparkContext.defaultParallelism)
+    grid = cases.select("case_id", "lang", "difficulty").join(few).repartition(parts, "method", "case_id")
+    both = p.unionByName(g).repartition(parts, "method", "case_id").groupBy("method", "case_id", "term_id").agg(F.max("p").alias("p"), F.max("g").alias("g"))
     one = lambda cond: F.count(F.when(cond, 1))
-    has_p, has_g = F.col("p").isNotNull(), F.col("g").isNotNull()
-    n = both.groupBy("method", "case_id").agg(one(has_p & has_g).alias("tp"), one(has_p & ~has_g).alias("fp"), one(~has_p & has_g).alias("fn"))
-    return grid.join(n, ["method", "case_id"], "left").fillna(0, ["tp", "fp", "fn"])
+    met = F.col("p") & F.col("g") & F.col("term_id").isNotNull()
+    n = both.groupBy("method", "case_id").agg(one(met).alias("tp"), one(F.col("p") & ~met).alias("fp"), one(F.col("g") & ~met).alias("fn"))
+    return grid.join(n, ["method", "case_id"], "left").select("method", "case_id", "lang", "difficulty", "tp", "fp", "fn").fillna(0, ["tp", "fp", "fn"])
 
 
 def case_ids(predictions: DataFrame, gold: DataFrame) -> DataFrame:
