@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import parts_for
 
 
 @dataclass(frozen=True)
@@ -86,10 +87,15 @@ def merge_two_sources(literal: DataFrame, model: DataFrame, *, threshold: float
 
 
 def retrieve_candidates(dict_hits: DataFrame, vector_hits: DataFrame, *, k: int = 12, threshold: float = 0.70) -> DataFrame:
-    """(doc_id, term_id, score, source, rank): per term the better of both sources, the k best."""
+    """(doc_id, term_id, score, source, rank): per term the better of both sources, the k best.
+
+    Hits are dealt by document into as many partitions as their rows ask for.
+    """
     a = dict_hits.where(~T.is_generic(F.col("span"))).select("doc_id", "term_id", "score", F.lit("dict").alias("source"))
     b = vector_hits.where(F.col("score") >= threshold).select("doc_id", "term_id", "score", F.lit("vector").alias("source"))
-    best = a.unionByName(b).groupBy("doc_id", "term_id").agg(F.max_by(F.struct("score", "source"), F.struct("score", F.when(F.col("source") == "dict", 1).otherwise(0))).alias("x"))
+    hits = a.unionByName(b)
+    hits = hits.repartition(max(parts_for(hits.count()), hits.sparkSession.sparkContext.defaultParallelism), "doc_id")
+    best = hits.groupBy("doc_id", "term_id").agg(F.max_by(F.struct("score", "source"), F.struct("score", F.when(F.col("source") == "dict", 1).otherwise(0))).alias("x"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("x.score"), "term_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", "term_id", "x.score", "x.source", "rank")
 

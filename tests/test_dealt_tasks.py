@@ -1,7 +1,7 @@
 """Tasks whose share does not grow with the input."""
 
 import quillon.plans.shared as shared
-from quillon.operators import metrics
+from quillon.operators import fusion, metrics
 
 
 def test_cases_are_dealt_by_rows_and_null_ids_match_none(spark, monkeypatch):
@@ -13,3 +13,12 @@ def test_cases_are_dealt_by_rows_and_null_ids_match_none(spark, monkeypatch):
     assert out.rdd.getNumPartitions() > 80  # 181 rows
     rows = sorted(map(tuple, out.collect()))
     assert rows == [("m", c, "en", "d", 1, 1, 2) for c in range(30)] + [("m", 30, "en", "d", 0, 0, 0)]
+
+
+def test_candidates_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "DEALT_ROWS", 2)
+    hits = spark.createDataFrame([(d, d % 4, 0.9, f"s{d}") for d in range(100)], "doc_id int, term_id int, score double, span string")
+    near = spark.createDataFrame([(d, d % 4, 0.95, "x") for d in range(50)], "doc_id int, term_id int, score double, span string")
+    out = fusion.retrieve_candidates(hits, near)
+    assert out.rdd.getNumPartitions() > 70  # 150 rows
+    assert sorted(map(tuple, out.collect())) == [(d, d % 4, *((0.95, "vector") if d < 50 else (0.9, "dict")), 1) for d in range(100)]
