@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import write_shared
+
 
 def _limited(edges: DataFrame, by: str, n: int) -> DataFrame:
     """At most n edges of each query, in total order."""
@@ -81,8 +83,12 @@ def limit_graph(nodes: DataFrame, edges: DataFrame, n_nodes: int = 200, n_edges:
 
 
 def question_graph(papers: DataFrame, edges: DataFrame, *, seed_limit: int = 20, **limits) -> DataFrame:
-    """The graph around the terms of a question's papers: edges among them, by two steps where there are none, then their genes, papers and traits."""
-    seeds = seeds_from_papers(papers, edges, limit=seed_limit)
+    """The graph around the terms of a question's papers: edges among them, by two steps where there are none, then their genes, papers and traits.
+
+    Edges and seeds are read by each of these steps, so both are made once.
+    """
+    edges = write_shared(edges, "graph-edges")
+    seeds = write_shared(seeds_from_papers(papers, edges, limit=seed_limit), "graph-seeds")
     ways = two_hop_edges(seeds, edges).select("query_id", "src", F.lit("GO_Term").alias("src_type"), "dst", F.lit("GO_Term").alias("dst_type"), "relationship")
     around = graph_neighbourhood(seeds, edges, **limits)
     return ways.unionByName(around.select(*ways.columns)).distinct()
