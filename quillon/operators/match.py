@@ -357,10 +357,14 @@ def normalize_terms(mentions: DataFrame, terms: DataFrame, *, alias: DataFrame,
     return out.select("mention", F.coalesce("by_name", "by_id", "by_near").alias("term_id"), how.alias("how"))
 
 
+def words_of(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))
+
+
 def word_overlap(phrase: Column, name: Column) -> Column:
     """Share of the name's distinct words that stand in the phrase."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    return F.size(F.array_intersect(words(phrase), words(name))) / F.greatest(F.size(words(name)), F.lit(1))
+    return F.size(F.array_intersect(words_of(phrase), words_of(name))) / F.greatest(F.size(words_of(name)), F.lit(1))
 
 
 def score_normalized(normalized: DataFrame, *, min_overlap: float = 0.5) -> DataFrame:
