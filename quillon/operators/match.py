@@ -124,6 +124,20 @@ def _windows_of_names(docs: DataFrame, names: DataFrame, max_n: int, stopwords:
     return hit.select("doc_id", (F.col("j") - F.col("a")).alias("i"), (F.col("m") + F.col("a") + F.col("b")).alias("n"), "m", *[c for c in names.columns if c != "n_tokens"], (F.col("start") - F.length("before")).alias("win_start"), "window")
 
 
+def docs_of_names(docs: DataFrame, names: DataFrame, max_n: int, stopwords: Sequence[str]) -> DataFrame:
+    """(doc_id, name_lc, term_id), distinct: the names whose words stand in a document, as ``_windows_of_names`` finds them.
+
+    Nothing is asked of their places, so words are cut once and no offset or text around them is made.
+    """
+    words = docs.select("doc_id", _words(F.col("text"), T.TOKEN_CHARS).alias("words"))
+    place = lambda x, j: F.when(~x.isin(*stopwords), F.struct(x.alias("head"), F.concat_ws(" ", *[F.get("words", j + k) for k in range(max_n)]).alias("long"), F.least(F.lit(max_n), F.size("words") - j).alias("n")))
+    rows = words.select("doc_id", F.explode_outer(F.transform("words", place)).alias("x")).where("x is not null").select("doc_id", "x.*")
+    heads = names.select(F.substring_index("name_lc", " ", 1).alias("head")).distinct()
+    rows = rows.join(_held(heads), "head", "left_semi").select("doc_id", "long", F.explode(F.sequence(F.lit(1), "n")).alias("m"))
+    rows = rows.select("doc_id", F.call_function("substring_index", F.col("long"), F.lit(" "), F.col("m")).alias("name_lc"))
+    return rows.where(~F.substring_index("name_lc", " ", -1).isin(*stopwords)).join(_held(names), "name_lc").select("doc_id", "name_lc", "term_id").distinct()
+
+
 def _with_spans(hits: DataFrame, pad: bool) -> DataFrame:
     """Hits with the offsets of the window (win_start, win_end) and of the span (start, end).
 
