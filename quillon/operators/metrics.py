@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import parts_for
+from ..plans.shared import parts_unsorted
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -23,13 +23,13 @@ def score_cases(predictions: DataFrame, gold: DataFrame, cases: DataFrame, metho
     """(method, case_id, lang, difficulty, tp, fp, fn) for every method and case.
 
     Predictions and gold ids are rows of one table, which is dealt by method and case
-    into as many partitions as its rows ask for, so a task's share does not grow with
-    the input. Ids that are null match none.
+    into as many partitions as its rows ask for, so a task's share is bounded, and into
+    so few that the rows dealt out are not held to be sorted. Ids that are null match none.
     """
     few = F.broadcast(methods.select("method").distinct())  # a few rows
     p = predictions.join(few, "method", "left_semi").select("method", "case_id", "term_id", F.lit(True).alias("p"), F.lit(False).alias("g"))
     g = gold.join(few).select("method", "case_id", "term_id", F.lit(False).alias("p"), F.lit(True).alias("g"))
-    parts = max(parts_for(p.count() + g.count()), predictions.sparkSession.sparkContext.defaultParallelism)
+    parts = max(parts_unsorted(p.count() + g.count()), predictions.sparkSession.sparkContext.defaultParallelism)
     grid = cases.select("case_id", "lang", "difficulty").join(few).repartition(parts, "method", "case_id")
     both = p.unionByName(g).repartition(parts, "method", "case_id").groupBy("method", "case_id", "term_id").agg(F.max("p").alias("p"), F.max("g").alias("g"))
     one = lambda cond: F.count(F.when(cond, 1))
