@@ -76,6 +76,40 @@ def token_rows(docs: DataFrame, reach: int, chars: str = T.TOKEN_CHARS) -> DataF
     return rows.select("doc_id", "j", (F.col("x.at") + F.col("x.gap")).alias("start"), "x.t", "x.ahead", "x.behind")
 
 
+#: Tokens of a piece of ``token_pieces``, at least.
+PIECE = 8
+
+
+def token_pieces(docs: DataFrame, reach: int, chars: str = T.TOKEN_CHARS) -> DataFrame:
+    """(doc_id, j, k, t, at, piece, prev, next): every token with the piece of text it stands in and those around it.
+
+    A text is cut once into pieces of as many tokens as a window reaches, each with the
+    gaps before them, so a token's offset and what stands around it can be made from
+    three pieces, and only for the tokens that are asked for (``around``). It is the
+    k-th of its piece, which starts at ``at``.
+    """
+    size, gap, token = max(PIECE, reach), f"[^{chars}]*+", f"[{chars}]++"
+    rows = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?U)((?:{gap}{token}){{1,{size}}}+)"), F.lit(1)).alias("pieces"))
+    rows = rows.select("*", F.transform("pieces", F.length).alias("lengths"))
+    before, inside = _ends("lengths")
+    rows = rows.select("*", before.alias("before"))
+    zipped = F.arrays_zip(inside.alias("at"), F.col("pieces").alias("piece"), F.slice(F.concat(F.array(F.lit("")), "pieces"), F.lit(1), F.size("pieces")).alias("prev"), F.slice("pieces", 2, F.size("pieces")).alias("next"))
+    rows = rows.select("doc_id", zipped.alias("all"))
+    # Outer, as in token_rows.
+    rows = rows.select("doc_id", F.posexplode_outer("all").alias("b", "x")).where("x is not null").select("doc_id", "b", "x.*")
+    rows = rows.select("*", F.posexplode_outer(F.regexp_extract_all("piece", F.lit(f"(?U)([{chars}]+)"), F.lit(1))).alias("k", "t")).where("t is not null")
+    return rows.select("doc_id", (F.col("b") * size + F.col("k")).alias("j"), "k", "t", "at", "piece", "prev", F.coalesce("next", F.lit("")).alias("next"))
+
+
+def around(rows: DataFrame, reach: int, chars: str = T.TOKEN_CHARS) -> DataFrame:
+    """Tokens of ``token_pieces`` with ``start``, ``near``, the text from the token through ``reach`` more, and ``upto``, the text of at least as many before it."""
+    gap, token = f"[^{chars}]", f"[{chars}]"
+    lead = F.coalesce(*[F.when(F.col("k") == k, F.regexp_substr("piece", F.lit(f"^(?U)(?:{gap}*+{token}++){{{k}}}{gap}*+"))) for k in range(max(PIECE, reach))], F.lit(""))
+    rows = rows.withColumn("lead", lead).withColumn("rest", F.concat(F.substring("piece", F.length("lead") + 1, F.length("piece")), "next"))
+    near = F.regexp_substr("rest", F.lit(f"^(?U){token}++(?:{gap}++{token}++){{0,{reach}}}+"))
+    return rows.withColumn("near", near).withColumn("start", F.col("at") + F.length("lead")).withColumn("upto", F.concat("prev", "lead")).drop("at", "piece", "prev", "next", "k", "lead", "rest")
+
+
 def _words(text: Column, chars: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"(?U)([{chars}]+)"), F.lit(1))
 
@@ -104,16 +138,20 @@ def phrase_windows(docs: DataFrame, max_n: int, stopwords: Sequence[str], chars:
 def _windows_of_names(docs: DataFrame, names: DataFrame, max_n: int, stopwords: Sequence[str]) -> DataFrame:
     """Windows whose trimmed phrase is a name, with the name's columns, offset and text.
 
-    Only the tokens that start a name go on; their windows are then widened by the
-    stopwords around them, so no row is made for the other positions.
+    Only the tokens that start a name go on, and are read through as many words as a name
+    of theirs has; their windows are then widened by the stopwords around them, so no row
+    is made for the other positions.
     """
-    rows = token_rows(docs, max_n - 1).withColumn("head", F.lower("t"))
-    heads = names.select(F.substring_index("name_lc", " ", 1).alias("head")).distinct()
-    rows = rows.where(~F.col("head").isin(*stopwords)).join(_held(heads), "head", "left_semi")
-    rows = rows.withColumn("near", F.concat("t", "ahead")).withColumn("words", _words(F.col("near"), T.TOKEN_CHARS))
-    rows = rows.withColumn("m", F.explode(F.sequence(F.lit(1), F.size("words"))))
+    reach = max_n - 1
+    rows = token_pieces(docs, reach).withColumn("head", F.lower("t"))
+    n_words = F.size(F.split("name_lc", " "))
+    heads = names.where(n_words <= max_n).groupBy(F.substring_index("name_lc", " ", 1).alias("head")).agg(F.collect_set(n_words).alias("sizes"))
+    rows = around(rows.where(~F.col("head").isin(*stopwords)).join(_held(heads), "head"), reach)
+    rows = rows.withColumn("words", _words(F.col("near"), T.TOKEN_CHARS))
+    rows = rows.withColumn("m", F.explode("sizes")).where(F.col("m") <= F.size("words")).drop("sizes")
     rows = rows.withColumn("name_lc", F.array_join(F.slice("words", F.lit(1), F.col("m")), " "))
     hit = rows.join(_held(names), "name_lc").where(~F.element_at("words", F.col("m")).isin(*stopwords))
+    hit = hit.withColumn("behind", F.coalesce(F.regexp_substr(F.reverse("upto"), F.lit(f"^(?U)(?:[^{T.TOKEN_CHARS}]+[{T.TOKEN_CHARS}]+){{0,{reach}}}")), F.lit("")))
     hit = hit.withColumn("back", F.transform(_words(F.col("behind"), T.TOKEN_CHARS), lambda x: F.reverse(x)))
     run = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & x.isin(*stopwords), 1).otherwise(0)).alias("n"), (a["on"] & x.isin(*stopwords)).alias("on")))["n"]
     hit = hit.withColumn("left", run(F.col("back"))).withColumn("right", run(F.slice("words", F.col("m") + 1, F.greatest(F.size("words") - F.col("m"), F.lit(0)))))
