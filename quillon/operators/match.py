@@ -469,17 +469,19 @@ def overlaps(spans: DataFrame, hits: DataFrame, width: int = BIN) -> DataFrame:
 
     Both sides are dealt to the bins that they touch and meet there; a pair counts in
     the first bin that both touch. So a span meets what lies near it and not all hits
-    of its document, and the parts of a long document are worked on apart. Spans without
+    of its document, and the parts of a long document are worked on apart. Only places
+    go to the bins: a long span's text is not repeated in each of its own. Spans without
     a hit have 0; empty spans and hits touch nothing.
     """
+    place = ["doc_id", "start", "end"]
     bins = lambda a, b: F.explode_outer(F.when(b > a, F.sequence((a / width).cast("int"), ((b - 1) / width).cast("int"))))
-    s = spans.withColumn("bin", bins(F.col("start"), F.col("end")))
+    s = spans.select(*place).where("end > start").distinct().withColumn("bin", bins(F.col("start"), F.col("end")))
     h = hits.select(F.col("doc_id").alias("hid"), F.col("start").alias("hs"), F.col("end").alias("he")).where("he > hs")
     h = h.withColumn("hbin", bins(F.col("hs"), F.col("he")))
-    both = s.join(h, (F.col("doc_id") == F.col("hid")) & (F.col("bin") == F.col("hbin")) & (F.col("hs") < F.col("end")) & (F.col("he") > F.col("start")), "left")
-    counts = F.col("hid").isNotNull() & (F.col("bin") == (F.greatest("start", "hs") / width).cast("int"))
-    cover = F.sum(F.when(counts, F.least("end", "he") - F.greatest("start", "hs")).otherwise(0))
-    return both.groupBy(*spans.columns).agg(cover.alias("covered"))
+    both = s.join(h, (F.col("doc_id") == F.col("hid")) & (F.col("bin") == F.col("hbin")) & (F.col("hs") < F.col("end")) & (F.col("he") > F.col("start")))
+    cover = F.sum(F.least("end", "he") - F.greatest("start", "hs"))
+    covered = both.where(F.col("bin") == (F.greatest("start", "hs") / width).cast("int")).groupBy(*place).agg(cover.alias("covered"))
+    return spans.join(covered, place, "left").select(*spans.columns, F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
 def uncovered_sentences(docs: DataFrame, hits: DataFrame, *, most: float = 0.6) -> DataFrame:
