@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, StructField, StructType
@@ -93,7 +94,29 @@ def common_kinds(a: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~left).astype(np.int64)
 
 
-class PartIndex:
+class NameLetters:
+    """Names as letters, for how many a text has in common with them, in order; it may say too many, never too few."""
+
+    def __init__(self, names: np.ndarray, threshold: float):
+        self.names, self.threshold = names, threshold
+        self.sizes = np.char.str_len(self.names)
+        self.letters = letters(self.names.tolist(), int(self.sizes.max(initial=1)))
+        self.own = np.arange(self.letters.shape[1]) < self.sizes[:, None]
+        self.letters[~self.own] = 0xFFFFFFFF
+        self.masks = letter_masks(self.letters, self.own)
+
+    def needed(self, lp: np.ndarray | int, name: np.ndarray) -> np.ndarray:
+        """Letters that a phrase of ``lp`` letters must have in common with each name."""
+        return (self.threshold - 1e-9) * (lp + self.sizes[name]) / 2
+
+    def common(self, a: np.ndarray, name: np.ndarray) -> np.ndarray:
+        n, long = common_kinds(a, self.masks[name]), self.sizes[name] > 64
+        if long.any():
+            n[long] = common_letters(a[long], self.letters[name[long]])
+        return n
+
+
+class PartIndex(NameLetters):
     """Names by the parts of phrases that may be close to them; see match.best_fuzzy.
 
     A pair of equal parts is judged by the letters in common, then by a longest common
@@ -101,13 +124,9 @@ class PartIndex:
     """
 
     def __init__(self, rows: pd.DataFrame, threshold: float):
-        self.names, number = np.unique(rows["name_lc"].to_numpy(str), return_inverse=True)
-        self.sizes = np.char.str_len(self.names)
-        self.letters = letters(self.names.tolist(), int(self.sizes.max(initial=1)))
-        own = np.arange(self.letters.shape[1]) < self.sizes[:, None]
-        self.letters[~own] = 0xFFFFFFFF
-        self.counts, self.masks = letter_counts(self.letters, own), letter_masks(self.letters, own)
-        self.threshold = threshold
+        names, number = np.unique(rows["name_lc"].to_numpy(str), return_inverse=True)
+        super().__init__(names, threshold)
+        self.counts = letter_counts(self.letters, self.own)
         self.parts: dict[int, list] = {}
         table = rows.assign(number=number, size=rows["part"].str.len())
         for (lp, at, size), own in table.groupby(["lp", "at", "size"]):
@@ -144,15 +163,132 @@ class PartIndex:
             likely[part] = self.common(a[row[part]], name[part]) >= self.needed(lp, name[part])
         return [phrases[i] for i in row[likely]], self.names[name[likely]].tolist()
 
-    def needed(self, lp: int, name: np.ndarray) -> np.ndarray:
-        """Letters that a phrase of ``lp`` letters must have in common with each name."""
-        return (self.threshold - 1e-9) * (lp + self.sizes[name]) / 2
 
-    def common(self, a: np.ndarray, name: np.ndarray) -> np.ndarray:
-        n, long = common_kinds(a, self.masks[name]), self.sizes[name] > 64
-        if long.any():
-            n[long] = common_letters(a[long], self.letters[name[long]])
-        return n
+#: Bytes of what is known of words before it is dropped, places of windows that grow together, and tokens that are read at once.
+KNOWN_BYTES, GROWN, READ_TOKENS = 1 << 26, 1 << 12, 1 << 18
+
+
+class WordBounds(NameLetters):
+    """Windows of words that may be close to one of few names.
+
+    A phrase has with a name no more letters in common, in order, than its words have
+    with it one by one, and a space for each between words of both. So what is known
+    of a word serves all windows that it stands in, and a window grows by a sum.
+    """
+
+    def __init__(self, names: list[str], threshold: float, band: int | None, most: int, stopwords: Sequence[str]):
+        super().__init__(np.array(names, str), threshold)
+        ends = np.floor(self.sizes * (2 - threshold) / threshold + 1e-9).astype(int)
+        self.most, self.stopwords, self.longest = most, frozenset(stopwords), int((ends if band is None else np.minimum(ends, self.sizes + band)).max())
+        self.kind = np.uint8 if self.longest < 250 else np.int32
+        lp = np.arange(self.longest + 1)[:, None]
+        need = np.ceil(self.needed(lp, np.arange(len(names))[None])).astype(int)
+        spaces = np.char.count(self.names, " ")
+        far = need > np.minimum(lp, self.sizes)
+        if band is not None:
+            far |= np.abs(lp - self.sizes) > band
+        self.need = {m: np.where(far, np.iinfo(self.kind).max, np.maximum(need - np.minimum(m - 1, spaces), 0)).astype(self.kind) for m in range(2, most + 1)}
+        # The most letters of a phrase that may be left unmatched with each name.
+        self.spare = np.where(far, 0, lp - need).max(0)
+        self.counts = letter_counts(self.letters, self.own).astype(np.int32)
+        self.by_kind = np.concatenate((self.masks.T, np.zeros((1, len(names)), np.uint64)))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.size, self.stop, self.live, self.bounds = np.zeros(0, int), np.zeros(0, bool), np.zeros(0, bool), np.zeros((0, len(self.names)), self.kind)
+        self.held = np.zeros((0, COUNTED), np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        size = np.array([len(w) for w in words])
+        bounds, live, held = np.zeros((len(words), len(self.names)), self.kind), np.zeros(len(words), bool), np.zeros((len(words), COUNTED), np.int32)
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] <= self.longest]
+        for i in range(0, len(order), 256):
+            part = order[i : i + 256]
+            a = letters([words[j] for j in part], int(size[part].max()))
+            held[part] = letter_counts(a, np.arange(a.shape[1]) < size[part][:, None])
+            a = np.where(np.arange(a.shape[1]) < size[part][:, None], a % MASKED, MASKED)
+            left = np.full((len(part), len(self.names)), 0xFFFFFFFFFFFFFFFF, np.uint64)
+            for x in a.T:
+                met = self.by_kind[x] & left
+                left = (left + met) | (left - met)
+            bounds[part] = np.where(self.sizes > 64, size[part][:, None], np.bitwise_count(~left))
+            live[part] = (size[part][:, None] - bounds[part] <= self.spare).any(1)
+        for w in words:
+            self.known[w] = len(self.known)
+        self.size, self.stop = np.concatenate((self.size, size)), np.concatenate((self.stop, [w in self.stopwords for w in words]))
+        self.live, self.bounds, self.held = np.concatenate((self.live, live)), np.concatenate((self.bounds, bounds)), np.concatenate((self.held, held))
+
+    def near(self, words: pa.Array, sizes: np.ndarray) -> tuple[list[str], list[str]]:
+        """The windows, as phrases, and names that may be close; ``words`` of all documents, of which each has ``sizes``."""
+        coded = words.dictionary_encode()
+        spelt = coded.dictionary.to_pylist()
+        if (len(self.known) + len(spelt)) * self.bounds[:1].nbytes > KNOWN_BYTES:
+            self.clear()
+        if new := [w for w in spelt if w not in self.known]:
+            self.learn(new)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        row = np.array([self.known[w] for w in spelt], int)[code]
+        size, stop, live, end = self.size[row], self.stop[row], self.live[row], np.repeat(np.cumsum(sizes), sizes)
+        # No window with a word that leaves too many letters unmatched with every name is close to one.
+        first, found = np.flatnonzero(~stop & live), []
+        for i in range(0, len(first), GROWN):
+            at = first[i : i + GROWN]
+            lp, total = size[at], self.bounds[row[at]]
+            for m in range(2, self.most + 1):
+                last = at + m - 1
+                on = np.flatnonzero(last < end[at])
+                on = on[live[last[on]] & (lp[on] + 1 + size[last[on]] <= self.longest)]
+                if len(on) < len(at):
+                    at, last, lp, total = at[on], last[on], lp[on], total[on]
+                lp = lp + 1 + size[last]
+                total += self.bounds[row[last]]
+                close, name = np.divmod(np.flatnonzero((total >= self.need[m][lp]).reshape(-1)), len(self.names))
+                judged = ~stop[last[close]]
+                close, name = close[judged], name[judged]
+                held = self.held[row[at]]
+                for k in range(1, m):
+                    held += self.held[row[at + k]]
+                held[:, ord(" ") % COUNTED] += m - 1
+                shared = np.minimum(held[close], self.counts[name]).sum(1)
+                likely = shared >= self.needed(lp[close], name)
+                found.append((at[close[likely]], np.full(int(likely.sum()), m), name[likely]))
+        at, m, name = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+        if not len(at):
+            return [], []
+        window, which = np.unique(at * (self.most + 1) + m, return_inverse=True)
+        phrases = [" ".join(spelt[c] for c in code[x // (self.most + 1) : x // (self.most + 1) + x % (self.most + 1)]) for x in window.tolist()]
+        phrases, back = np.unique(np.array(phrases), return_inverse=True)
+        pairs = np.unique(back[which] * len(self.names) + name)
+        text, name = np.divmod(pairs, len(self.names))
+        lp, likely = np.char.str_len(phrases), np.zeros(len(text), bool)
+        a = letters(phrases.tolist(), int(lp.max()))
+        for i in range(0, len(text), JUDGED):
+            part = slice(i, i + JUDGED)
+            likely[part] = self.common(a[text[part]], name[part]) >= self.needed(lp[text[part]], name[part])
+        return phrases[text[likely]].tolist(), self.names[name[likely]].tolist()
+
+
+def near_windows(words: DataFrame, names: list[str], threshold: float, band: int | None, most: int, stopwords: Sequence[str]) -> DataFrame:
+    """(phrase, name_lc): windows of 2 to ``most`` words of ``words(words)``, without stopwords at their ends, and names that may reach the ratio."""
+    schema = pa.schema([("phrase", pa.string()), ("name_lc", pa.string())])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not names:
+            return
+        known = WordBounds(names, threshold, band, most, stopwords)
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch["words"]), 0).to_numpy(zero_copy_only=False).astype(int)
+            flat, done, at = batch["words"].flatten(), 0, 0
+            while at < len(sizes):
+                upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), READ_TOKENS, side="right")) + at)
+                n = int(sizes[at:upto].sum())
+                a, b = known.near(flat.slice(done, n), sizes[at:upto])
+                done, at = done + n, upto
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], schema=schema)
+
+    return words.select("words").mapInArrow(probe, "phrase string, name_lc string")
 
 
 def near_pairs(phrases: DataFrame, index: DataFrame, threshold: float) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectorised import free_spans, near_pairs, sequence_ratio
+from ..functions.vectorised import free_spans, near_pairs, near_windows, sequence_ratio
 from ..plans.shared import BROADCAST_BYTES, broadcast_if, small_enough, write_shared
 
 #: Dictionary names that may be broadcast; beyond, the joins are shuffled.
 BROADCAST_NAMES = 1 << 20
+#: Names up to which windows are judged by what their words have in common with each; a task keeps a bound for each word and name.
+WORD_NAMES = 1 << 12
 #: Rows of a part index that is probed where the phrases are.
 PROBED_PARTS = 1 << 22
 
@@ -262,8 +264,7 @@ def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85,
 
     Phrases are cut as they come; only what is scored is made distinct.
     """
-    t = threshold
-    n = write_shared(names.where("name_lc <> ''").groupBy("name_lc").agg(F.min_by("term_id", "ord").alias("term_id"), F.min("ord").alias("ord")), "fuzzy-names")
+    t, n = threshold, _fuzzy_names(names)
     shortest, most = n.agg(F.min(F.length("name_lc")), F.max(F.length("name_lc"))).first()
     index = write_shared(name_parts(n.select("name_lc"), threshold=t, band=band, most=most or 1), "name-parts")
     ends = (math.ceil((shortest or 1) * t / (2 - t) - 1e-9), math.floor((most or 0) * (2 - t) / t + 1e-9))
@@ -281,6 +282,16 @@ def best_fuzzy(phrases: DataFrame, names: DataFrame, *, threshold: float = 0.85,
         own, broken = _pairs_of_letters(F.col("name_lc")), ln * (2 - 1.5 * t) + lp * (1 - 1.5 * t)
         alike = (lp < 2) | (ln < 2) | (F.size(F.array_intersect(own, _pairs_of_letters(F.col("phrase")))) >= F.size(own) - F.floor(broken + 1e-9))
         pairs = met.where(alike).select("phrase", "name_lc").distinct()
+    return _best_names(pairs, n, t)
+
+
+def _fuzzy_names(names: DataFrame) -> DataFrame:
+    """names(name_lc, term_id, ord) of ordered_names, each once."""
+    return write_shared(names.where("name_lc <> ''").groupBy("name_lc").agg(F.min_by("term_id", "ord").alias("term_id"), F.min("ord").alias("ord")), "fuzzy-names")
+
+
+def _best_names(pairs: DataFrame, n: DataFrame, t: float) -> DataFrame:
+    """The first best name of each phrase of ``pairs(phrase, name_lc)``, by sequence ratio."""
     scored = pairs.withColumn("score", sequence_ratio("phrase", "name_lc", F.lit(t))).where(F.col("score") >= t).join(_held(n), "name_lc")
     best = scored.groupBy("phrase").agg(F.max_by(F.struct("term_id", "score", "name_lc"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("phrase", F.col("b.term_id").alias("term_id"), F.col("b.score").alias("score"), F.col("b.name_lc").alias("name_lc"))
@@ -292,19 +303,30 @@ def ordered_names(terms: DataFrame) -> DataFrame:
     return rows.select(F.lower("name").alias("name_lc"), "term_id", (F.col("ord") * 1000 + F.col("pos")).alias("ord"))
 
 
+def _phrases(words: DataFrame, max_ngram: int, stopwords: Sequence[str]) -> DataFrame:
+    """(phrase) of every window of two or more words of ``words(words)`` without stopwords at its ends. It is the first words of the longest one at its place."""
+    most = F.lit(max_ngram)
+    longest = lambda x, j: F.when(~x.isin(*stopwords), F.struct(F.concat_ws(" ", *[F.get("words", j + k) for k in range(max_ngram)]).alias("long"), F.least(most, F.size("words") - j).alias("n")))
+    places = words.select(F.explode(F.transform("words", longest)).alias("x")).where("x is not null and x.n > 1").select("x.*")
+    first = lambda m: F.call_function("substring_index", F.col("long"), F.lit(" "), m)
+    return places.select(F.explode(F.transform(F.sequence(F.lit(2), F.col("n")), first)).alias("phrase")).where(~F.substring_index("phrase", " ", -1).isin(*stopwords))
+
+
 def _near_names(docs: DataFrame, terms: DataFrame, max_ngram: int, stopwords: Sequence[str], threshold: float) -> DataFrame:
     """(name_lc, term_id, is_primary, closeness): phrases of two or more words of ``docs`` close to a name but equal to none.
 
     A window's trimmed phrase is a window without stopwords at its ends, so those are
-    scored. A window's phrase is the first words of the longest one at its place.
+    scored: of few names those that the words' bounds leave (WordBounds), else by best_fuzzy.
     """
-    words, most = docs.select(_words(F.col("text"), T.TOKEN_CHARS).alias("words")), F.lit(max_ngram)
-    longest = lambda x, j: F.when(~x.isin(*stopwords), F.struct(F.concat_ws(" ", *[F.get("words", j + k) for k in range(max_ngram)]).alias("long"), F.least(most, F.size("words") - j).alias("n")))
-    places = words.select(F.explode(F.transform("words", longest)).alias("x")).where("x is not null and x.n > 1").select("x.*")
-    first = lambda m: F.call_function("substring_index", F.col("long"), F.lit(" "), m)
-    phrases = places.select(F.explode(F.transform(F.sequence(F.lit(2), F.col("n")), first)).alias("phrase")).where(~F.substring_index("phrase", " ", -1).isin(*stopwords))
+    words, names = docs.select(_words(F.col("text"), T.TOKEN_CHARS).alias("words")), ordered_names(terms)
+    known = _fuzzy_names(names)
+    few = [r[0] for r in known.select("name_lc").limit(WORD_NAMES + 1).collect()]
+    if len(few) <= WORD_NAMES:
+        best = _best_names(near_windows(words, few, threshold, 10, max_ngram, stopwords).distinct(), known, threshold)
+    else:
+        best = best_fuzzy(_phrases(words, max_ngram, stopwords), names, threshold=threshold)
     exact = name_index(terms).select(F.col("name_lc").alias("phrase"))
-    best = best_fuzzy(phrases, ordered_names(terms), threshold=threshold).join(_held(exact), "phrase", "left_anti")
+    best = best.join(_held(exact), "phrase", "left_anti")
     return write_shared(best.select(F.col("phrase").alias("name_lc"), "term_id", F.lit(False).alias("is_primary"), F.round("score", 3).alias("closeness")), "near-names")
 
 
