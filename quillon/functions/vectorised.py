@@ -187,21 +187,27 @@ class WordBounds(NameLetters):
         far = need > np.minimum(lp, self.sizes)
         if band is not None:
             far |= np.abs(lp - self.sizes) > band
-        self.need = {m: np.where(far, np.iinfo(self.kind).max, np.maximum(need - np.minimum(m - 1, spaces), 0)).astype(self.kind) for m in range(2, most + 1)}
+        # Rows are filled up to whole eights, by names that nothing reaches, so that eight comparisons are looked through at once.
+        self.width = -(-len(names) // 8) * 8
+        fill = lambda x, value: np.concatenate((x, np.full((*x.shape[:-1], self.width - len(names)), value, x.dtype)), -1)
+        none = np.iinfo(self.kind).max
+        self.need = {m: fill(np.where(far, none, np.maximum(need - np.minimum(m - 1, spaces), 0)).astype(self.kind), none) for m in range(2, most + 1)}
         # The most letters of a phrase that may be left unmatched with each name.
-        self.spare = np.where(far, 0, lp - need).max(0)
+        self.spare, self.long = fill(np.where(far, 0, lp - need).max(0), -1), fill(self.sizes > 64, False)
         self.counts = letter_counts(self.letters, self.own).astype(np.int32)
-        self.by_kind = np.concatenate((self.masks.T, np.zeros((1, len(names)), np.uint64)))
+        # Places of up to 32 letters take half the width, and so half the time.
+        self.bits = np.uint32 if self.sizes.max() <= 32 else np.uint64
+        self.by_kind = fill(np.concatenate((self.masks.T, np.zeros((1, len(names)), np.uint64))).astype(self.bits), 0)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.size, self.stop, self.live, self.bounds = np.zeros(0, int), np.zeros(0, bool), np.zeros(0, bool), np.zeros((0, len(self.names)), self.kind)
+        self.size, self.stop, self.live, self.bounds = np.zeros(0, int), np.zeros(0, bool), np.zeros(0, bool), np.zeros((0, self.width), self.kind)
         self.held = np.zeros((0, COUNTED), np.int32)
 
     def learn(self, words: list[str]) -> None:
         size = np.array([len(w) for w in words])
-        bounds, live, held = np.zeros((len(words), len(self.names)), self.kind), np.zeros(len(words), bool), np.zeros((len(words), COUNTED), np.int32)
+        bounds, live, held = np.zeros((len(words), self.width), self.kind), np.zeros(len(words), bool), np.zeros((len(words), COUNTED), np.int32)
         order = np.argsort(size, kind="stable")
         order = order[size[order] <= self.longest]
         for i in range(0, len(order), 256):
@@ -209,11 +215,14 @@ class WordBounds(NameLetters):
             a = letters([words[j] for j in part], int(size[part].max()))
             held[part] = letter_counts(a, np.arange(a.shape[1]) < size[part][:, None])
             a = np.where(np.arange(a.shape[1]) < size[part][:, None], a % MASKED, MASKED)
-            left = np.full((len(part), len(self.names)), 0xFFFFFFFFFFFFFFFF, np.uint64)
+            left = np.full((len(part), self.width), np.iinfo(self.bits).max, self.bits)
             for x in a.T:
-                met = self.by_kind[x] & left
-                left = (left + met) | (left - met)
-            bounds[part] = np.where(self.sizes > 64, size[part][:, None], np.bitwise_count(~left))
+                met = self.by_kind[x]
+                met &= left
+                kept = left - met
+                left += met
+                left |= kept
+            bounds[part] = np.where(self.long, size[part][:, None], np.bitwise_count(~left))
             live[part] = (size[part][:, None] - bounds[part] <= self.spare).any(1)
         for w in words:
             self.known[w] = len(self.known)
@@ -244,7 +253,10 @@ class WordBounds(NameLetters):
                     at, last, lp, total = at[on], last[on], lp[on], total[on]
                 lp = lp + 1 + size[last]
                 total += self.bounds[row[last]]
-                close, name = np.divmod(np.flatnonzero((total >= self.need[m][lp]).reshape(-1)), len(self.names))
+                reached = (total >= self.need[m][lp]).reshape(-1, 8)
+                eights = np.flatnonzero(reached.view(np.uint64))
+                which, place = np.nonzero(reached[eights])
+                close, name = np.divmod(eights[which] * 8 + place, self.width)
                 judged = ~stop[last[close]]
                 close, name = close[judged], name[judged]
                 held = self.held[row[at]]
